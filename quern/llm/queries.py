@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import leaks, ledger, neardup, sample, visual
+from quern.llm import leaks, ledger, neardup, pairs, sample, visual
 
 QUERIES = {
     "p1_found": ledger.p1_found,
@@ -10,6 +10,8 @@ QUERIES = {
     "p2_found": visual.p2_found,
     "p2_forms": visual.p2_forms,
     "p3_sample": sample.p3_sample,
+    "p4_found": pairs.p4_found,
+    "p4_labels": pairs.p4_labels,
     "p5_found": neardup.p5_found,
     "p6_found": leaks.p6_found,
     "p6_items": leaks.p6_items,
