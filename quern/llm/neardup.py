@@ -11,8 +11,8 @@ So a search with that radius loses nothing, whatever the data.
 The shards. One tree over everything would follow nearly every edge, since distances between unrelated texts
 lie close together. Nodes are therefore dealt to shards so that alike nodes meet: two alike sets share one of
 their first n - ceil(J n) + 1 shingles in any fixed order of all shingles, and each such shingle names a
-shard. The order puts rare shingles first, by a count sketch of fixed size, which is the only thing that is
-broadcast (`SLOTS` bytes, whatever the data); shingles no other node has make no shard. A shard's tree is
+shard. The order puts rare shingles first, by a count sketch of fixed size (`SLOTS` bytes are
+broadcast, whatever the data); shingles no other node has make no shard. A shard's tree is
 built in the task that holds the shard (trees grow with the data, so they aren't broadcast): each node first
 asks the tree, following only edges within the radius, then joins it. Shards of over `BLOCK` nodes are cut
 to blocks, and every pair of blocks makes a tree.
@@ -38,9 +38,12 @@ from quern.functions.words import lowered, mix, window_hashes, word_hashes
 from quern.operators.components import connected_components
 from quern.session import lookup_skewed, materialize
 
-SLOTS = 1 << 20
+SLOTS = 1 << 22
+FLAGS = 1 << 23
 BLOCK = 1_024
 BITS = 512
+PART = 1_000
+GATHER = 200_000
 OUT_ROWS = 50_000
 _CHUNK = 1 << 16
 
@@ -49,29 +52,84 @@ def _salt(field: int) -> np.uint64:
     return mix(np.array([field + 1], np.uint64))[0]
 
 
-def shingle_sets(texts: list[str | None], field: int, shingle: int, least_words: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(place in texts, sorted distinct shingle hashes) of each text that is long enough."""
-    low = [lowered(t) for t in texts]
-    h, counts, _, _ = word_hashes(low)
-    ends = np.cumsum(counts)
-    runs = window_hashes(h, shingle) ^ _salt(field)  # runs over the seam of two texts are never taken
-    for k in np.flatnonzero(counts >= max(least_words, shingle)).tolist():
-        s = np.sort(runs[ends[k] - counts[k] : ends[k] - shingle + 1])
-        if len(s) > 1 and (s[1:] == s[:-1]).any():
-            s = np.unique(s)
-        yield k, s
-
-
-def node_of(s: np.ndarray) -> np.uint64:
-    return mix(np.array([np.bitwise_xor.reduce(mix(s + np.uint64(1))) + np.uint64(len(s))], np.uint64))[0]
-
-
-def sketch_of(s: np.ndarray) -> bytes:
-    return np.packbits((np.bincount(((s >> np.uint64(20)) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
-
-
-def prefix_size(n: int, j: float) -> int:
-    return n - int(np.ceil(j * n - 1e-9)) + 1
+class Sets:
+    """The shingle sets of some texts, end to end: `places` of the texts that are long enough, their `sizes`,
+    the distinct hashes of each in ascending order (`hashes`), and their `nodes`."""
+
+    def __init__(self, texts: list[str | None], field: int, shingle: int, least_words: int):
+        h, counts, _, _ = word_hashes([lowered(t) for t in texts])
+        ends = np.cumsum(counts)
+        runs = window_hashes(h, shingle) ^ _salt(field)
+        self.places = np.flatnonzero(counts >= max(least_words, shingle))
+        sizes = counts[self.places] - shingle + 1
+        begin = (ends - counts)[self.places]
+        # Runs over the seam of two texts are left out.
+        self.hashes = runs[_ranges(begin, sizes)]
+        self.sizes = sizes
+        self._settle()
+        ones = np.add.reduceat(mix(self.hashes + np.uint64(1)), self.starts) if len(self.places) else np.empty(0, np.uint64)
+        self.nodes = mix(ones + self.sizes.astype(np.uint64))
+
+    def _settle(self) -> None:
+        """Sort each set and drop what it has twice."""
+        at = 0
+        for n in self.sizes.tolist():
+            self.hashes[at : at + n].sort()
+            at += n
+        starts = np.cumsum(self.sizes) - self.sizes
+        fresh = np.ones(len(self.hashes), bool)
+        fresh[1:] = self.hashes[1:] != self.hashes[:-1]
+        fresh[starts] = True
+        if len(starts):
+            self.sizes = np.add.reduceat(fresh.astype(np.int64), starts)
+        self.hashes = self.hashes[fresh]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def keep(self, which: np.ndarray) -> None:
+        self.hashes = self.hashes[_ranges(self.starts[which], self.sizes[which])]
+        self.places, self.sizes, self.nodes = self.places[which], self.sizes[which], self.nodes[which]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def unseen(self, seen: set[int]) -> None:
+        """Keep one text of each node that isn't in seen, and put the nodes there."""
+        which = []
+        for k, node in enumerate(self.nodes.tolist()):
+            if node not in seen:
+                seen.add(node)
+                which.append(k)
+        self.keep(np.array(which, np.int64))
+
+    def sketches(self) -> np.ndarray:
+        """A row of BITS / 8 bytes for each set."""
+        row = np.repeat(np.arange(len(self.sizes)), self.sizes) * BITS
+        slot = ((self.hashes >> np.uint64(20)) % np.uint64(BITS)).astype(np.int64)
+        odd = np.bincount(row + slot, minlength=len(self.sizes) * BITS).reshape(-1, BITS) & 1
+        return np.packbits(odd.astype(np.uint8), axis=1)
+
+
+def _ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places begin[0], begin[0] + 1, ..., of sizes[0] many, then those of begin[1], ..."""
+    total = int(sizes.sum())
+    return np.arange(total) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) if total else np.empty(0, np.int64)
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(SLOTS)).astype(np.int64)
+
+
+def prefix_size(n: np.ndarray, j: float) -> np.ndarray:
+    return n - np.ceil(j * n - 1e-9).astype(np.int64) + 1
+
+
+def _parts(batches: Iterator[pa.RecordBatch], first: int, fields: int, shingle: int, least_words: int) -> Iterator[tuple[pa.RecordBatch, int, Sets]]:
+    """The sets of every field, PART texts at a time, so that memory doesn't grow with a batch."""
+    for b in batches:
+        for lo in range(0, b.num_rows, PART):
+            part = b.slice(lo, PART)
+            for f in range(fields):
+                s = Sets(part.column(first + f).to_pylist(), f, shingle, least_words)
+                if len(s.places):
+                    yield part, f, s
 
 
 class BKTree:
@@ -123,28 +181,19 @@ def _scan(fields: int, shingle: int, least_words: int):
     """Members with size and sketch, and the partition's shingle counts in chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hist, seen = np.zeros(SLOTS, np.uint32), set()
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for f in range(fields):
-                rows, tokens = [], []
-                for k, s in shingle_sets(b.column(1 + f).to_pylist(), f, shingle, least_words):
-                    node = int(node_of(s))
-                    rows.append((ids[k], node, len(s), sketch_of(s)))
-                    if node not in seen:
-                        seen.add(node)
-                        tokens.append(s)
-                if rows:
-                    t = np.concatenate(tokens) if tokens else np.empty(0, np.uint64)
-                    hist += np.bincount((t % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
-                    i, node, n, sk = zip(*rows)
-                    yield _members(f, i, node, n, sk)
+        hist, seen = np.zeros(SLOTS, np.uint16), set()
+        for part, f, s in _parts(batches, 1, fields, shingle, least_words):
+            m, width = len(s.places), BITS // 8
+            data = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(np.arange(0, (m + 1) * width, width, dtype=np.int32)), pa.py_buffer(s.sketches().tobytes())])
+            ids = part.column(0).take(pa.array(s.places))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, f, np.int32)), ids, pa.array(_signed(s.nodes)), pa.array(s.sizes.astype(np.int32)), data], schema=_SCAN)
+            s.unseen(seen)
+            slots, n = np.unique(_slot(s.hashes), return_counts=True)
+            hist[slots] = np.minimum(hist[slots].astype(np.int64) + n, 65535)
         for c in range(SLOTS // _CHUNK):
-            part = hist[c * _CHUNK : (c + 1) * _CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_pydict(
-                    {"field": [-1], "id": [c], "node": [0], "n": [0], "data": [np.minimum(part, 65535).astype(np.uint16).tobytes()]}, _SCAN
-                )
+            counts = hist[c * _CHUNK : (c + 1) * _CHUNK]
+            if counts.any():
+                yield pa.RecordBatch.from_pydict({"field": [-1], "id": [c], "node": [0], "n": [0], "data": [counts.tobytes()]}, _SCAN)
 
     return run
 
@@ -152,13 +201,6 @@ def _scan(fields: int, shingle: int, least_words: int):
 _SCAN = pa.schema([("field", pa.int32()), ("id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
 
 
-def _members(f: int, ids, nodes, sizes, sketches) -> pa.RecordBatch:
-    m = len(ids)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(m, f, np.int32)), pa.array(np.asarray(ids, np.int64)), pa.array(_signed(nodes)), pa.array(np.asarray(sizes, np.int32)), pa.array(list(sketches), pa.binary())], schema=_SCAN
-    )
-
-
 def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the chunk counts of any number of partitions in constant memory, and gives each slot a rank
     (one byte, growing with the count)."""
@@ -172,69 +214,75 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(fields: int, shingle: int, least_words: int, j: float, ranks):
-    """(token, node): the rarest shingles of each node, once for each node and partition."""
+    """(token, node): the rarest shingles of each node, once for each node and partition. A token is the rank
+    of the shingle's slot and 56 bits of its hash, so ascending tokens are the order of all shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = np.frombuffer(ranks.value, np.uint8), set()
-        for b in batches:
-            tokens, nodes, sizes = [], [], []
-            for f in range(fields):
-                for _, s in shingle_sets(b.column(f).to_pylist(), f, shingle, least_words):
-                    node = node_of(s)
-                    if int(node) in seen:
-                        continue
-                    seen.add(int(node))
-                    order = np.argsort(rank[(s % np.uint64(SLOTS)).astype(np.int64)], kind="stable")
-                    tokens.append(s[order[: prefix_size(len(s), j)]])
-                    nodes.append(node)
-                    sizes.append(len(tokens[-1]))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(_signed(np.repeat(np.array(nodes, np.uint64), sizes)))], ["token", "node"])
+        for _, _, s in _parts(batches, 0, fields, shingle, least_words):
+            s.unseen(seen)
+            s.hashes = (rank[_slot(s.hashes)].astype(np.uint64) << np.uint64(56)) | (s.hashes >> np.uint64(8))
+            s._settle()
+            sizes = np.minimum(prefix_size(s.sizes, j), s.sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(s.hashes[_ranges(s.starts, sizes)])), pa.array(_signed(np.repeat(s.nodes, sizes)))], ["token", "node"])
 
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of several batches in one, of at least `rows` rows but for the last."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield tuple(np.concatenate([x.column(i).to_numpy() for x in held]) for i in range(held[0].num_columns))
+            held = []
+    if held:
+        yield tuple(np.concatenate([x.column(i).to_numpy() for x in held]) for i in range(held[0].num_columns))
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (token, node) sorted by both: a shard for each set of two or more nodes that share a token, once
     for each partition."""
     known: set[int] = set()
-    out: list[tuple[int, np.ndarray]] = []
 
-    def add(nodes: np.ndarray) -> None:
-        nodes = nodes[np.concatenate(([True], nodes[1:] != nodes[:-1]))]
-        if len(nodes) < 2:
+    def deal(t: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(t):
             return
-        cuts = [nodes[i : i + BLOCK] for i in range(0, len(nodes), BLOCK)]
-        for i, x in enumerate(cuts):
-            for y in [None, *cuts[i + 1 :]]:
-                both = x if y is None else np.concatenate((x, y))
-                name = int(mix(np.array([np.bitwise_xor.reduce(mix(both.view(np.uint64) + np.uint64(7))) + np.uint64(len(both))], np.uint64))[0])
-                if len(both) > 1 and name not in known:
-                    known.add(name)
-                    out.append((name, both))
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if out:
-            names, lists = zip(*out)
-            sizes = [len(x) for x in lists]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.repeat(np.array(names, np.uint64), sizes))), pa.array(np.concatenate(lists))], ["shard", "node"])
-            out.clear()
+        fresh = np.ones(len(t), bool)
+        fresh[1:] = (t[1:] != t[:-1]) | (n[1:] != n[:-1])
+        t, n = t[fresh], n[fresh]
+        starts = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1))
+        sizes = np.diff(np.append(starts, len(t)))
+        starts, sizes = starts[sizes > 1], sizes[sizes > 1]
+        for k in np.flatnonzero(sizes > BLOCK).tolist():
+            whole = n[starts[k] : starts[k] + sizes[k]]
+            cuts = [whole[i : i + BLOCK] for i in range(0, len(whole), BLOCK)]
+            for i, x in enumerate(cuts):
+                for y in cuts[i + 1 :]:
+                    yield from name(np.concatenate((x, y)), np.array([0]), np.array([len(x) + len(y)]))
+        starts, sizes = starts[sizes <= BLOCK], sizes[sizes <= BLOCK]
+        if len(starts):
+            yield from name(n[_ranges(starts, sizes)], np.cumsum(sizes) - sizes, sizes)
+
+    def name(nodes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names = mix(np.add.reduceat(mix(nodes.view(np.uint64) + np.uint64(7)), starts) + sizes.astype(np.uint64))
+        which = []
+        for k, x in enumerate(names.tolist()):
+            if x not in known:
+                known.add(x)
+                which.append(k)
+        if which:
+            w = np.array(which)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.repeat(names[w], sizes[w]))), pa.array(nodes[_ranges(starts[w], sizes[w])])], ["shard", "node"])
 
     held_t, held_n = np.empty(0, np.int64), np.empty(0, np.int64)
-    for b in batches:
-        t = np.concatenate((held_t, b.column(0).to_numpy()))
-        n = np.concatenate((held_n, b.column(1).to_numpy()))
-        edges = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1)) if len(t) else np.empty(0, np.int64)
-        if len(edges) > 1:
-            sizes = np.diff(edges)
-            for k in np.flatnonzero(sizes > 1).tolist():
-                add(n[edges[k] : edges[k + 1]])
-        held_t, held_n = (t[edges[-1] :], n[edges[-1] :]) if len(edges) else (t, n)
-        if len(out) > OUT_ROWS:
-            yield from flush()
-    if len(held_n) > 1:
-        add(held_n)
-    yield from flush()
+    for t, n in _gathered(batches, GATHER):
+        t, n = np.concatenate((held_t, t)), np.concatenate((held_n, n))
+        last = len(t) - int(np.argmax(t[::-1] != t[-1])) if t[0] != t[-1] else 0  # where the last token begins
+        yield from deal(t[:last], n[:last])
+        held_t, held_n = t[last:], n[last:]
+    yield from deal(held_t, held_n)
 
 
 def _links(j: float):
@@ -272,22 +320,40 @@ def _links(j: float):
     return run
 
 
-def _sets(fields: int, shingle: int, least_words: int):
-    """(node, set): 32 bits of each shingle hash, once for each node and partition."""
+def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bitmap of the nodes' slots, in chunks, of a fixed size in each partition."""
+    flags = np.zeros(FLAGS, bool)
+    for b in batches:
+        flags[(b.column(0).to_numpy().view(np.uint64) % np.uint64(FLAGS)).astype(np.int64)] = True
+    for c in range(FLAGS // _CHUNK):
+        part = flags[c * _CHUNK : (c + 1) * _CHUNK]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([np.packbits(part).tobytes()], pa.binary())], ["chunk", "bits"])
+
+
+def _or_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for b in batches:
+        for c, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            held.setdefault(c, np.zeros(_CHUNK // 8, np.uint8))[:] |= np.frombuffer(bits, np.uint8)
+    for c, x in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["chunk", "bits"])
+
+
+def _sets(fields: int, shingle: int, least_words: int, flags):
+    """(node, data): 32 bits of each shingle hash, once for each node and partition, for the nodes whose slot
+    is flagged; which of those are needed is settled by a join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for b in batches:
-            nodes, sets = [], []
-            for f in range(fields):
-                for _, s in shingle_sets(b.column(f).to_pylist(), f, shingle, least_words):
-                    node = node_of(s)
-                    if int(node) not in seen:
-                        seen.add(int(node))
-                        nodes.append(node)
-                        sets.append((s >> np.uint64(32)).astype(np.uint32).tobytes())
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.array(nodes, np.uint64))), pa.array(sets, pa.binary())], ["node", "data"])
+        seen, wanted = set(), np.unpackbits(np.frombuffer(flags.value, np.uint8)).astype(bool)
+        for _, _, s in _parts(batches, 0, fields, shingle, least_words):
+            s.keep(np.flatnonzero(wanted[(s.nodes % np.uint64(FLAGS)).astype(np.int64)]))
+            s.unseen(seen)
+            if len(s.places):
+                short = (s.hashes >> np.uint64(32)).astype(np.uint32).tobytes()
+                ends = np.append(s.starts, s.starts[-1] + s.sizes[-1]).astype(np.int32) * 4
+                data = pa.Array.from_buffers(pa.binary(), len(s.places), [None, pa.py_buffer(ends), pa.py_buffer(short)])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(s.nodes)), data], ["node", "data"])
 
     return run
 
@@ -316,7 +382,7 @@ def near_links(df: DataFrame, id_col: str, fields: list[str], j: float, shingle:
     texts = base.select(*(f"f{i}" for i in range(len(fields))))
     scan = materialize(base.mapInArrow(_scan(len(fields), shingle, least_words), "field int, id long, node long, n int, data binary"), "near-scan")
     members = scan.filter("field >= 0")
-    chunks = scan.filter("field < 0").select("id", "data").repartition(SLOTS // _CHUNK, "id").mapInArrow(_sum_chunks, "chunk long, ranks binary")
+    chunks = scan.filter("field < 0").select("id", "data").repartition(16, "id").mapInArrow(_sum_chunks, "chunk long, ranks binary")
     rank = bytearray(SLOTS)
     for r in chunks.collect():  # SLOTS bytes, whatever the data
         rank[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = r.ranks
@@ -327,8 +393,13 @@ def near_links(df: DataFrame, id_col: str, fields: list[str], j: float, shingle:
     nodes = members.groupBy("node").agg(F.first("n").alias("n"), F.first("data").alias("data"))
     dealt = shards.join(nodes, "node").select("shard", "node", "n", "data").repartition(F.col("shard")).sortWithinPartitions("shard", "node")
     links = materialize(dealt.mapInArrow(_links(j), "a long, b long").distinct(), "near-links")
-    needed = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(texts.mapInArrow(_sets(len(fields), shingle, least_words), "node long, data binary").join(needed, "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+    needed = materialize(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-needed")
+    flagged = needed.mapInArrow(_flags, "chunk long, bits binary").repartition(FLAGS // _CHUNK // 8, "chunk").mapInArrow(_or_chunks, "chunk long, bits binary")
+    bitmap = bytearray(FLAGS // 8)
+    for r in flagged.collect():  # FLAGS bits, whatever the data
+        bitmap[r.chunk * _CHUNK // 8 : (r.chunk + 1) * _CHUNK // 8] = r.bits
+    flags = spark.sparkContext.broadcast(bytes(bitmap))
+    sets = materialize(texts.mapInArrow(_sets(len(fields), shingle, least_words, flags), "node long, data binary").join(needed, "node", "left_semi").dropDuplicates(["node"]), "near-sets")
     first, second = sets.toDF("a", "x"), sets.toDF("b", "y")
     confirmed = links.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(_confirm(j), "a long, b long")
     return members.select("field", "id", "node"), materialize(confirmed, "near-confirmed")
