@@ -68,7 +68,7 @@ _LAST = re.compile(rf"(?<![\w@.\-/̀-ͯ])((?:{_PART}{_SEP})?)({CAP}),{_SEP}({CAP
 _INITIAL = re.compile(rf"(?<!º )(?<![\w@.\-/'’̀-ͯ])({_INI})(?:[^\S\n]?{_INI})?((?:{_SEP}{_PART})?){_SEP}({CAP})(?![\w@]|\.[\w-]+@)")
 _AT = r"(?:\s?@\s?|\s?[\(\[\{]\s?(?:at|AT|At)\s?[\)\]\}]\s?|\s(?:AT|at)\s)"
 _DOT = r"(?:\.|\s?[\(\[\{]\s?(?:dot|DOT|Dot)\s?[\)\]\}]\s?|\s(?:dot|DOT)\s)"
-_EMAIL = re.compile(rf"(?<![\w.+@-])([\w](?:[\w.+-]*[\w])?)({_AT})([\w-]+(?:{_DOT}[\w-]+)*{_DOT}([A-Za-z]{{2,}}))(?![\w-])")
+_EMAIL = re.compile(rf"(?<![\w.+@-])([\w](?:[\w.+-]*[\w])?)({_AT})([\w-]+(?:{_DOT}[\w-]+)*{_DOT}([A-Za-z]{{2,}}))(?![\w@-])")
 _PHONE = re.compile(r"(?<![\w.+/-])(?:\(?\+|\()?\d[\d()./ \-]{5,24}\d(?!\w)")
 _ID = re.compile(r"(?<![\w./+-])(?:(?!ID|NO|NR|SS)[A-Z]{1,2}[ -]?)?\d(?:[ ./-]?(?:\d|[A-Z](?![a-z])))*(?!\w)")
 _STREET = [

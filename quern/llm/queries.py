@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import leaks, ledger, neardup, pairs, personal, sample, visual
+from quern.llm import leaks, ledger, mixture, neardup, pairs, personal, sample, visual
 
 QUERIES = {
     "p1_found": ledger.p1_found,
@@ -15,6 +15,8 @@ QUERIES = {
     "p5_found": neardup.p5_found,
     "p6_found": leaks.p6_found,
     "p6_items": leaks.p6_items,
+    "p7_mixture": mixture.p7_mixture,
+    "p7_shares": mixture.p7_shares,
     "p8_found": personal.p8_found,
     "p8_redacted": personal.p8_redacted,
 }
