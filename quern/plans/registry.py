@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("curation",)
+MODULES: tuple[str, ...] = ("curation", "selection")
 
 
 def _modules():
