@@ -9,11 +9,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = r"(?U)\s+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
 
@@ -55,7 +56,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both > 0, F.size(F.array_intersect(a, b)) / both)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def simhash64(tokens: pd.Series) -> pd.Series:
     """64-bit SimHash of a token list with BLAKE2b token hashes; a bit is set where the balance is not
     negative; 0 for no tokens."""
@@ -104,7 +105,7 @@ def last_boxed_text(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def last_boxed(s: pd.Series) -> pd.Series:
     return s.map(last_boxed_text)
 
@@ -167,12 +168,12 @@ def python_ok_text(code: str | None) -> bool:
         return False
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def python_ok(s: pd.Series) -> pd.Series:
     return s.map(python_ok_text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def blake_hex(s: pd.Series) -> pd.Series:
     """16 bytes of BLAKE2b, in hex."""
     return s.map(lambda t: hashlib.blake2b(t.encode(), digest_size=16).hexdigest(), na_action="ignore")
