@@ -133,9 +133,9 @@ def balanced_schedule(spark, d):
     return scheduled(spark, d, 48, 1000)
 
 
-@book.query("or01a_schedule_one_round", SCHEDULE.format(m=384, t=384) + " SELECT doc_id, round, schedule_index FROM i")
+@book.query("or01a_schedule_one_round", SCHEDULE.format(m=64, t=64) + " SELECT doc_id, round, schedule_index FROM i")
 def schedule_one_round(spark, d):
-    return scheduled(spark, d, 384, 384).select("doc_id", "round", "schedule_index")
+    return scheduled(spark, d, 64, 64).select("doc_id", "round", "schedule_index")
 
 
 @book.query("or17_schedule_extension", SCHEDULE.format(m=48, t=480) + ", j AS (SELECT * FROM i WHERE schedule_index < 240) SELECT count(*)::BIGINT AS rows, count(DISTINCT doc_id)::BIGINT AS items, max(schedule_index) AS last FROM j")
@@ -307,7 +307,7 @@ def numeric_balance(spark, d):
 
 @book.query(
     "ag20_categorical_balance",
-    f"""WITH s AS (SELECT coalesce(source, '?') AS source, count(*) / 384.0 AS p FROM ({NESTED}) JOIN documents USING (doc_id) WHERE r <= 384 GROUP BY 1), q AS (SELECT coalesce(source, '?') AS source, count(*) / (SELECT count(*) FROM documents)::DOUBLE AS p FROM documents GROUP BY 1)
+    f"""WITH s AS (SELECT coalesce(source, '?') AS source, count(*) / least(384, (SELECT count(*) FROM documents))::DOUBLE AS p FROM ({NESTED}) JOIN documents USING (doc_id) WHERE r <= 384 GROUP BY 1), q AS (SELECT coalesce(source, '?') AS source, count(*) / (SELECT count(*) FROM documents)::DOUBLE AS p FROM documents GROUP BY 1)
     SELECT source, round(coalesce(s.p, 0) - coalesce(q.p, 0), 6) AS diff FROM s FULL JOIN q USING (source)""",
 )
 def categorical_balance(spark, d):
