@@ -101,7 +101,7 @@ def plan(shares: np.ndarray, repeats: np.ndarray, tokens: np.ndarray, total: int
             want[over] = cap[over]
             full |= over
     out = np.floor(want).astype(np.int64)
-    rest = int(round(want.sum())) - out.sum()
+    rest = int(np.ceil(want.sum() - 1e-9)) - out.sum()
     for s in np.argsort(-(want - out), kind="stable")[: max(0, rest)]:
         out[s] += out[s] < cap[s]
     return out

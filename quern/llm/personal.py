@@ -32,7 +32,7 @@ from quern.session import materialize
 ROUNDS = 3
 #: Least precision of a pattern in the end and while it grows from the seeds (where what isn't trusted yet is
 #: unknown rather than wrong), least share of an instance's occurrences in such patterns, least support.
-PATTERN, GROWING, INSTANCE, SUPPORT = 0.6, 0.2, 0.5, 3
+PATTERN, GROWING, GROWING_NAMES, INSTANCE, SUPPORT = 0.6, 0.2, 0.3, 0.5, 3
 #: The patterns around a candidate: columns and marks.
 PATS = {"l2": "<", "l1": "<<", "r1": ">"}
 KINDS = ("name", "email", "phone", "id_number", "address")
@@ -229,7 +229,7 @@ def bootstrap(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         scores = materialize(scores.select("kind", "pat", "score"), "pii-patterns")
         if step == ROUNDS:
             break
-        good = F.when(numbers, F.col("left") >= GROWING).otherwise(F.col("best") >= PATTERN)
+        good = F.when(numbers, F.col("left") >= GROWING).otherwise(F.col("best") >= F.when(F.col("kind") == "name", GROWING_NAMES).otherwise(PATTERN))
         new = _scored(edges, scores).groupBy("kind", "inst").agg(F.sum(F.when(good, F.col("n")).otherwise(0)).alias("g"), F.sum("n").alias("n"), F.count_distinct(F.when(good, F.col("l2"))).alias("k"))
         share = F.when(numbers, GROWING).otherwise(INSTANCE)
         new = new.filter((F.col("g") >= share * F.col("n")) & (F.col("g") >= SUPPORT) & (numbers | (F.col("k") >= 3))).select("kind", "inst")
