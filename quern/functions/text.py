@@ -51,6 +51,13 @@ def ngrams(words: Column, n: int, short_whole: bool = False, sep: str = " ") ->
     return F.array_distinct(F.when(F.size(words) >= n, runs).otherwise(short))
 
 
+def ngram_hashes(words: Column, n: int) -> Column:
+    """64-bit hashes of the distinct runs of n words; none for a shorter text. words should be a column of the
+    input, since it is read once for each run."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n)))
+    return F.array_distinct(F.when(F.size(words) >= n, runs).otherwise(F.expr("cast(array() as array<bigint>)")))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_union(a, b))
     return F.when(both > 0, F.size(F.array_intersect(a, b)) / both)

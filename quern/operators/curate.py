@@ -31,10 +31,13 @@ def collapse_by_key(df: DataFrame, key: Column, row_id: str, first: list[str], v
 def ngram_overlap(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, n: int) -> DataFrame:
     """Set overlap of the distinct n-grams of documents and items: doc_id, item_id, overlap, and the number of
     grams of the item (size). Only grams that some item has are shuffled to the count."""
-    grams = lambda df, i, t: df.filter(F.col(t).isNotNull()).select(i, F.explode(X.ngrams(X.words_of(F.col(t)), n)).alias("gram"))
-    right = grams(items, item_id, item_text).withColumn("gram", F.xxhash64("gram"))
+    def grams(df: DataFrame, i: str, t: str) -> DataFrame:
+        words = df.filter(F.col(t).isNotNull()).select(i, X.words_of(F.col(t)).alias("_w"))
+        return words.select(i, F.explode(X.ngram_hashes(F.col("_w"), n)).alias("gram"))
+
+    right = grams(items, item_id, item_text)
     sizes = right.groupBy(item_id).agg(F.count(F.lit(1)).alias("size"))
-    left = grams(docs, doc_id, doc_text).withColumn("gram", F.xxhash64("gram"))
+    left = grams(docs, doc_id, doc_text)
     return left.join(right, "gram").groupBy(doc_id, item_id).agg(F.count(F.lit(1)).alias("overlap")).join(sizes, item_id)
 
 
