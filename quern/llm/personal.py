@@ -65,7 +65,7 @@ _SEP = r"(?:[^\S\n]+|[^\S\n]*\n[^\S\n]*)"
 _PART = r"(?:(?:[Vv]an|[Vv]on|[Dd]e|[Dd]el|[Dd]i|[Dd]a|[Ll]a|[Ll]e|[Dd]u|[Dd]es|VAN|VON|DE|DEL|DI|DA|LA|LE|DU)(?:[^\S\n]+(?:la|las|los|der|den|le))?)"
 _FIRST = re.compile(rf"(?<![\w@.\-/̀-ͯ])({CAP})(?:{_SEP}{_INI}){{0,2}}((?:{_SEP}{_PART})?){_SEP}({CAP})(?![\w@]|\.[\w-]+@)")
 _LAST = re.compile(rf"(?<![\w@.\-/̀-ͯ])((?:{_PART}{_SEP})?)({CAP}),{_SEP}({CAP}|{_INI}(?=\W))((?:{_SEP}{_INI}){{0,2}})(?![\w@]|\.[\w-]+@)")
-_INITIAL = re.compile(rf"(?<!º )(?<![\w@.\-/'’̀-ͯ])({_INI})(?:[^\S\n]?{_INI})?((?:{_SEP}{_PART})?){_SEP}({CAP})(?![\w@]|\.[\w-]+@)")
+_INITIAL = re.compile(rf"(?<!º )(?<![\w@.\-/'’̀-ͯ])({_INI})(?:[^\S\n]?(?P<next>{_INI}))?((?:{_SEP}{_PART})?){_SEP}(?P<family>{CAP})(?![\w@]|\.[\w-]+@)")
 _AT = r"(?:\s?@\s?|\s?[\(\[\{]\s?(?:at|AT|At)\s?[\)\]\}]\s?|\s(?:AT|at)\s)"
 _DOT = r"(?:\.|\s?[\(\[\{]\s?(?:dot|DOT|Dot)\s?[\)\]\}]\s?|\s(?:dot|DOT)\s)"
 _EMAIL = re.compile(rf"(?<![\w.+@-])([\w](?:[\w.+-]*[\w])?)({_AT})([\w-]+(?:{_DOT}[\w-]+)*{_DOT}([A-Za-z]{{2,}}))(?![\w@-])")
@@ -103,7 +103,7 @@ def _word(t: str) -> str:
     """A token of a pattern: numbers and capitalised words lose what they say, but for short or all-capital ones."""
     if t[0].isdigit():
         return "0"
-    if len(t) > (6 if t.isupper() else 3) and t[0].isupper() and t.lower() not in _LABELS:
+    if len(t) > 3 and t[0].isupper() and t.lower() not in _LABELS:
         return "Xx"
     return t.lower()
 
@@ -138,12 +138,14 @@ def candidates(text: str) -> Iterator[tuple]:
         return kind, first, end, unicodedata.normalize("NFC", inst.lower()), unicodedata.normalize("NFC", extra.lower()), form, l1, l2, r1
 
     mails = []
-    for m in _EMAIL.finditer(t):
-        spelled = m[2].strip() != "@"
-        if (m[2].strip() == "@") and m[2] != "@":
-            continue
-        if m[2].strip() == "at" and not re.search(r"\bdot\b", m[3], re.I):
+    pos = 0
+    while m := _EMAIL.search(t, pos):
+        sign = m[2].strip()
+        spelled = sign != "@"
+        if m[2] != "@" and sign == "@" or sign == "at" and not re.search(r"\bdot\b", m[3], re.I):
+            pos = m.start(2) + 1
             continue
+        pos = m.end()
         mails.append(m.span())
         yield row("email", *m.span(), m[4], "", "spelled" if spelled else "plain")
     inside = lambda a: any(x <= a < y for x, y in mails)
@@ -158,8 +160,10 @@ def candidates(text: str) -> Iterator[tuple]:
         if not inside(m.start()):
             yield row("name", m.start(2) if not m[1] else m.start(), m.end(), m[3], m[2][-4:], "last")
     for m in _INITIAL.finditer(t):
-        if not inside(m.start()):
-            yield row("name", *m.span(), m[1], m[3][-4:], "thing" if _THING.match(t, m.end()) else "initial")
+        # Of two initials a first "M." is a title.
+        a = m.start("next") if m["next"] and m[1] == "M." else m.start()
+        if not inside(a):
+            yield row("name", a, m.end(), m["next"] if a > m.start() else m[1], m["family"][-4:], "thing" if _THING.match(t, m.end()) else "initial")
     for m in _PHONE.finditer(t):
         s = m[0]
         a = m.start()
@@ -259,9 +263,11 @@ def occurrences(docs: DataFrame) -> DataFrame:
     )
     number = F.col("known") & (F.col("left") >= PATTERN)
     keep = F.when(F.col("kind") == "name", name).when(F.col("kind").isin("phone", "id_number"), number).otherwise(F.col("known"))
-    kept = ok.filter(F.coalesce(keep, F.lit(False))).select("doc_id", "row", "kind", "first", "stop", "left").distinct()
+    # "M." may be a title: where the same words are a family and a given name, those begin after it.
+    order = F.col("first") + F.when((F.col("form") == "initial") & (F.col("inst") == "m."), 3).otherwise(0)
+    kept = ok.filter(F.coalesce(keep, F.lit(False))).select("doc_id", "row", "kind", "first", "stop", "left", order.alias("order")).distinct()
     # One document's spans: of overlapping ones the first, then the longest, then the surest.
-    spans = kept.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("first", (-F.col("stop")).alias("end"), (-F.col("left")).alias("sure"), "kind"))).alias("s"))
+    spans = kept.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("order", (-F.col("stop")).alias("end"), (-F.col("left")).alias("sure"), "kind", "first"))).alias("s"))
     apart = F.aggregate(
         "s",
         F.struct(F.lit(-1).alias("to"), F.expr("cast(array() as array<struct<first:int,stop:int,kind:string>>)").alias("out")),
