@@ -134,3 +134,15 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     """One row for each content with its number of copies and its representative."""
     _, ledger = collapse(domain_records(spark, d))
     return ledger.read().select("tbl", F.col("first_id").alias("kept_id"), "n")
+
+
+_KEPT = r"[^\p{L}\p{M}\p{N}+\-<>=]+"
+_canon = lambda c: f"regexp_replace(lower({c}), '{_KEPT}', '', 'g')"
+_PAIRS = f"""SELECT raw_id, list_sort(list(lower(k) || chr(31) || coalesce({_canon("v")}, chr(29)))) AS pairs FROM (
+  SELECT raw_id, k, json_extract_string(payload, '$."' || k || '"') AS v FROM (SELECT raw_id, payload, unnest(json_keys(payload)) AS k FROM raw_record WHERE json_valid(payload) AND json_type(payload) = 'OBJECT')) GROUP BY raw_id"""
+_GROUPS = f"""WITH r AS (SELECT 'sft_candidate' AS tbl, cand_id AS id, {_canon("problem")} AS k FROM sft_candidate
+  UNION ALL SELECT 'hmmt25_feb', id, {_canon("problem")} FROM hmmt25_feb
+  UNION ALL SELECT 'raw_record', raw_id, array_to_string(pairs, chr(30)) FROM ({_PAIRS})),
+g AS (SELECT tbl, k, min(id) AS kept_id, count(*)::BIGINT AS n FROM r WHERE k <> '' GROUP BY tbl, k)"""
+P1_FOUND_SQL = f"{_GROUPS} SELECT r.tbl, kept_id, id AS copy_id FROM r JOIN g ON r.tbl = g.tbl AND r.k = g.k WHERE id <> kept_id"
+P1_RECORDS_SQL = f"{_GROUPS} SELECT tbl, kept_id, n FROM g"

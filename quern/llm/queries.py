@@ -21,4 +21,10 @@ QUERIES = {
     "p8_redacted": personal.p8_redacted,
 }
 
-SQL = {"p3_sample": sample.P3_SQL}
+SQL = {
+    "p1_found": ledger.P1_FOUND_SQL,
+    "p1_records": ledger.P1_RECORDS_SQL,
+    "p2_found": visual.P2_FOUND_SQL,
+    "p2_forms": visual.P2_FORMS_SQL,
+    "p3_sample": sample.P3_SQL,
+}
