@@ -69,8 +69,10 @@ _INITIAL = re.compile(rf"(?<!º )(?<![\w@.\-/'’̀-ͯ])({_INI})(?:[^\S\n]?(?P<n
 _AT = r"(?:\s?@\s?|\s?[\(\[\{]\s?(?:at|AT|At)\s?[\)\]\}]\s?|\s(?:AT|at)\s)"
 _DOT = r"(?:\.|\s?[\(\[\{]\s?(?:dot|DOT|Dot)\s?[\)\]\}]\s?|\s(?:dot|DOT)\s)"
 _EMAIL = re.compile(rf"(?<![\w.+@-])([\w](?:[\w.+-]*[\w])?)({_AT})([\w-]+(?:{_DOT}[\w-]+)*{_DOT}([A-Za-z]{{2,}}))(?![\w@-])")
+#: Where an address may have its sign.
+_SIGN = re.compile(r"@|[\(\[\{]\s?(?:at|AT|At)\s?[\)\]\}]|\sAT\s|\sat\s")
 _PHONE = re.compile(r"(?<![\w.+/-])(?:\(?\+|\()?\d[\d()./ \-]{5,24}\d(?!\w)")
-_ID = re.compile(r"(?<![\w./+-])(?:(?!ID|NO|NR|SS)[A-Z]{1,2}[ -]?)?\d(?:[ ./-]?(?:\d|[A-Z](?![a-z])))*(?!\w)")
+_ID = re.compile(r"(?<![\w./+-])(?:(?!ID|NO|NR|SS)[A-Z]{1,2}[ -]?)?\d(?:[ ./-]?(?:\d|[A-Z](?![a-z]))){4,}(?!\w)")
 _STREET = [
     re.compile(rf"(?<![\w.\-])\d{{1,5}}[A-Z]?,?[^\S\n](?:(?:N|S|E|W|Old|New|North|South|East|West)\.?[^\S\n])?{CAP}(?:[^\S\n]{CAP}){{0,2}}[^\S\n](?P<k>{CAP})\b"),
     re.compile(rf"(?<![\w.\-])\d{{1,5}}(?:[^\S\n]?(?:bis|ter|[a-z])\b)?,?[^\S\n](?P<k>[a-zé]{{2,10}})[^\S\n](?:de[^\S\n]la[^\S\n]|de[^\S\n]l['’]|du[^\S\n]|des[^\S\n]|de[^\S\n]|d['’])?{CAP}"),
@@ -78,6 +80,7 @@ _STREET = [
     re.compile(rf"(?<!\w){_UP}{_L}+?(?P<k>weg|straße|strasse|str|platz|gasse|allee|ufer|damm)\.?[^\S\n]\d{{1,5}}(?:[^\S\n]?[a-z])?(?!\w)"),
     re.compile(rf"(?<!\w)(?:Am|An der|An den|Im|In der|Zum|Zur|Auf dem|Auf der)[^\S\n](?:{CAP}[^\S\n])?(?P<k>{CAP})[^\S\n]\d{{1,5}}(?:[^\S\n]?[a-z])?(?!\w)"),
 ]
+_LETTERS = re.compile(rf"{_L}+")
 _TOKEN = re.compile(rf"{_L}+(?:-{_L}+)*|\d+|\S")
 #: What may stand right of a capitalised name that is no person.
 _THING = re.compile(r"[^\S\n]+(?:lemma|bound|theorem|inequality|conjecture|cup|hall|street|st|lane|square|bridge|island|tree|graph|matrix|sequence)\b", re.I)
@@ -86,17 +89,20 @@ _THING = re.compile(r"[^\S\n]+(?:lemma|bound|theorem|inequality|conjecture|cup|h
 def fold(text: str) -> tuple[str, list[int] | None]:
     """The text with look-alike characters replaced, and for each character its place in the stored text
     (None where they are the same). Letters with accents stay as they are."""
-    if text.isascii():
+    table, changed = form_table(), {}
+    for ch in set(text):
+        if not ch.isascii() and (f := table.get(ord(ch))) is not None and not (len(f) > 1 and unicodedata.combining(f[-1])):
+            changed[ch] = f
+    if not changed:
         return text, None
-    table, out, at = form_table(), [], []
-    for i, ch in enumerate(text):
-        f = table.get(ord(ch), ch) if not ch.isascii() else ch
-        if len(f) > 1 and unicodedata.combining(f[-1]):
-            f = ch
-        for x in f:
-            out.append(x)
-            at.append(i)
-    return "".join(out), at
+    out, at, done = [], [], 0
+    for m in re.finditer("[" + re.escape("".join(changed)) + "]", text):
+        i = m.start()
+        f = changed[m[0]]
+        out += [text[done:i], f]
+        at += [*range(done, i), *[i] * len(f)]
+        done = i + 1
+    return "".join(out) + text[done:], [*at, *range(done, len(text))]
 
 
 def _word(t: str) -> str:
@@ -120,7 +126,7 @@ def _around(text: str, a: int, b: int) -> tuple[str, str, str]:
 
 def _titled(text: str, a: int, b: int) -> bool:
     """Whether nearly all words around are capitalised, so that capitals tell nothing."""
-    near = [w for w in re.findall(rf"{_L}+", text[max(0, a - 45) : a] + " " + text[b : b + 45])[1:-1] if len(w) > 1]
+    near = [w for w in _LETTERS.findall(text[max(0, a - 45) : a] + " " + text[b : b + 45])[1:-1] if len(w) > 1]
     return len(near) >= 4 and sum(w[0].isupper() for w in near) >= 0.6 * len(near)
 
 
@@ -138,14 +144,21 @@ def candidates(text: str) -> Iterator[tuple]:
         return kind, first, end, unicodedata.normalize("NFC", inst.lower()), unicodedata.normalize("NFC", extra.lower()), form, l1, l2, r1
 
     mails = []
-    pos = 0
-    while m := _EMAIL.search(t, pos):
-        sign = m[2].strip()
-        spelled = sign != "@"
-        if m[2] != "@" and sign == "@" or sign == "at" and not re.search(r"\bdot\b", m[3], re.I):
-            pos = m.start(2) + 1
+    done = 0
+    for sign in _SIGN.finditer(t):
+        a = sign.start() - (sign.start() > 0 and t[sign.start() - 1].isspace())
+        while a > done and (t[a - 1].isalnum() or t[a - 1] in "_.+-"):
+            a -= 1
+        while a < sign.start() and t[a] in ".+-":
+            a += 1
+        m = _EMAIL.match(t, a)
+        if not m or m.start(2) > sign.start():
+            continue
+        mark = m[2].strip()
+        spelled = mark != "@"
+        if m[2] != "@" and mark == "@" or mark == "at" and not re.search(r"\bdot\b", m[3], re.I):
             continue
-        pos = m.end()
+        done = m.end()
         mails.append(m.span())
         yield row("email", *m.span(), m[4], "", "spelled" if spelled else "plain")
     inside = lambda a: any(x <= a < y for x, y in mails)
