@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,22 +135,36 @@ def prefix_or_suffix(tokens: str, prefix: int, suffix: int) -> Column:
     return F.filter(tokens, lambda t, i: (i < prefix) | (i >= n - suffix))
 
 
-def greedy_near_dedup(df: DataFrame, row_id: str, source: str, family: str, tokens: str, radius: int = 3) -> DataFrame:
+def block_keys(h: Column, radius: int, blocks: int) -> Column:
+    """Keys of which two 64-bit hashes within `radius` bits share at least one: the hash is cut to `blocks` blocks,
+    and a key names blocks - radius of them with their bits. More blocks make more, but rarer keys: with radius 3,
+    4 blocks give 4 keys of 16 bits, 5 give 10 of 26, 6 give 20 of 32."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    bits = [F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)) for i in range(blocks)]
+    keys = [F.xxhash64(F.lit(k), *(bits[i] for i in c)) for k, c in enumerate(itertools.combinations(range(blocks), blocks - radius))]
+    return F.array(*keys)
+
+
+def hamming_pairs(nodes: DataFrame, row_id: str, h: str, radius: int, blocks: int) -> DataFrame:
+    """(a, b), a < b: all pairs of rows whose hashes differ in at most `radius` bits. Hashes should be distinct."""
+    keyed = nodes.select(F.col(row_id).alias("a"), F.col(h).alias("ha"), F.explode(block_keys(F.col(h), radius, blocks)).alias("k"))
+    other = keyed.toDF("b", "hb", "k")
+    return keyed.join(other, "k").filter((F.col("a") < F.col("b")) & (X.hamming(F.col("ha"), F.col("hb")) <= radius)).select("a", "b").distinct()
+
+
+def greedy_near_dedup(df: DataFrame, row_id: str, source: str, family: str, tokens: str, radius: int = 3, blocks: int = 5) -> DataFrame:
     """(row_id, kept): what a pass in ascending id keeps if it rejects a row with the fingerprint of an earlier
     row, one of an earlier kept (source, family), and one within `radius` bits of a kept fingerprint.
 
     That is the lexicographically first maximal independent set of the conflict graph: in each round a row all
     of whose earlier neighbours are rejected is kept, and its neighbours are rejected. Rows are collapsed by
     fingerprint, and families linked to all members only through a first undecided one, so neither copies nor
-    a family with a tenth of the rows make pairs; fingerprint links come from four 16-bit bands, of which three
-    flipped bits leave one untouched."""
+    a family with a tenth of the rows make pairs; fingerprint links come from keys of untouched blocks."""
     rows = df.select(row_id, source, family, X.simhash64(F.col(tokens)).alias("h"))
     rows = materialize(rows, "dedup-rows")
     first = rows.groupBy("h").agg(F.min(F.struct(row_id, source, family)).alias("r"))
     nodes = materialize(first.select(F.col(f"r.{row_id}").alias("id"), F.col(f"r.{source}").alias("source"), F.col(f"r.{family}").alias("family"), "h"), "dedup-nodes")
-    bands = nodes.select("id", "h", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), X.band(F.col("h"), i).alias("b")) for i in range(4)))).alias("k")).select("id", "h", "k.i", "k.b")
-    a, b = bands.toDF("id", "h", "i", "b"), bands.toDF("id2", "h2", "i", "b")
-    near = a.join(b, ["i", "b"]).filter((F.col("id") < F.col("id2")) & (X.hamming(F.col("h"), F.col("h2")) <= radius)).select("id", "id2").distinct()
+    near = hamming_pairs(nodes, "id", "h", radius, blocks).toDF("id", "id2")
     near = materialize(near, "dedup-near")
     state = nodes.select("id", "source", "family", F.lit(None).cast("boolean").alias("kept"))
     while True:

@@ -30,9 +30,10 @@ def scaffolding(spark, d):
 def simhash_pairs(spark, d):
     c = table(spark, d, "sft_candidate").filter("code IS NOT NULL").select("cand_id", X.simhash64(X.code_tokens(F.col("code"))).alias("h"))
     first = c.groupBy("h").agg(F.min("cand_id").alias("id"), F.count(F.lit(1)).alias("copies"))  # copies aren't paired
-    bands = first.select("id", "h", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), X.band(F.col("h"), i).alias("b")) for i in range(4)))).alias("k")).select("id", "h", "k.i", "k.b")
-    pairs = bands.toDF("a", "ha", "i", "b").join(bands.toDF("z", "hz", "i", "b"), ["i", "b"]).filter("a < z").withColumn("distance", X.hamming(F.col("ha"), F.col("hz")))
-    return pairs.filter("distance <= 3").select("a", "z", "distance").distinct()
+    pairs = curate.hamming_pairs(first, "id", "h", 3, 5)
+    h = first.select("id", "h")
+    out = pairs.join(h.toDF("a", "ha"), "a").join(h.toDF("b", "hb"), "b")
+    return out.select("a", "b", X.hamming(F.col("ha"), F.col("hb")).alias("distance"))
 
 
 @book.query("jn15_arm_positions", "SELECT o_orderpriority AS arm, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS position FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
@@ -320,3 +321,99 @@ def curation_funnel(spark, d):
     one = lambda df, c, name: df.agg(c.cast("long").alias("n")).select(F.lit(name).alias("stage"), "n")
     n = F.count(F.lit(1))
     return one(docs, n, "read").unionByName(one(g, F.sum("copies"), "text")).unionByName(one(g, n, "distinct")).unionByName(one(g.filter("`values` <= 1"), n, "no_conflict"))
+
+
+@book.query("sc04_streamed_rows", "SELECT count(*)::BIGINT AS n, sum(value)::DECIMAL(18,2)::DOUBLE AS total FROM events")
+def streamed_rows(spark, d):
+    from quern.streaming import telemetry as S
+
+    rows = S.run_to_table(S.event_stream(spark, f"{d}/events.parquet").select("event_id", "value"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@book.query("sf11_unboxed")
+def unboxed(spark, d):
+    docs = table(spark, d, "documents").filter(F.contains("text", F.lit("boxed"))).select("doc_id", X.last_boxed(F.col("text")).alias("b"))
+    return docs.select("doc_id", X.unboxed(F.col("b")).alias("answer"))
+
+
+@book.query("sf12_boxed_or_none", "SELECT doc_id, CASE WHEN contains(text, '\\boxed{') THEN 'some' ELSE 'None' END AS found FROM documents WHERE text IS NOT NULL")
+def boxed_or_none(spark, d):
+    b = F.coalesce(F.trim(X.unboxed(X.last_boxed(F.col("text")))), F.lit("None"))
+    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.when(b == "None", "None").otherwise("some").alias("found"))
+
+
+@book.query("sf16_python_code")
+def python_code(spark, d):
+    c = table(spark, d, "sft_candidate").filter("code IS NOT NULL").select("cand_id", F.coalesce(X.last_fence(F.col("code")), F.col("code")).alias("body"))
+    return c.select("cand_id", F.length("body").alias("n"), X.python_ok(F.col("body")).alias("ok"))
+
+
+@book.query("sf25_fence_split", "SELECT cand_id, length(split_part(split_part(code, '```python', -1), '```', 1))::BIGINT AS n FROM sft_candidate WHERE contains(code, '```python')")
+def fence_split(spark, d):
+    part = F.split_part(F.split_part("code", F.lit("```python"), F.lit(-1)), F.lit("```"), F.lit(1))
+    return table(spark, d, "sft_candidate").filter(F.contains("code", F.lit("```python"))).select("cand_id", F.length(part).cast("long").alias("n"))
+
+
+@book.query("mf06_eigenvalues")
+def eigenvalues(spark, d):
+    return geometry.spectrum(geometry.gram(geometry.mean_vectors(table(spark, d, "embeddings"), "label", "embedding"), "label")).select("k", "value")
+
+
+@book.query("mf07_participation", "WITH e AS (SELECT p_brand, sum(p_size) AS v FROM part GROUP BY 1) SELECT round(sum(v) * sum(v) / sum(v * v), 6) AS participation, round(sum(v) / max(v), 6) AS stable_rank FROM e")
+def participation(spark, d):
+    e = table(spark, d, "part").groupBy("p_brand").agg(F.sum("p_size").cast("double").alias("v"))
+    return e.agg(F.round(F.sum("v") * F.sum("v") / F.sum(F.col("v") * F.col("v")), 6).alias("participation"), F.round(F.sum("v") / F.max("v"), 6).alias("stable_rank"))
+
+
+@book.query("mf12_splitmix")
+def splitmix(spark, d):
+    from quern.operators.replay import sketch_cell
+
+    c = sketch_cell(F.col("c_custkey"), F.lit(7), F.lit(1024))
+    return table(spark, d, "customer").select("c_custkey", c["bucket"].alias("bucket"), c["sign"].alias("sign"))
+
+
+@book.query("mf13_floor_arithmetic", "SELECT o_orderkey, o_orderkey // 256 AS step, o_orderkey % 256 AS position FROM orders")
+def floor_arithmetic(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.expr("o_orderkey div 256").alias("step"), (F.col("o_orderkey") % 256).alias("position"))
+
+
+@book.query("af01_canonical_json", "SELECT r_regionkey, '{\"r_name\":\"' || r_name || '\",\"r_regionkey\":' || r_regionkey || '}' AS j FROM region")
+def canonical_json(spark, d):
+    return table(spark, d, "region").select("r_regionkey", X.canonical_json("r_regionkey", "r_name").alias("j"))
+
+
+@book.query("af04_first_elements", "SELECT vec_id, list_transform(list_slice(embedding, 1, 3), lambda x: round(x::DOUBLE, 5)) AS head FROM embeddings")
+def first_elements(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x.cast("double"), 5)).alias("head"))
+
+
+@book.query("an15_widened_control", "WITH p AS (SELECT abs(c_acctbal - s_acctbal) AS gap FROM customer JOIN supplier ON c_nationkey = s_nationkey) SELECT tau, count(*)::BIGINT AS pairs FROM p, (SELECT unnest([5, 10, 20]) AS tau) WHERE gap <= tau GROUP BY tau")
+def widened_control(spark, d):
+    from quern.operators.joins import range_join
+
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_acctbal")
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), "s_acctbal")
+    p = range_join(c, s, "c_acctbal", "s_acctbal", 20.0, ("nation",)).select(F.abs(F.col("c_acctbal") - F.col("s_acctbal")).alias("gap"))
+    taus = F.explode(F.filter(F.array(*map(F.lit, (5, 10, 20))), lambda t: F.col("gap") <= t))
+    return p.select(taus.alias("tau")).groupBy("tau").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@book.query("an20_crossfit_between")
+def crossfit_between(spark, d):
+    a, b = map(_matrix, _halves(spark, d))
+    c = (a - a.mean(0)).T @ (b - b.mean(0)) / max(1, len(a) - 1)
+    ev = np.linalg.eigvalsh((c + c.T) / 2)
+    return spark.createDataFrame([(float(ev.sum()), float(ev[ev > 0].sum()), float(-ev[ev < 0].sum()))], "signed double, positive double, negative double")
+
+
+@book.query("ck11_identity", "SELECT count(DISTINCT source_revision)::BIGINT AS revisions, source FROM sft_candidate GROUP BY source")
+def identity(spark, d):
+    g = table(spark, d, "sft_candidate").groupBy("source", "source_revision").agg(F.count(F.lit(1)).alias("n"))
+    return g.groupBy("source").agg(F.count("source_revision").alias("revisions"))
+
+
+@book.query("ck12_contract", "SELECT verification_level, count(*)::BIGINT AS n, bool_and(coalesce(rendered.n_tokens, 1) < 100000) AS bounded FROM sft_candidate GROUP BY 1")
+def contract(spark, d):
+    return table(spark, d, "sft_candidate").groupBy("verification_level").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce("rendered.n_tokens", F.lit(1)) < 100000).alias("bounded"))

@@ -35,6 +35,13 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(at)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch path that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -263,3 +263,19 @@ def test_variance_components_add_up(spark):
     rows = [(int(g), float(x)) for g in range(6) for x in r.normal(g, 1, 5 + g)]
     got = geometry.variance_components(spark.createDataFrame(rows, "g int, v double"), "g", "v").first()
     assert got.common + got.between + got.within == pytest.approx(sum(v * v for _, v in rows))
+
+
+@pytest.mark.parametrize("blocks", [4, 5, 6])
+def test_hamming_pairs(spark, blocks):
+    r = random.Random(blocks)
+    base = [r.getrandbits(64) for _ in range(20)]
+    hashes = []
+    for i in range(120):
+        h = r.choice(base)
+        for _ in range(r.randrange(6)):
+            h ^= 1 << r.randrange(64)
+        hashes.append(h)
+    hashes = list(dict.fromkeys([*hashes, 0, 2**64 - 1]))
+    df = spark.createDataFrame([(i, h - (1 << 64) if h >= 1 << 63 else h) for i, h in enumerate(hashes)], "i long, h long")
+    got = {tuple(x) for x in curate.hamming_pairs(df, "i", "h", 3, blocks).collect()}
+    assert got == {(i, j) for i, x in enumerate(hashes) for j, y in enumerate(hashes) if i < j and (x ^ y).bit_count() <= 3}
