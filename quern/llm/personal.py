@@ -12,7 +12,8 @@ Texts are read with full-width forms, ligatures, look-alikes, odd spaces and inv
 positions always are those of the stored text, from 1, in Unicode characters.
 
 Defined cases: NULL and empty texts hold nothing; copies of a document count again, rows that repeat a
-doc_id with another text are read one by one, those with the same text once; empty tables give no rows; other columns aren't read. Overlaps of two kinds go to the
+doc_id with another text are read one by one, those with the same text once; NULL ids are
+kept; empty tables give no rows; other columns aren't read. Overlaps of two kinds go to the
 one that starts first, then to the longer one.
 """
 
@@ -80,6 +81,7 @@ _STREET = [
     re.compile(rf"(?<!\w){_UP}{_L}+?(?P<k>weg|straße|strasse|str|platz|gasse|allee|ufer|damm)\.?[^\S\n]\d{{1,5}}(?:[^\S\n]?[a-z])?(?!\w)"),
     re.compile(rf"(?<!\w)(?:Am|An der|An den|Im|In der|Zum|Zur|Auf dem|Auf der)[^\S\n](?:{CAP}[^\S\n])?(?P<k>{CAP})[^\S\n]\d{{1,5}}(?:[^\S\n]?[a-z])?(?!\w)"),
 ]
+_NUMBER = re.compile(r"(?<!\d)\d{1,5}(?!\d)")
 _LETTERS = re.compile(rf"{_L}+")
 _TOKEN = re.compile(rf"{_L}+(?:-{_L}+)*|\d+|\S")
 #: What may stand right of a capitalised name that is no person.
@@ -190,9 +192,16 @@ def candidates(text: str) -> Iterator[tuple]:
     for m in _ID.finditer(t):
         if 7 <= sum(c.isalnum() for c in m[0]) <= 17 and sum(c.isdigit() for c in m[0]) >= 5 and not inside(m.start()):
             yield row("id_number", *m.span(), _shape(m[0]))
-    for k, r in enumerate(_STREET):
-        for m in r.finditer(t):
-            if not inside(m.start()):
+    seen = set()
+    for n in _NUMBER.finditer(t):
+        p = n.start()
+        hits = [(k, m) for k in (0, 1) if (m := _STREET[k].match(t, p))]
+        before = t[max(0, p - 30) : p].split()
+        if before and (before[-1][0].isupper() or before[-1][-1] in "º°o." and before[-1][0] == "n"):
+            hits += [(k, m) for k in (2, 3, 4) for m in _STREET[k].finditer(t, max(0, p - 90), min(len(t), n.end() + 8)) if m.end() > p]
+        for k, m in hits:
+            if (k, m.span()) not in seen and not inside(m.start()):
+                seen.add((k, m.span()))
                 yield row("address", *m.span(), f"{k} {m['k']}", "", "titled" if _titled(t, *m.span()) else "")
 
 
@@ -313,7 +322,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with a typed placeholder for each occurrence; NULL texts stay NULL."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = occurrences(docs).groupBy("doc_id", "row").agg(F.collect_list(F.struct("pii_type", "first", "stop")).alias("spans"))
-    return docs.withColumn("row", F.xxhash64("text")).join(spans, ["doc_id", "row"], "left").select("doc_id", "text", "spans").mapInArrow(_redact, "doc_id long, text string")
+    docs, spans = docs.withColumn("row", F.xxhash64("text")), spans.toDF("_id", "_row", "spans")
+    same = docs["doc_id"].eqNullSafe(spans["_id"]) & (docs["row"] == spans["_row"])  # a NULL id must not keep its text
+    return docs.join(spans, same, "left").select("doc_id", "text", "spans").mapInArrow(_redact, "doc_id long, text string")
 
 
 def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
