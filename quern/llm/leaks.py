@@ -12,7 +12,7 @@ in a broadcast variable, and all blocks are searched in one pass over the docume
 one pass each otherwise. Documents are never shuffled.
 
 Defined cases: NULL and empty texts leak nothing; items under `least` words have no pattern; an item repeated
-under another id is reported for each id; repeated documents are reported for each row's id once; empty tables
+under another id is reported for each id; documents are reported row by row, also under a NULL id; items with a NULL id aren't searched; empty tables
 give no rows; other columns aren't read.
 """
 

@@ -6,7 +6,9 @@ id. It is stored by bucket of the key. A new batch is aggregated first (map-side
 third of all rows costs one row a task), then full-outer-joined with the buckets it touches; those buckets
 get a new version, all others stay as they are and aren't read.
 
-Defined cases: NULL, unparseable and empty contents have no key and never enter the ledger; repeated ids in
+A ledger of an earlier session is gone on with by naming its root.
+
+Defined cases: NULL ids count but are never the representative; NULL, unparseable and empty contents have no key and never enter the ledger; repeated ids in
 one batch count once for each row; ties of the representative go to the smallest id; empty batches change
 nothing; extra columns of any name are ignored, since only id and key columns are taken.
 """
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import lookup_skewed, materialize, scratch
+from quern.session import children, lookup_skewed, materialize, scratch
 
 BUCKETS = 16
 KEPT = r"[^\p{L}\p{M}\p{N}+\-<>=]+"
@@ -53,8 +55,14 @@ class Ledger:
     The driver holds only the path of each bucket's newest version (BUCKETS strings)."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
+        """root: where a ledger is, to go on with it; a new one in the shared folder if not given."""
         self.spark, self.root, self.version = spark, root or scratch(spark, "ledger"), 0
         self.paths: dict[int, str] = {}
+        for v in sorted((int(x[1:]) for x in children(spark, self.root) if x[:1] == "v")):
+            names = children(spark, f"{self.root}/v{v}")
+            if "_SUCCESS" in names:  # a version that broke off doesn't count
+                self.paths |= {int(x[7:]): f"{self.root}/v{v}/{x}" for x in names if x.startswith("bucket=")}
+            self.version = v + 1
 
     def read(self, buckets: list[int] | None = None) -> DataFrame:
         paths = sorted({self.paths[b] for b in (self.paths if buckets is None else buckets) if b in self.paths})
@@ -80,15 +88,11 @@ class Ledger:
                 F.least("o.first_id", "b.first_id").alias("first_id"),
             )
         else:
-            merged, touched = new, list(range(BUCKETS))
+            merged = new
         merged = merged.withColumn(out, bucket_of(F.col("key")))
         merged.repartition(BUCKETS, out).write.partitionBy(out).parquet(at)
         self.version += 1
-        j = self.spark._jvm.org.apache.hadoop.fs.Path(at)
-        fs = j.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        for b in touched:
-            if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{out}={b}")):
-                self.paths[b] = f"{at}/{out}={b}"
+        self.paths |= {int(x[7:]): f"{at}/{x}" for x in children(self.spark, at) if x.startswith("bucket=")}
 
 
 def records(df: DataFrame, tbl: str, id_col: str, key: Column, delivered: Column) -> DataFrame:

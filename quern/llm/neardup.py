@@ -21,7 +21,7 @@ An exact comparison of the shingle sets confirms each link the trees give, and g
 components.
 
 Defined cases: NULLs and texts under `least_words` words are left out; texts that agree word for word, case
-and form aside, are in one group; repeated ids count as copies; empty tables give no rows; other columns
+and form aside, are in one group; repeated ids count as copies; rows with a NULL id aren't listed; empty tables give no rows; other columns
 aren't read.
 """
 

@@ -17,10 +17,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import materialize, scratch
+from quern.session import children, materialize, scratch
 
 SEED = "quern-sample-1"
-REGISTER = "item string, prn double, first_batch int, best_rank bigint, best_batch int"
+REGISTER = "item string, prn double, first_batch int"
 
 
 def item_of(c: Column) -> Column:
@@ -42,17 +42,20 @@ class Register:
     """The persisted numbers. Each insert appends a new part; nothing is rewritten."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark, self.root, self.parts = spark, root or scratch(spark, "register"), []
+        """root: where a register is, to go on with it; a new one in the shared folder if not given."""
+        self.spark, self.root = spark, root or scratch(spark, "register")
+        self.parts = [f"{self.root}/{x}" for x in children(spark, self.root) if "_SUCCESS" in children(spark, f"{self.root}/{x}")]
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema("item string, prn double, first_batch int").parquet(*self.parts) if self.parts else self.spark.createDataFrame([], "item string, prn double, first_batch int")
+        return self.spark.read.schema(REGISTER).parquet(*self.parts) if self.parts else self.spark.createDataFrame([], REGISTER)
 
     def insert(self, items: DataFrame, batch: int) -> None:
         """items: one row for each item. Those already there keep their number and batch."""
-        new = items.join(self.read(), "item", "left_anti") if self.parts else items
         at = f"{self.root}/batch-{batch}"
+        self.parts = [p for p in self.parts if p != at]  # a batch that comes again replaces its part
+        new = items.join(self.read(), "item", "left_anti") if self.parts else items
         new.select("item", permanent_number(F.col("item")).alias("prn"), F.lit(batch).alias("first_batch")).write.mode("overwrite").parquet(at)
-        self.parts = [*[p for p in self.parts if p != at], at]
+        self.parts.append(at)
 
 
 def stable_sample(rows: DataFrame, threshold_of: Callable[[int], float] = threshold) -> DataFrame:

@@ -7,7 +7,7 @@ ligatures, invisible characters, spaces, hyphens) and the look-alike letters; it
 Combining marks are ordered by their class behind their base, the string is rebuilt, and composed.
 
 Defined cases: NULL stays NULL, an empty text stays empty; ASCII texts are their own form and skip the
-explosion; ids may repeat (rows are told apart by text); extra columns aren't touched.
+explosion; a key must stand for one text; rows with a NULL id make no pairs; extra columns aren't touched.
 """
 
 from __future__ import annotations

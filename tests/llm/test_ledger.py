@@ -93,3 +93,12 @@ def test_a_hot_key_and_other_columns(spark):
 def test_empty(spark):
     recs, book = run(spark, [])
     assert book.read().count() == 0 and ledger.copies(recs, book).count() == 0
+
+
+def test_a_ledger_is_gone_on_with(spark, tmp_path):
+    root = f"file://{tmp_path}/ledger"
+    make = lambda rows: spark.createDataFrame(rows, "id long, tbl string, text string").withColumn("key", ledger.text_key(F.col("text")))
+    ledger.Ledger(spark, root).add(make([(5, "t", "a"), (6, "t", "b"), (None, "t", "a")]))
+    ledger.Ledger(spark, root).add(make([(2, "t", "A."), (9, "u", "a")]))
+    (tmp_path / "ledger" / "v7" / "bucket=0").mkdir(parents=True)  # broke off
+    assert {(r.tbl, r.n, r.first_id) for r in ledger.Ledger(spark, root).read().collect()} == {("t", 3, 2), ("t", 1, 6), ("u", 1, 9)}

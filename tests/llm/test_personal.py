@@ -112,3 +112,10 @@ def test_positions_are_those_of_the_stored_text():
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert personal.occurrences(df).count() == 0 and personal.redacted(df).count() == 0
+
+
+def test_null_ids_are_redacted_too(spark):
+    texts, _ = corpus(5, 70)
+    rows = [(i, t) for i, t in texts] + [(None, texts[4][1])]
+    out = personal.redacted(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id IS NULL").first().text
+    assert "[EMAIL]" in out

@@ -67,3 +67,12 @@ def test_register_keeps_numbers(spark):
 
 def test_empty(spark):
     assert sample.stable_sample(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_register_is_gone_on_with(spark, tmp_path):
+    root = f"file://{tmp_path}/register"
+    df = lambda *x: spark.createDataFrame([(i,) for i in x], "item string")
+    sample.Register(spark, root).insert(df("a", "b"), 1)
+    sample.Register(spark, root).insert(df("b", "c"), 2)
+    sample.Register(spark, root).insert(df("b", "c", "d"), 2)  # the batch comes again
+    assert {(r.item, r.first_batch) for r in sample.Register(spark, root).read().collect()} == {("a", 1), ("b", 1), ("c", 2), ("d", 2)}
