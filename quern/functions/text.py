@@ -125,6 +125,7 @@ def unboxed(c: Column) -> Column:
 def plain_answer(c: Column) -> Column:
     """A mathematical answer without sizing and spacing commands, dollars, white space, final full stops and a
     leading plus sign."""
+    # The commands that only size or space.
     for x in ("\\left", "\\right", "\\,", "\\!", "\\;", "\\:", "\\qquad", "\\quad", "$"):
         c = F.replace(c, F.lit(x), F.lit(""))
     c = F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", ""), r"\.+$", "")

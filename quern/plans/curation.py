@@ -121,9 +121,9 @@ def first_present(spark, d):
     return table(spark, d, "sft_candidate").select("cand_id", curate.first_present("family_id", "native_id", "source_row_id").alias("key"))
 
 
-@book.query("pf10_flat_strings", f"SELECT raw_id, count(*)::BIGINT AS strings, sum(length(trim(v)))::BIGINT AS chars FROM ({FIELDS}) WHERE length(trim(v)) >= 24 AND v NOT LIKE ' %' GROUP BY raw_id")
+@book.query("pf10_flat_strings", f"SELECT raw_id, count(*)::BIGINT AS strings, sum(length(trim(v)))::BIGINT AS chars FROM ({FIELDS}) WHERE length(trim(v)) >= 24 GROUP BY raw_id")
 def flat_strings(spark, d):
-    values = curate.payload_strings(table(spark, d, "raw_record"), "payload").filter("length(trim(value)) >= 24 AND value NOT LIKE ' %'")
+    values = curate.payload_strings(table(spark, d, "raw_record"), "payload").filter("length(trim(value)) >= 24")
     return values.groupBy("raw_id").agg(F.count(F.lit(1)).alias("strings"), F.sum(F.length(F.trim("value"))).alias("chars"))
 
 
@@ -222,11 +222,11 @@ def short_carriers(spark, d):
 @book.query(
     "jn01_metadata_join",
     """WITH m AS (SELECT index, min(baseline_step) AS step FROM rollout_metadata WHERE index IS NOT NULL GROUP BY index)
-    SELECT data_source, count(*)::BIGINT AS rows_in, count(index)::BIGINT AS matched, sum(step)::BIGINT AS steps FROM (SELECT data_source, TRY_CAST(source_index AS BIGINT) AS i FROM order_rows WHERE source_index NOT LIKE '%.%') LEFT JOIN m ON i = index GROUP BY data_source""",
+    SELECT data_source, count(*)::BIGINT AS rows_in, count(index)::BIGINT AS matched, sum(step)::BIGINT AS steps FROM (SELECT data_source, TRY_CAST(TRY_CAST(source_index AS DOUBLE) AS BIGINT) AS i FROM order_rows) LEFT JOIN m ON i = index GROUP BY data_source""",
 )
 def metadata_join(spark, d):
     m = table(spark, d, "rollout_metadata").filter("index IS NOT NULL").groupBy("index").agg(F.min("baseline_step").alias("step"))
-    o = table(spark, d, "order_rows").filter("source_index NOT LIKE '%.%'").select("data_source", F.expr("try_cast(source_index AS bigint)").alias("index"))
+    o = table(spark, d, "order_rows").select("data_source", F.expr("try_cast(try_cast(source_index AS double) AS bigint)").alias("index"))
     return o.join(m.withColumn("hit", F.lit(1)), "index", "left").groupBy("data_source").agg(F.count(F.lit(1)).alias("rows_in"), F.count("hit").alias("matched"), F.sum("step").alias("steps"))
 
 

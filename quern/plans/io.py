@@ -77,9 +77,9 @@ def content_cache(spark, d):
     return files.cached(spark, config, build)[0]
 
 
-@book.query("sc14_gzip_csv", "SELECT schedule_id, position, step, item_sha256 FROM order_rows WHERE item_sha256 IS NOT NULL")
+@book.query("sc14_gzip_csv", "SELECT schedule_id, position, step, item_sha256 FROM order_rows")
 def gzip_csv(spark, d):
-    o = table(spark, d, "order_rows").filter("item_sha256 IS NOT NULL").select("schedule_id", "position", "step", "item_sha256")
+    o = table(spark, d, "order_rows").select("schedule_id", "position", "step", "item_sha256")
     return files.round_trip(o, "csv", header="true", compression="gzip", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
 
 

@@ -14,10 +14,9 @@ book = Book()
 QUERIES, SQL = book.queries, book.sql
 
 
-@book.query("sf01_normalize", "SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g')))::BIGINT AS n FROM documents WHERE regexp_full_match(text, '[\\x20-\\x7e\\n]*')")
+@book.query("sf01_normalize")
 def normalize(spark, d):
-    t = table(spark, d, "documents").filter(F.col("text").rlike(r"^[\x20-\x7e\n]*$"))
-    return t.select("doc_id", F.length(X.normalized(F.col("text"))).cast("long").alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.length(X.normalized(F.col("text"))).cast("long").alias("n"))
 
 
 @book.query("sf02_loose_key", "SELECT doc_id, sha256(regexp_replace(lower(text), '[^0-9a-z]', '', 'g')) AS k FROM documents WHERE text IS NOT NULL")
@@ -54,15 +53,13 @@ def plain_answer(spark, d):
 
 @book.query(
     "sf14_ratio",
-    """SELECT id, CASE WHEN regexp_matches(a, '^-?[0-9]{1,12}$') THEN a::BIGINT WHEN regexp_matches(a, 'frac') THEN regexp_extract(a, 'frac\\{(-?[0-9]+)\\}', 1)::BIGINT WHEN regexp_matches(a, '^-?[0-9]+/[0-9]+$') THEN split_part(a, '/', 1)::BIGINT END AS num,
-    CASE WHEN regexp_matches(a, '^-?[0-9]{1,12}$') THEN 1 WHEN regexp_matches(a, 'frac') THEN regexp_extract(a, '\\}\\{(-?[0-9]+)\\}', 1)::BIGINT WHEN regexp_matches(a, '^-?[0-9]+/[0-9]+$') THEN split_part(a, '/', 2)::BIGINT END AS den
-    FROM (SELECT id, replace(replace(answer, '$', ''), ' ', '') AS a FROM hmmt25_feb) WHERE a NOT LIKE '%.%' AND a NOT LIKE '-%frac%'""",
+    r"""WITH t AS (SELECT id, regexp_replace(replace(regexp_replace(regexp_replace(replace(answer, '$', ''), '\s+', '', 'g'), '\.+$', ''), ',', ''), '\\d?frac\{(-?[0-9]+)\}\{(-?[0-9]+)\}', '\1/\2') AS a FROM hmmt25_feb)
+    SELECT id, CASE WHEN regexp_full_match(a, '-?[0-9]{1,12}') THEN a::BIGINT WHEN regexp_full_match(a, '-?[0-9]*\.[0-9]{1,6}') THEN replace(a, '.', '')::BIGINT WHEN regexp_full_match(a, '-?[0-9]+/-?[0-9]+') THEN split_part(a, '/', 1)::BIGINT END AS num,
+    CASE WHEN regexp_full_match(a, '-?[0-9]{1,12}') THEN 1 WHEN regexp_full_match(a, '-?[0-9]*\.[0-9]{1,6}') THEN pow(10, length(split_part(a, '.', 2)))::BIGINT WHEN regexp_full_match(a, '-?[0-9]+/-?[0-9]+') THEN split_part(a, '/', 2)::BIGINT END AS den FROM t""",
 )
 def ratio(spark, d):
-    a = X.plain_answer(F.col("answer"))
-    t = table(spark, d, "hmmt25_feb").select("id", a.alias("a")).filter("a NOT LIKE '%.%' AND a NOT LIKE '-%frac%'")
-    r = X.as_ratio(F.col("a"))
-    return t.select("id", r["num"].alias("num"), r["den"].alias("den"))
+    r = X.as_ratio(X.plain_answer(F.col("answer")))
+    return table(spark, d, "hmmt25_feb").select("id", r["num"].alias("num"), r["den"].alias("den"))
 
 
 @book.query("sf15_last_fence", "SELECT cand_id, length(coalesce(list_last(regexp_extract_all(code, '```(?:python|py)[ \\t]*\\n((?s:.*?))```', 1)), list_last(regexp_extract_all(code, '```[^\\n`]*\\n((?s:.*?))```', 1))))::BIGINT AS n FROM sft_candidate WHERE code IS NOT NULL")
@@ -298,10 +295,10 @@ def inclusion(spark, d):
 
 @book.query(
     "kn10_bernoulli_draw",
-    "WITH u AS (SELECT index, least(1, 0.05 + (index % 10) / 20.0)::DOUBLE AS q, ('0x' || substr(sha256('[7,\"draw\",1,' || index || ']'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM (SELECT DISTINCT index FROM rollout_metadata WHERE index >= 0)) SELECT index, round(1 / q, 6) AS weight FROM u WHERE u < q",
+    "WITH u AS (SELECT index, least(1, 0.05 + ((index % 10 + 10) % 10) / 20.0)::DOUBLE AS q, ('0x' || substr(sha256('[7,\"draw\",1,' || index || ']'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM (SELECT DISTINCT index FROM rollout_metadata WHERE index IS NOT NULL)) SELECT index, round(1 / q, 6) AS weight FROM u WHERE u < q",
 )
 def draw(spark, d):
-    r = table(spark, d, "rollout_metadata").filter("index >= 0").select("index").distinct().withColumn("q", F.least(F.lit(1.0), 0.05 + (F.col("index") % 10) / 20.0))
+    r = table(spark, d, "rollout_metadata").filter("index IS NOT NULL").select("index").distinct().withColumn("q", F.least(F.lit(1.0), 0.05 + F.pmod("index", F.lit(10)) / 20.0))
     return replay.bernoulli_draw(r, "index", "q", 7, 1).select("index", F.round("weight", 6).alias("weight"))
 
 

@@ -110,9 +110,9 @@ def energy_thresholds(spark, d):
     return c.crossJoin(F.broadcast(total)).agg((F.count(F.when(share < 0.5, 1)) + 1).alias("k50"), (F.count(F.when(share < 0.9, 1)) + 1).alias("k90"))  # one row
 
 
-@book.query("wn14_ordered_distinct", "SELECT schedule_id, item_sha256, row_number() OVER (PARTITION BY schedule_id ORDER BY p, item_sha256) - 1 AS at FROM (SELECT schedule_id, item_sha256, min(position) AS p FROM order_rows WHERE item_sha256 IS NOT NULL AND position IS NOT NULL AND position < 256 GROUP BY ALL)")
+@book.query("wn14_ordered_distinct", "SELECT schedule_id, item_sha256, row_number() OVER (PARTITION BY schedule_id ORDER BY p, item_sha256) - 1 AS at FROM (SELECT schedule_id, item_sha256, min(position) AS p FROM order_rows WHERE item_sha256 IS NOT NULL AND position IS NOT NULL GROUP BY ALL)")
 def ordered_distinct(spark, d):
-    o = table(spark, d, "order_rows").filter("item_sha256 IS NOT NULL AND position < 256").groupBy("schedule_id", "item_sha256").agg(F.min("position").alias("p"))
+    o = table(spark, d, "order_rows").filter("item_sha256 IS NOT NULL AND position IS NOT NULL").groupBy("schedule_id", "item_sha256").agg(F.min("position").alias("p"))
     return ranks.ranked(o, ["p", "item_sha256"], "r", ("schedule_id",)).select("schedule_id", "item_sha256", (F.col("r") - 1).alias("at"))
 
 
@@ -191,11 +191,11 @@ def top_k(spark, d):
     return part.withColumn("r", F.row_number().over(W.partitionBy("source").orderBy(*order))).filter("r <= 4").select("source", "doc_id", "n_chars")
 
 
-@book.query("or08_numeric_keys", "SELECT source_index, row_number() OVER (ORDER BY CASE WHEN regexp_matches(source_index, '^[0-9]+$') THEN 0 ELSE 1 END, TRY_CAST(source_index AS BIGINT), source_index) AS at FROM (SELECT DISTINCT source_index FROM order_rows WHERE source_index IS NOT NULL AND source_index NOT LIKE '%.%')")
+@book.query("or08_numeric_keys", "SELECT source_index, row_number() OVER (ORDER BY CASE WHEN regexp_matches(source_index, '^[0-9]+$') THEN 0 ELSE 1 END, CASE WHEN regexp_matches(source_index, '^[0-9]+$') THEN source_index::BIGINT END, source_index) AS at FROM (SELECT DISTINCT source_index FROM order_rows WHERE source_index IS NOT NULL)")
 def numeric_keys(spark, d):
-    k = table(spark, d, "order_rows").filter("source_index IS NOT NULL AND source_index NOT LIKE '%.%'").select("source_index").distinct()
+    k = table(spark, d, "order_rows").filter("source_index IS NOT NULL").select("source_index").distinct()
     digits = F.when(F.col("source_index").rlike("^[0-9]+$"), 0).otherwise(1)
-    return ranks.ranked(k, [digits, F.expr("try_cast(source_index AS bigint)"), F.col("source_index")], "at")
+    return ranks.ranked(k, [digits, F.when(digits == 0, F.expr("try_cast(source_index AS bigint)")), F.col("source_index")], "at")
 
 
 @book.query("or09_cost_order", "SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS at FROM part")

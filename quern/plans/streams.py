@@ -1,4 +1,4 @@
-"""Streaming views of the rollout telemetry (beyond the reference's bounded-memory passes)."""
+"""Streaming views of the rollout telemetry (Spark's windows and keyed state)."""
 
 from __future__ import annotations
 
@@ -47,7 +47,7 @@ def stateful_buffer(spark, d):
     return S.run_to_table(S.bounded_buffer(events(spark, d), 32), "update")
 
 
-@book.query("jn19_as_of", "SELECT o_orderkey, (SELECT max(event_id) FROM events e WHERE e.user_id = o.u AND e.ts = (SELECT max(ts) FROM events f WHERE f.user_id = o.u AND f.ts <= o.t)) AS event_id FROM (SELECT o_orderkey, o_custkey % 20 + 1 AS u, o_orderdate + INTERVAL 30 years AS t FROM orders WHERE o_orderkey % 1 = 0) o")
+@book.query("jn19_as_of", "SELECT o_orderkey, (SELECT max(event_id) FROM events e WHERE e.user_id = o.u AND e.ts = (SELECT max(ts) FROM events f WHERE f.user_id = o.u AND f.ts <= o.t)) AS event_id FROM (SELECT o_orderkey, o_custkey % 20 + 1 AS u, o_orderdate + INTERVAL 30 years AS t FROM orders) o")
 def as_of(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 20 + 1).alias("user_id"), (F.col("o_orderdate") + F.expr("INTERVAL 30 YEARS")).alias("at"))
     e = table(spark, d, "events").select("user_id", "ts", "event_id")
