@@ -320,11 +320,15 @@ def _links(j: float):
     return run
 
 
+def _flag_of(ids: pa.Array) -> np.ndarray:
+    return (mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(FLAGS)).astype(np.int64)
+
+
 def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bitmap of the nodes' slots, in chunks, of a fixed size in each partition."""
+    """A bitmap of the ids' slots, in chunks, of a fixed size in each partition."""
     flags = np.zeros(FLAGS, bool)
     for b in batches:
-        flags[(b.column(0).to_numpy().view(np.uint64) % np.uint64(FLAGS)).astype(np.int64)] = True
+        flags[_flag_of(b.column(0))] = True
     for c in range(FLAGS // _CHUNK):
         part = flags[c * _CHUNK : (c + 1) * _CHUNK]
         if part.any():
@@ -341,13 +345,13 @@ def _or_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(fields: int, shingle: int, least_words: int, flags):
-    """(node, data): 32 bits of each shingle hash, once for each node and partition, for the nodes whose slot
+    """(node, data): 32 bits of each shingle hash, once for each node and partition, for the rows whose id's slot
     is flagged; which of those are needed is settled by a join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, wanted = set(), np.unpackbits(np.frombuffer(flags.value, np.uint8)).astype(bool)
-        for _, _, s in _parts(batches, 0, fields, shingle, least_words):
-            s.keep(np.flatnonzero(wanted[(s.nodes % np.uint64(FLAGS)).astype(np.int64)]))
+        flagged = (b.filter(pa.array(wanted[_flag_of(b.column(0))])) for b in batches)
+        for _, _, s in _parts(flagged, 1, fields, shingle, least_words):
             s.unseen(seen)
             if len(s.places):
                 short = (s.hashes >> np.uint64(32)).astype(np.uint32).tobytes()
@@ -393,13 +397,14 @@ def near_links(df: DataFrame, id_col: str, fields: list[str], j: float, shingle:
     nodes = members.groupBy("node").agg(F.first("n").alias("n"), F.first("data").alias("data"))
     dealt = shards.join(nodes, "node").select("shard", "node", "n", "data").repartition(F.col("shard")).sortWithinPartitions("shard", "node")
     links = materialize(dealt.mapInArrow(_links(j), "a long, b long").distinct(), "near-links")
-    needed = materialize(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-needed")
-    flagged = needed.mapInArrow(_flags, "chunk long, bits binary").repartition(FLAGS // _CHUNK // 8, "chunk").mapInArrow(_or_chunks, "chunk long, bits binary")
+    reps = members.groupBy("node").agg(F.min("id").alias("rep"))
+    needed = materialize(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node"), "near-needed")
+    flagged = needed.select("rep").mapInArrow(_flags, "chunk long, bits binary").repartition(FLAGS // _CHUNK // 8, "chunk").mapInArrow(_or_chunks, "chunk long, bits binary")
     bitmap = bytearray(FLAGS // 8)
     for r in flagged.collect():  # FLAGS bits, whatever the data
         bitmap[r.chunk * _CHUNK // 8 : (r.chunk + 1) * _CHUNK // 8] = r.bits
     flags = spark.sparkContext.broadcast(bytes(bitmap))
-    sets = materialize(texts.mapInArrow(_sets(len(fields), shingle, least_words, flags), "node long, data binary").join(needed, "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+    sets = materialize(base.mapInArrow(_sets(len(fields), shingle, least_words, flags), "node long, data binary").join(needed, "node", "left_semi").dropDuplicates(["node"]), "near-sets")
     first, second = sets.toDF("a", "x"), sets.toDF("b", "y")
     confirmed = links.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(_confirm(j), "a long, b long")
     return members.select("field", "id", "node"), materialize(confirmed, "near-confirmed")
