@@ -14,8 +14,12 @@ their first n - ceil(J n) + 1 shingles in any fixed order of all shingles, and e
 shard. The order puts rare shingles first, by a count sketch of fixed size (`SLOTS` bytes are
 broadcast, whatever the data); shingles no other node has make no shard. A shard's tree is
 built in the task that holds the shard (trees grow with the data, so they aren't broadcast): each node first
-asks the tree, following only edges within the radius, then joins it. Shards of over `BLOCK` nodes are cut
-to blocks, and every pair of blocks makes a tree.
+asks the tree, following only edges within the radius, then joins it.
+
+Groups need not be paired in full. A first round links each node to its `NEAREST` nearest ones in each shard (all,
+in small shards; shards of over `BLOCK` nodes are cut to a chain of overlapping blocks). A second round takes
+from larger shards only pairs the first didn't bring to one component, so a large group of alike texts costs no
+more than its nodes, and still no link between different groups is lost.
 
 An exact comparison of the shingle sets confirms each link the trees give, and groups are the connected
 components.
@@ -41,6 +45,7 @@ from quern.session import lookup_skewed, materialize
 SLOTS = 1 << 22
 FLAGS = 1 << 23
 BLOCK = 1_024
+NEAREST = 8
 BITS = 512
 PART = 1_000
 GATHER = 200_000
@@ -162,14 +167,18 @@ class BKTree:
             at = self.children[at][d]
 
 
-def tree_links(nodes: list[int], sizes: list[int], sketches: list[int], j: float) -> Iterator[tuple[int, int]]:
-    """Links among the members of a shard that the Hamming bound and the sizes allow."""
+def tree_links(nodes: list[int], sizes: list[int], sketches: list[int], j: float, most: int | None = None, labels: list[int] | None = None) -> Iterator[tuple[int, int]]:
+    """Links among the members of a shard that the Hamming bound and the sizes allow: of each member to its `most`
+    nearest earlier ones, or, with labels, to all that have another label."""
     tree, share = BKTree(), (1 - j) / (1 + j)
     for k, (n, x) in enumerate(zip(sizes, sketches)):
+        near = []
         for at, d in tree.within(x, int(share * (n + n / j) + 1e-9)):
             m = sizes[at]
-            if d <= share * (n + m) + 1e-9 and j * max(n, m) <= min(n, m) + 1e-9:
-                yield (nodes[at], nodes[k]) if nodes[at] < nodes[k] else (nodes[k], nodes[at])
+            if d <= share * (n + m) + 1e-9 and j * max(n, m) <= min(n, m) + 1e-9 and (labels is None or labels[at] != labels[k]):
+                near.append((d, at))
+        for _, at in sorted(near)[:most]:
+            yield (nodes[at], nodes[k]) if nodes[at] < nodes[k] else (nodes[k], nodes[at])
         tree.add(x)
 
 
@@ -257,16 +266,16 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, sizes = starts[sizes > 1], sizes[sizes > 1]
         for k in np.flatnonzero(sizes > BLOCK).tolist():
             whole = n[starts[k] : starts[k] + sizes[k]]
-            cuts = [whole[i : i + BLOCK] for i in range(0, len(whole), BLOCK)]
-            for i, x in enumerate(cuts):
-                for y in cuts[i + 1 :]:
-                    yield from name(np.concatenate((x, y)), np.array([0]), np.array([len(x) + len(y)]))
+            yield from name(whole, np.array([0]), np.array([len(whole)]))
+            for i in range(0, len(whole) - BLOCK // 2, BLOCK // 2):  # each block overlaps the next by half
+                x = whole[i : i + BLOCK]
+                yield from name(x, np.array([0]), np.array([len(x)]), chain=True)
         starts, sizes = starts[sizes <= BLOCK], sizes[sizes <= BLOCK]
         if len(starts):
             yield from name(n[_ranges(starts, sizes)], np.cumsum(sizes) - sizes, sizes)
 
-    def name(nodes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        names = mix(np.add.reduceat(mix(nodes.view(np.uint64) + np.uint64(7)), starts) + sizes.astype(np.uint64))
+    def name(nodes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chain: bool = False) -> Iterator[pa.RecordBatch]:
+        names = mix(np.add.reduceat(mix(nodes.view(np.uint64) + np.uint64(7)), starts) + sizes.astype(np.uint64) + np.uint64(1 << 40 if chain else 0))
         which = []
         for k, x in enumerate(names.tolist()):
             if x not in known:
@@ -274,7 +283,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 which.append(k)
         if which:
             w = np.array(which)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.repeat(names[w], sizes[w]))), pa.array(nodes[_ranges(starts[w], sizes[w])])], ["shard", "node"])
+            size = np.repeat(np.full(len(w), -1) if chain else sizes[w], sizes[w]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.repeat(names[w], sizes[w]))), pa.array(nodes[_ranges(starts[w], sizes[w])]), pa.array(size)], ["shard", "node", "size"])
 
     held_t, held_n = np.empty(0, np.int64), np.empty(0, np.int64)
     for t, n in _gathered(batches, GATHER):
@@ -285,18 +295,18 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from deal(held_t, held_n)
 
 
-def _links(j: float):
-    """From (shard, node, n, data) sorted by shard and node: the links the shard's tree gives."""
+def _links(j: float, across: bool):
+    """From (shard, node, n, data, label) sorted by shard and node: the links the shard's tree gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: set[tuple[int, int]] = set()
-        group: list[tuple[int, int, int]] = []
+        group: list[tuple[int, int, int, int]] = []
         at = None
 
         def close() -> None:
             if len(group) > 1:
-                nodes, sizes, bits = map(list, zip(*group))
-                pairs.update(tree_links(nodes, sizes, bits, j))
+                nodes, sizes, bits, labels = map(list, zip(*group))
+                pairs.update(tree_links(nodes, sizes, bits, j, labels=labels) if across else tree_links(nodes, sizes, bits, j, NEAREST))
             group.clear()
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -306,14 +316,14 @@ def _links(j: float):
                 pairs.clear()
 
         for b in batches:
-            for shard, node, n, data in zip(*(c.to_pylist() for c in b.columns)):
+            for shard, node, n, data, label in zip(*(c.to_pylist() for c in b.columns)):
                 if shard != at:
                     close()
                     at = shard
                 if not group or group[-1][0] != node:
-                    group.append((node, n, int.from_bytes(data)))
-            if len(pairs) > OUT_ROWS:
-                yield from flush()
+                    group.append((node, n, int.from_bytes(data), label))
+                if len(pairs) > OUT_ROWS:
+                    yield from flush()
         close()
         yield from flush()
 
@@ -379,53 +389,64 @@ def _confirm(j: float):
     return run
 
 
-def near_links(df: DataFrame, id_col: str, fields: list[str], j: float, shingle: int, least_words: int) -> tuple[DataFrame, DataFrame]:
-    """Members (field, id, node) and confirmed links (a, b) between nodes, a < b."""
-    spark = df.sparkSession
+def near_groups(df: DataFrame, id_col: str, fields: list[str], j: float = 0.8, shingle: int = 5, least_words: int = 5) -> DataFrame:
+    """(field, id, group_id): every text in a group with another, the smallest id being group_id (it isn't
+    listed itself)."""
+    spark, k = df.sparkSession, len(fields)
     base = df.select(F.col(id_col).cast("long").alias("id"), *(F.col(c).cast("string").alias(f"f{i}") for i, c in enumerate(fields)))
-    texts = base.select(*(f"f{i}" for i in range(len(fields))))
-    scan = materialize(base.mapInArrow(_scan(len(fields), shingle, least_words), "field int, id long, node long, n int, data binary"), "near-scan")
+    texts = base.select(*(f"f{i}" for i in range(k)))
+    scan = materialize(base.mapInArrow(_scan(k, shingle, least_words), "field int, id long, node long, n int, data binary"), "near-scan")
     members = scan.filter("field >= 0")
     chunks = scan.filter("field < 0").select("id", "data").repartition(16, "id").mapInArrow(_sum_chunks, "chunk long, ranks binary")
     rank = bytearray(SLOTS)
     for r in chunks.collect():  # SLOTS bytes, whatever the data
         rank[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = r.ranks
     ranks = spark.sparkContext.broadcast(bytes(rank))
-    tokens = texts.mapInArrow(_prefixes(len(fields), shingle, least_words, j, ranks), "token long, node long")
+    tokens = texts.mapInArrow(_prefixes(k, shingle, least_words, j, ranks), "token long, node long")
     by_token = tokens.repartition(F.col("token")).sortWithinPartitions("token", "node")
-    shards = materialize(by_token.mapInArrow(_shards, "shard long, node long").distinct(), "near-shards")
-    nodes = members.groupBy("node").agg(F.first("n").alias("n"), F.first("data").alias("data"))
-    dealt = shards.join(nodes, "node").select("shard", "node", "n", "data").repartition(F.col("shard")).sortWithinPartitions("shard", "node")
-    links = materialize(dealt.mapInArrow(_links(j), "a long, b long").distinct(), "near-links")
-    reps = members.groupBy("node").agg(F.min("id").alias("rep"))
-    needed = materialize(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node"), "near-needed")
-    flagged = needed.select("rep").mapInArrow(_flags, "chunk long, bits binary").repartition(FLAGS // _CHUNK // 8, "chunk").mapInArrow(_or_chunks, "chunk long, bits binary")
-    bitmap = bytearray(FLAGS // 8)
-    for r in flagged.collect():  # FLAGS bits, whatever the data
-        bitmap[r.chunk * _CHUNK // 8 : (r.chunk + 1) * _CHUNK // 8] = r.bits
-    flags = spark.sparkContext.broadcast(bytes(bitmap))
-    sets = materialize(base.mapInArrow(_sets(len(fields), shingle, least_words, flags), "node long, data binary").join(needed, "node", "left_semi").dropDuplicates(["node"]), "near-sets")
-    first, second = sets.toDF("a", "x"), sets.toDF("b", "y")
-    confirmed = links.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(_confirm(j), "a long, b long")
-    return members.select("field", "id", "node"), materialize(confirmed, "near-confirmed")
-
-
-def near_groups(df: DataFrame, id_col: str, fields: list[str], j: float = 0.8, shingle: int = 5, least_words: int = 5) -> DataFrame:
-    """(field, id, group_id): every text in a group with another, the smallest id being group_id (it isn't
-    listed itself)."""
-    members, links = near_links(df, id_col, fields, j, shingle, least_words)
-    nodes = materialize(members.groupBy("field", "node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "near-nodes")
-    k = len(fields)
-    vertex = nodes.select("node", (F.col("rep") * k + F.col("field")).alias("v"))
-    edges = links.join(vertex.toDF("a", "src"), "a").join(vertex.toDF("b", "dst"), "b").select("src", "dst")
-    roots = connected_components(edges)
-    # A node with an edge gets its component's root, one without stands for itself.
-    named = nodes.withColumn("vertex", F.col("rep") * k + F.col("field")).join(roots, "vertex", "left")
-    named = named.select("node", "n", F.coalesce("root", "vertex").alias("root")).withColumn("group_id", F.floor(F.col("root") / k).cast("long") if k > 1 else F.col("root"))
-    named = materialize(named.join(nodes.select("node", "rep"), "node").filter("n > 1 OR group_id <> rep").select("node", "n", "group_id"), "near-named")
-    found = lookup_skewed(members, named, ["node"], "n").filter("id <> group_id")
-    name = F.array(*map(F.lit, fields))[F.col("field")]
-    return found.select(name.alias("field"), "group_id", F.col("id"))
+    shards = materialize(by_token.mapInArrow(_shards, "shard long, node long, size int").distinct(), "near-shards")
+    nodes = members.groupBy("node").agg(F.first("field").alias("field"), F.first("n").alias("n"), F.first("data").alias("data"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+
+    def links(dealt: DataFrame, across: bool) -> DataFrame:
+        rows = dealt.join(nodes.select("node", "n", "data"), "node").select("shard", "node", "n", "data", "label")
+        rows = rows.repartition(F.col("shard")).sortWithinPartitions("shard", "node")
+        return materialize(rows.mapInArrow(_links(j, across), "a long, b long").distinct(), "near-links")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        needed = materialize(ends.join(nodes.select("node", "rep"), "node"), "near-needed")
+        flagged = needed.select("rep").mapInArrow(_flags, "chunk long, bits binary").repartition(FLAGS // _CHUNK // 8, "chunk").mapInArrow(_or_chunks, "chunk long, bits binary")
+        bitmap = bytearray(FLAGS // 8)
+        for r in flagged.collect():  # FLAGS bits, whatever the data
+            bitmap[r.chunk * _CHUNK // 8 : (r.chunk + 1) * _CHUNK // 8] = r.bits
+        flags = spark.sparkContext.broadcast(bytes(bitmap))
+        sets = base.mapInArrow(_sets(k, shingle, least_words, flags), "node long, data binary").join(needed, "node", "left_semi")
+        sets = materialize(sets.dropDuplicates(["node"]), "near-sets")
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        return materialize(both.mapInArrow(_confirm(j), "a long, b long"), "near-confirmed")
+
+    # First each node's nearest ones in its shards: in shards of up to NEAREST + 1 nodes those are all.
+    edges = confirmed(links(shards.filter(f"size <= {BLOCK}").withColumn("label", F.lit(0).cast("long")), False))
+    roots = connected_components(edges, "a", "b")
+    large = shards.filter(f"size > {NEAREST + 1}")
+    if large.take(1):
+        # Then, in larger shards, all pairs that aren't in one component yet; a shard in one component is done.
+        named = large.join(roots.toDF("node", "root"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        open_ = named.groupBy("shard").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("shard")
+        cells = F.ceil(F.col("size") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("node"), cells).cast("int")
+        dealt = named.join(open_, "shard").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
+        dealt = dealt.withColumn("shard", F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")))
+        more = links(dealt, True)
+        if more.take(1):
+            roots = connected_components(edges.unionByName(confirmed(more)), "a", "b")
+    # A node without a link stands for itself; a component is named by its smallest id.
+    whole = nodes.select("field", "node", "rep", "copies").join(roots.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    whole = materialize(whole, "near-nodes")
+    heads = whole.groupBy("root").agg(F.min("rep").alias("group_id"), F.sum("copies").alias("all")).filter("all > 1")
+    named = materialize(whole.join(heads.select("root", "group_id"), "root").select("node", F.col("copies").alias("n"), "group_id"), "near-named")
+    found = lookup_skewed(members.select("field", "id", "node"), named, ["node"], "n").filter("id <> group_id")
+    return found.select(F.array(*map(F.lit, fields))[F.col("field")].alias("field"), "group_id", F.col("id"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

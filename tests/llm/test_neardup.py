@@ -58,30 +58,46 @@ def test_groups_against_brute_force(spark, seed, j, n, least, vocab):
     assert len(got) == len(set(got)) and set(got) == brute(rows, j, n, least)
 
 
-def test_blocks_of_a_large_shard(spark, monkeypatch):
-    # Texts that all share their rare shingles: one shard, cut to blocks. The number of blocks changes nothing.
+def test_a_shard_of_more_than_a_block(spark):
+    # Three kinds of texts around one common passage: all their rare shingles are shared by over a thousand nodes.
     r = random.Random(5)
-    base = [f"w{k}" for k in range(30)]
-    rows = [(i, " ".join(base + [f"v{i}x{r.randrange(9)}" for _ in range(r.randrange(1, 6))])) for i in range(60)]
-    pairs = {}
-    for block in (1_024, 7):
-        monkeypatch.setattr(neardup, "BLOCK", block)
-        n = np.arange(60, dtype=np.int64)
-        batch = [neardup.pa.RecordBatch.from_arrays([neardup.pa.array(np.full(60, 9)), neardup.pa.array(n)], ["token", "node"])]
-        met = set()
-        shards = {}
-        for out in neardup._shards(iter(batch)):
-            for s, x in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
-                shards.setdefault(s, []).append(x)
-        for v in shards.values():
-            met |= set(itertools.combinations(sorted(v), 2))
-        pairs[block] = met
-    assert pairs[7] == pairs[1_024] == set(itertools.combinations(range(60), 2))
-    monkeypatch.undo()
-    df = spark.createDataFrame(rows, "id long, t string")
+    common = [f"c{k}" for k in range(24)]
+    kinds = [[f"k{a}x{k}" for k in range(24)] for a in range(3)]
+    rows = []
+    for i in range(1_350):
+        own = kinds[i % 3]
+        words = common + own + [f"v{i}x{q}" for q in range(r.randrange(1, 5))]
+        rows.append((i, " ".join(words)))
+    rows += [(2_000, " ".join(common + kinds[0][:12] + kinds[1][:12])), (2_001, " ".join(common))]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(4)
     assert {(x.group_id, x.id) for x in neardup.near_groups(df, "id", ["t"], 0.6, 3, 10).collect()} == brute(rows, 0.6, 3, 10)
 
 
+def test_large_runs_become_a_chain_and_a_whole():
+    n = np.arange(3_000, dtype=np.int64)
+    batch = neardup.pa.RecordBatch.from_arrays([neardup.pa.array(np.full(3_000, 9)), neardup.pa.array(n)], ["token", "node"])
+    chain, whole = {}, {}
+    for out in neardup._shards(iter([batch])):
+        for s, x, size in zip(*(c.to_pylist() for c in out.columns)):
+            (chain if size < 0 else whole).setdefault(s, []).append(x)
+    assert [sorted(v) for v in whole.values()] == [list(range(3_000))]
+    blocks = sorted(chain.values())
+    assert all(len(x) <= neardup.BLOCK for x in blocks) and all(set(x) & set(y) for x, y in zip(blocks, blocks[1:]))
+    assert set().union(*blocks) == set(range(3_000))
+
+
+def test_tree_links_nearest_and_across():
+    r = random.Random(8)
+    x = [sum(1 << r.randrange(512) for _ in range(3)) for _ in range(1)][0]
+    bits = [x ^ ((1 << k) - 1) for k in range(6)]
+    every = set(neardup.tree_links(list(range(6)), [50] * 6, bits, 0.6))
+    assert every == set(itertools.combinations(range(6), 2))
+    assert set(neardup.tree_links(list(range(6)), [50] * 6, bits, 0.6, most=1)) == {(k, k + 1) for k in range(5)}
+    across = set(neardup.tree_links(list(range(6)), [50] * 6, bits, 0.6, labels=[0, 0, 0, 1, 1, 1]))
+    assert across == {(a, b) for a, b in every if (a < 3) != (b < 3)}
+    assert not set(neardup.tree_links([0, 1], [10, 50], bits[:2], 0.6))
+
+
 def test_two_fields_are_grouped_apart(spark):
     t = " ".join(f"w{k}" for k in range(40))
     df = spark.createDataFrame([(3, t, None), (5, t + " end", t), (8, None, t)], "id long, a string, b string")
