@@ -37,6 +37,24 @@ def flagship(spark, d):
     return clean.groupBy("source").agg(F.count(F.lit(1)).alias("kept"), F.sum("copies").alias("rows_in"), F.sum((F.col("values") > 1).cast("long")).alias("conflicts"))
 
 
+RANKED_POOL = FLAGSHIP.split("\nSELECT")[0] + """
+SELECT doc_id, source, copies::BIGINT AS copies, row_number() OVER (PARTITION BY source ORDER BY sha256('[42,"stratum",' || doc_id || ']'), doc_id) AS rank, count(*) OVER (PARTITION BY source) AS kept
+FROM grouped WHERE langs <= 1 AND doc_id NOT IN (SELECT doc_id FROM bad)
+AND k NOT IN (SELECT regexp_replace(lower(problem), '[^0-9a-z]', '', 'g') FROM heldout_item WHERE problem IS NOT NULL)
+"""
+
+
+@book.query("flagship_ranked_pool", RANKED_POOL)
+def ranked_pool(spark, d):
+    pool = curate.collapse_by_key(table(spark, d, "documents"), X.loose_key(F.col("text")), "doc_id", ["text", "source"], "lang").filter("values <= 1")
+    items = table(spark, d, "heldout_item").select("item_id", "problem")
+    # An item of under 8 words has no 8-gram, so a copy of it is only found by its key.
+    pool = pool.join(items.select(X.loose_key(F.col("problem")).alias("key")).distinct(), "key", "left_anti")
+    clean = curate.decontaminate(pool, items, "doc_id", "text", "item_id", "problem", 8, 0.5)
+    h = clean.select("doc_id", "source", "copies", X.stable_hash(42, "stratum", F.col("doc_id").cast("string")).alias("h"))
+    return ranked(h, ["h", "doc_id"], "rank", ("source",), "kept").select("doc_id", "source", "copies", "rank", "kept")
+
+
 @book.query(
     "pf01_unwrap",
     """SELECT cand_id, CASE WHEN p AND s THEN 'both' WHEN p OR s THEN 'partial' ELSE 'neither' END AS wrap,
