@@ -49,19 +49,21 @@ def distinct_users(stream: DataFrame, late: str) -> DataFrame:
 
 
 def bounded_buffer(stream: DataFrame, size: int) -> DataFrame:
-    """For each user a first-in-first-out buffer of the last `size` event ids, kept as keyed state; a row for each
-    user and batch with how many were pushed so far and the oldest id held."""
+    """For each user a buffer of the `size` latest event ids by (ts, event_id), in whatever order the events come, kept
+    as keyed state; a row for each user and batch with how many were pushed so far and the oldest id held."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def push(key, frames, state: GroupState):
-        held, total = state.get if state.exists else ([], 0)
-        held = list(held)
-        for f in frames:
-            new = f.sort_values(["ts", "event_id"])["event_id"].tolist()
-            total += len(new)
-            held = (held + new)[-size:]
-        state.update((held, total))
-        yield pd.DataFrame({"user_id": [key[0]], "pushed": [total], "held": [len(held)], "oldest": [held[0] if held else None]})
-
-    return stream.groupBy("user_id").applyInPandasWithState(push, "user_id long, pushed long, held long, oldest long", "held array<long>, total long", "update", GroupStateTimeout.NoTimeout)
+        at, held, total = state.get if state.exists else ([], [], 0)
+        held = list(zip(at, held))
+        for f in frames:  # the Arrow chunks of a batch, in no order
+            new = f.sort_values(["at", "event_id"]).tail(size)
+            total += len(f)
+            held = sorted(held + list(zip(new["at"].tolist(), new["event_id"].tolist())))[-size:]
+        state.update(([a for a, _ in held], [e for _, e in held], total))
+        yield pd.DataFrame({"user_id": [key[0]], "pushed": [total], "held": [len(held)], "oldest": [held[0][1] if held else None]})
+
+    # Microseconds, as pandas would get wall-clock times; a NULL ts counts as the latest.
+    rows = stream.select("user_id", "event_id", F.coalesce(F.unix_micros("ts"), F.lit(2**63 - 1)).alias("at"))
+    return rows.groupBy("user_id").applyInPandasWithState(push, "user_id long, pushed long, held long, oldest long", "at array<long>, held array<long>, total long", "update", GroupStateTimeout.NoTimeout)
