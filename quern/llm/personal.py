@@ -82,6 +82,9 @@ _STREET = [
     re.compile(rf"(?<!\w)(?:Am|An der|An den|Im|In der|Zum|Zur|Auf dem|Auf der)[^\S\n](?:{CAP}[^\S\n])?(?P<k>{CAP})[^\S\n]\d{{1,5}}(?:[^\S\n]?[a-z])?(?!\w)"),
 ]
 _NUMBER = re.compile(r"(?<!\d)\d{1,5}(?!\d)")
+#: What stands right before the number of forms 2 to 4: a blank, or a mark that may touch it.
+_MARK = re.compile(r"n\.?[º°o]\.?|núm\.")
+_CAPITAL = re.compile(rf"(?<!\w){_UP}")
 _LETTERS = re.compile(rf"{_L}+")
 _TOKEN = re.compile(rf"{_L}+(?:-{_L}+)*|\d+|\S")
 #: What may stand right of a capitalised name that is no person.
@@ -136,6 +139,34 @@ def _shape(s: str) -> str:
     return re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", s))
 
 
+def _token(t: str, b: int) -> int:
+    """Where the run of non-blanks that ends at b begins."""
+    while b > 0 and not t[b - 1].isspace():
+        b -= 1
+    return b
+
+
+def _words_before(t: str, p: int) -> int | None:
+    """Where the search for forms 2 to 4 with the number at p begins, six words before it, which is the most they
+    have; None if what stands before the number can't end one of them."""
+    if p < 2:
+        return None
+    b = p - 1
+    if t[b].isspace():
+        a = _token(t, b)
+        if not (_CAPITAL.search(t, a, b) or _MARK.fullmatch(t, a, b)):
+            return None
+    else:
+        a = next((a for a in range(max(1, p - 4), p - 1) if t[a - 1].isspace() and _MARK.fullmatch(t, a, p)), None)
+        if a is None:
+            return None
+    for _ in range(5):
+        if a < 2:
+            return 0
+        a = _token(t, a - 1)
+    return a
+
+
 def candidates(text: str) -> Iterator[tuple]:
     """(kind, first, end, instance, extra, form, left, left two, right) of everything that has a shape."""
     t, at = fold(text)
@@ -196,9 +227,9 @@ def candidates(text: str) -> Iterator[tuple]:
     for n in _NUMBER.finditer(t):
         p = n.start()
         hits = [(k, m) for k in (0, 1) if (m := _STREET[k].match(t, p))]
-        before = t[max(0, p - 30) : p].split()
-        if before and (before[-1][0].isupper() or before[-1][-1] in "º°o." and before[-1][0] == "n"):
-            hits += [(k, m) for k in (2, 3, 4) for m in _STREET[k].finditer(t, max(0, p - 90), min(len(t), n.end() + 8)) if m.end() > p]
+        a = _words_before(t, p)
+        if a is not None:
+            hits += [(k, m) for k in (2, 3, 4) for m in _STREET[k].finditer(t, a, min(len(t), n.end() + 8)) if m.start() < p < m.end()]
         for k, m in hits:
             if (k, m.span()) not in seen and not inside(m.start()):
                 seen.add((k, m.span()))

@@ -119,3 +119,28 @@ def test_null_ids_are_redacted_too(spark):
     rows = [(i, t) for i, t in texts] + [(None, texts[4][1])]
     out = personal.redacted(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id IS NULL").first().text
     assert "[EMAIL]" in out
+
+
+LONG_STREET = "L" + "inden" * 25 + "weg 12"
+
+
+@pytest.mark.parametrize("before", ["(", '"', "«", "/", "str.", "d'", "["])
+@pytest.mark.parametrize("street", ["Lindenweg 12", "Donaudampfschifffahrtsgesellschaftsstraße 12", LONG_STREET])
+def test_one_word_streets_after_marks(before, street):
+    t = f"Sent to {before}{street})."
+    a = len(t) - len(street) - 2
+    assert [r[1:3] for r in personal.candidates(t) if r[0] == "address"] == [(a, a + len(street))]
+
+
+def test_every_street_that_a_full_scan_finds():
+    r = random.Random(4)
+    words = ["calle", "C/", "de", "la", "Mayor,", "Mayor", "(Lindenweg", "Lindenstr.", "Am", "An", "der", "Ufer-Tor", "nº", "n.º5", "no.7", "5", "12", "12a", "123456", "x", "d'Arc", "\n", "3:4", "Q" + "r" * 99]
+    for _ in range(300):
+        t = personal.fold(" ".join(r.choice(words) for _ in range(40)))[0]
+        want = {(*m.span(), f"{k} {m['k']}".lower()) for k, s in enumerate(personal._STREET) for m in s.finditer(t)}
+        assert {(*x[1:3], x[3]) for x in personal.candidates(t) if x[0] == "address"} == want
+
+
+def test_streets_after_marks_are_redacted(spark):
+    df = spark.createDataFrame([(1, "Send it to (Lindenweg 12) today."), (2, 'Send it to "Eichenstraße 7" today.')], "doc_id long, text string")
+    assert {r.text for r in personal.redacted(df).collect()} == {"Send it to ([ADDRESS]) today.", 'Send it to "[ADDRESS]" today.'}
