@@ -15,9 +15,11 @@ one by one; empty tables give no rows; other columns aren't read.
 from __future__ import annotations
 
 import ast
+import io
 import json
 import math
 import re
+import tokenize
 import warnings
 from collections.abc import Iterator
 
@@ -151,14 +153,88 @@ def _balance(body: str) -> bool:
     return any(t.count(a) > t.count(b) for a, b in ("()", "[]", "{}")) or '"' in t or "'" in t
 
 
+def _text(n: ast.AST | None) -> bool:
+    return isinstance(n, ast.JoinedStr) and not any(isinstance(v, ast.FormattedValue) for v in n.values) or isinstance(n, ast.Constant) and isinstance(n.value, str) or isinstance(n, ast.BinOp) and isinstance(n.op, ast.Add) and _text(n.left) and _text(n.right)
+
+
+def _blank(n: ast.AST) -> bool:
+    """Whether a statement stands for one that isn't there."""
+    if isinstance(n, ast.Return):
+        return n.value is None or isinstance(n.value, ast.Constant) and n.value.value in (None, ...)
+    return isinstance(n, (ast.Pass, ast.Raise)) or isinstance(n, ast.Expr) and isinstance(n.value, ast.Constant) and n.value.value is ...
+
+
+def _prints(n: ast.AST) -> bool:
+    return isinstance(n, ast.Call) and (isinstance(n.func, ast.Name) and n.func.id == "print" or isinstance(n.func, ast.Attribute) and ast.unparse(n.func) == "sys.stdout.write")
+
+
+def _idle(n: ast.stmt, stubs: set[str], texts: set[str]) -> bool:
+    """Whether a statement computes nothing: imports, stubs, strings that are only assigned or printed. Names of
+    functions and classes that are stubs, and of variables that hold strings, are added to stubs and texts."""
+    if isinstance(n, (ast.Import, ast.ImportFrom, ast.Pass)):
+        return True
+    if isinstance(n, ast.Raise):
+        e = n.exc.func if isinstance(n.exc, ast.Call) else n.exc
+        return isinstance(e, ast.Name) and e.id == "NotImplementedError"
+    if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+        if not all(_idle(x, stubs, texts) for x in n.body):
+            return False
+        stubs.add(n.name)
+        return True
+    if isinstance(n, ast.Return):
+        return _blank(n) or _text(n.value)
+    if isinstance(n, (ast.Assign, ast.AnnAssign)):
+        names = n.targets if isinstance(n, ast.Assign) else [n.target]
+        if not (_text(n.value) and all(isinstance(x, ast.Name) for x in names)):
+            return False
+        texts.update(x.id for x in names)
+        return True
+    if isinstance(n, ast.If):
+        main = isinstance(n.test, ast.Compare) and isinstance(n.test.left, ast.Name) and n.test.left.id == "__name__"
+        return main and not n.orelse and all(_idle(x, stubs, texts) for x in n.body)
+    if not isinstance(n, ast.Expr):
+        return False
+    e = n.value
+    if isinstance(e, ast.Call) and not e.keywords:
+        if isinstance(e.func, ast.Name) and e.func.id in stubs:
+            return all(isinstance(a, ast.Constant) for a in e.args)
+        if _prints(e):
+            return all(isinstance(a, ast.Constant) or _text(a) or isinstance(a, ast.Name) and a.id in texts for a in e.args)
+    return isinstance(e, ast.Constant) or _text(e)
+
+
+def message(body: str, tree: ast.Module) -> tuple[str, bool] | None:
+    """None if the program computes something; else its comments and strings, as comments, and whether it is only
+    stubs. Imports alone say nothing and are no stub: also None."""
+    stubs, texts = set(), set()
+    try:
+        if not all(_idle(n, stubs, texts) for n in tree.body):
+            return None
+        said = [(t.start, t.string.lstrip("#")) for t in tokenize.generate_tokens(io.StringIO(body).readline) if t.type == tokenize.COMMENT]
+        nodes = list(ast.walk(tree))
+        stub = any(map(_blank, nodes)) and not any(isinstance(n, (ast.Assign, ast.AnnAssign)) or _prints(n) for n in nodes)
+    except (tokenize.TokenError, SyntaxError, RecursionError):
+        return None
+    said += [((n.lineno, n.col_offset), str(n.value)) for n in nodes if isinstance(n, ast.Constant) and n.value not in (None, ..., "__main__")]
+    if not said and not stub:
+        return None
+    return "\n".join(["# " + x for _, text in sorted(said) for x in text.splitlines() if x.strip()] + ["pass"] * stub), stub
+
+
 def code_votes(problem: str | None, code: str | None) -> list[list[int]]:
     if code is None:
         return [[YES] * 4, [NO] * 4, [NONE, NONE, NO], [NO] * 4, [NO] * 4, [NO] * 4]
     body = body_of(code)
     tree, stops = parse(body)
+    stub = False
     if tree is not None and any(not isinstance(n, (ast.Expr, ast.Pass)) for n in tree.body):
-        # A Python program: the functions that look for something else in its place say no.
-        return [[NO] * 4, [NO] * 4, [NO] * 3, [NO] * 4, [NO] * 4, [NO, NO, YES, NO]]
+        frame = message(body, tree)
+        if frame is None:
+            # A Python program: the functions that look for something else in its place say no.
+            return [[NO] * 4, [NO] * 4, [NO] * 3, [NO] * 4, [NO] * 4, [NO, NO, YES, NO]]
+        # A frame without a program: judged by what is said in it.
+        body, stub = frame
+        code, (tree, stops) = body, parse(body)
     plain = _plain(body)
     bare = TAG.sub(" ", plain)
     words = WORD.findall(lowered(bare))
@@ -186,6 +262,9 @@ def code_votes(problem: str | None, code: str | None) -> list[list[int]]:
         share = sum(g in grams for g in mine) / max(1, len(mine))
         copied = [_vote(labelled), _vote(share >= 0.8), _vote(share >= 0.5 and len(said) <= 1.2 * len(there) and not has_python or labelled)]
 
+    if stub and not refuses and not sorry and YES not in copied:
+        empty = [_vote(not words), YES, YES, YES]  # what its docstrings say is no answer
+
     marks = sum(bool(r.search(body)) for r in FOREIGN)
     foreign = [_vote(marks >= 2), _vote(tree is None and not stops or tree is None and marks >= 3), _vote(len(re.findall(r"[;{}]", body)) >= 3 and ";" in body or marks >= 3), _vote(not has_python and marks >= 1 or marks >= 3)]
 

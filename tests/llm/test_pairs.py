@@ -101,3 +101,29 @@ def test_very_long_and_odd_texts(spark):
 
 def test_empty(spark):
     assert pairs.defects(spark.createDataFrame([], "id long, p string, c string, t string"), "id", "p", "c", "t").count() == 0
+
+
+FRAMES = {
+    "empty": ["raise NotImplementedError", "raise NotImplementedError('solve')", "def solve(): pass # TODO", "import sys\n\ndef solve(n):\n    # your code here\n    return None\n\nif __name__ == '__main__':\n    solve(1)", "class Solution:\n    def solve(self, n):\n        '''Number of moves that a player needs for a heap of n stones in the game of the task.'''\n        raise NotImplementedError()"],
+    "refusal": ["import sys\nprint(\"Sorry, I can't help with that.\")", "message = \"I'm sorry, but I can't help with that.\"\nprint(message)", "def solve():\n    # I cannot provide code for this.\n    pass"],
+    "copied": [f'problem = """{PROBLEM}"""', f"import sys\nproblem = {PROBLEM!r}\nprint(problem)"],
+    None: ["import sys\nprint(int(sys.argv[1]) % 7)", "n = int(input())\n# TODO\nprint(n)", "def solve(n):\n    return n % 7\n\nprint(solve(int(input())))", "import sys"],
+}
+
+
+def test_frames_without_a_program(spark):
+    rows, want = [], {}
+    for defect, codes in [*CODE.items(), *FRAMES.items()]:
+        for c in codes * 3:
+            want[len(rows)] = defect
+            rows.append((len(rows), PROBLEM, c, None))
+    rows += [(len(rows) + k, PROBLEM, GOOD.replace("7", str(k)), None) for k in range(400)]
+    first = {}
+    for r in sorted(pairs.defects(spark.createDataFrame(rows, "id long, p string, c string, t string"), "id", "p", "c", "t").collect(), key=lambda r: r["rank"]):
+        first.setdefault(r.id, r.defect)
+    assert {i: (d, rows[i][2]) for i, d in first.items() if d != want.get(i)} == {}
+    assert {rows[i][2] for i, d in want.items() if d and i not in first} == set()
+
+
+def test_long_sums_of_strings_are_read():
+    assert pairs.code_votes(PROBLEM, "x = " + " + ".join(["'a'"] * 3_000))
