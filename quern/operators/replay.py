@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.mixing import mix
 from quern.functions.text import stable_hash
-from quern.functions.words import mix
 
 
 def uniform(*parts: Column | int | str) -> Column:

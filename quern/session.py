@@ -13,26 +13,51 @@ BROADCAST_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session. Only where it is unset
-    (tests on one machine) a temporary folder is made and remembered in the session."""
+    """The folder all executors share: spark.checkpoint.dir of the session, or the checkpoint folder set on its
+    context. Only where neither is set and the master is local (tests on one machine) a temporary folder is made
+    and remembered in the session; on a cluster that is an error, since executors can't share such a folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="quern-")
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            at = held.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            at = "file://" + tempfile.mkdtemp(prefix="quern-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder, in the part of this application, which clean() removes."""
+    return f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def lasting(spark: SparkSession, name: str) -> str:
+    """A fresh path for what outlives the application: clean() leaves it."""
+    return f"{shared_dir(spark)}/quern/lasting/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts the lineage: a lost executor costs
-    no recomputation, and the plan above starts from a scan with known size."""
+    no recomputation, and the plan above starts from a scan with known size. discard() removes the table."""
     spark, at = df.sparkSession, scratch(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._written_at = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables nothing reads any more: every frame built on them has been written itself."""
+    for t in tables:
+        drop_path(t.sparkSession, t._written_at)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove everything this application wrote as intermediate tables. Frames that read them end with it."""
+    drop_path(spark, f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}")
 
 
 def children(spark: SparkSession, path: str) -> list[str]:
