@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.words import lowered, mix, word_hashes
+from quern.functions.mixing import mix
+from quern.llm.words import lowered, word_hashes
 
 LEAST = 13
 BLOCK = 3

@@ -38,8 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.words import lowered, mix, window_hashes, word_hashes
-from quern.operators.components import connected_components
+from quern.functions.mixing import mix
+from quern.llm.words import lowered, window_hashes, word_hashes
+from quern.llm.components import connected_components
 from quern.session import lookup_skewed, materialize
 
 SLOTS = 1 << 22

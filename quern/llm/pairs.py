@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.words import lowered
+from quern.llm.words import lowered
 from quern.session import materialize
 
 #: Kinds in the order of precedence: (field, defect, number of labelling functions). A defect may have

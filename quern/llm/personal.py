@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.words import form_table
+from quern.llm.words import form_table
 from quern.session import materialize
 
 ROUNDS = 3

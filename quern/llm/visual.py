@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.words import form_table
+from quern.llm.words import form_table
 from quern.session import materialize
 
 #: A run of ASCII up to the last one before another character, or any single character.
@@ -121,7 +121,7 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
 def _sql() -> str:
     """The consistent form in SQL: replacements of single characters by rule, invisible ones dropped, and the
     canonical composition of the engine."""
-    from quern.functions.words import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS, HYPHENS
+    from quern.llm.words import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS, HYPHENS
 
     wide = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
     plain = "".join(map(chr, range(0x21, 0x7F)))

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quern.functions.words import lowered
+from quern.llm.words import lowered
 from quern.llm import leaks
 
 WORD = re.compile(r"[^\W_]+")

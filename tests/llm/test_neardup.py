@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions.words import lowered
+from quern.llm.words import lowered
 from quern.llm import neardup
 
 WORD = re.compile(r"[^\W_]+")

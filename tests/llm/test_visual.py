@@ -3,7 +3,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from quern.functions.words import consistent
+from quern.llm.words import consistent
 from quern.llm import visual
 
 BASE = "Éa fine text, über-long; naïve Ñ 12 x² “q” a—b 한글 ộ"
