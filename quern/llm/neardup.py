@@ -8,21 +8,26 @@ fall on i. The Hamming distance of two sketches is never more than the size of t
 difference, and two sets of a and b shingles that are alike at J differ in at most (1-J)/(1+J) * (a+b).
 So a search with that radius loses nothing, whatever the data.
 
-The shards. One tree over everything would follow nearly every edge, since distances between unrelated texts
-lie close together. Nodes are therefore dealt to shards so that alike nodes meet: two alike sets share one of
-their first n - ceil(J n) + 1 shingles in any fixed order of all shingles, and each such shingle names a
-shard. The order puts rare shingles first, by a count sketch of fixed size (`SLOTS` bytes are
-broadcast, whatever the data); shingles no other node has make no shard. A shard's tree is
-built in the task that holds the shard (trees grow with the data, so they aren't broadcast): each node first
-asks the tree, following only edges within the radius, then joins it.
-
-Groups need not be paired in full. A first round links each node to its `NEAREST` nearest ones in each shard (all,
-in small shards; shards of over `BLOCK` nodes are cut to a chain of overlapping blocks). A second round takes
-from larger shards only pairs the first didn't bring to one component, so a large group of alike texts costs no
-more than its nodes, and still no link between different groups is lost.
-
-An exact comparison of the shingle sets confirms each link the trees give, and groups are the connected
-components.
+The shards. One tree over everything follows nearly every edge, since unrelated sets are all about equally far
+from each other and the radius at these likenesses is wide (figures in the README), so nodes are first dealt to shards
+where alike nodes meet. In a fixed order of all shingles two alike sets share one of their first n - ceil(J n) + 1
+shingles, and at the first one they share, what is left of the smaller set must still hold the whole overlap: there the
+shingle is among its first n - ceil(2J/(1+J) n) + 1 (it is an "index" place). So each early shingle names a shard, a
+shard without an index place is none, and of a pair the smaller one must stand at an index place. Texts that share a
+long template but differ in as many words of their own meet in no shard, since the order puts rare shingles first, by
+a count sketch of fixed size (`SLOTS` bytes are broadcast, whatever the data). A shard's tree is built in the task that holds the shard (trees grow with the data,
+so they aren't broadcast): each node asks the tree of the index places, following only edges within the radius.
+
+Hot shingles. One that over `BLOCK` nodes may hold (as the count sketch tells) names as many cells as it has blocks of
+nodes, and nodes are dealt to them by hash, so no task holds a whole shingle.
+
+Groups need not be paired in full. A first round links each node to its `NEAREST` nearest ones in each shard or cell (all,
+in small shards). A second round takes from larger shards only pairs the first didn't bring to one component, so a large
+group of alike texts costs no more than its nodes, and still no link between different groups is lost. There, nodes of
+a hot shingle that aren't in its commonest component visit all its cells; those of that component stay in their own.
+
+An exact comparison of the shingle sets (all 64 bits of each hash) confirms each link the trees give, and groups are the
+connected components.
 
 Defined cases: NULLs and texts under `least_words` words are left out; texts that agree word for word, case
 and form aside, are in one group; repeated ids count as copies; rows with a NULL id aren't listed; empty tables give no rows; other columns
@@ -41,7 +46,7 @@ from pyspark.sql import functions as F
 from quern.functions.mixing import mix
 from quern.llm.words import lowered, window_hashes, word_hashes
 from quern.llm.components import connected_components
-from quern.session import lookup_skewed, materialize
+from quern.session import discard, lookup_skewed, materialize
 
 SLOTS = 1 << 22
 FLAGS = 1 << 23
@@ -51,6 +56,10 @@ BITS = 512
 PART = 1_000
 GATHER = 200_000
 OUT_ROWS = 50_000
+#: In shards of up to so many nodes every place counts as an index place, which makes more of them equal.
+SMALL = 64
+#: Nodes a task remembers to pass over copies; those it forgot are dropped after the shuffle.
+SEEN = 1_000_000
 _CHUNK = 1 << 16
 
 
@@ -74,7 +83,7 @@ class Sets:
         self.sizes = sizes
         self._settle()
         ones = np.add.reduceat(mix(self.hashes + np.uint64(1)), self.starts) if len(self.places) else np.empty(0, np.uint64)
-        self.nodes = mix(ones + self.sizes.astype(np.uint64))
+        self.nodes = mix(ones + self.sizes.astype(np.uint64)) & ~np.uint64(1)  # the last bit is free for a mark
 
     def _settle(self) -> None:
         """Sort each set and drop what it has twice."""
@@ -99,6 +108,8 @@ class Sets:
     def unseen(self, seen: set[int]) -> None:
         """Keep one text of each node that isn't in seen, and put the nodes there."""
         which = []
+        if len(seen) > SEEN:
+            seen.clear()
         for k, node in enumerate(self.nodes.tolist()):
             if node not in seen:
                 seen.add(node)
@@ -127,6 +138,11 @@ def prefix_size(n: np.ndarray, j: float) -> np.ndarray:
     return n - np.ceil(j * n - 1e-9).astype(np.int64) + 1
 
 
+def cells_of(ranks: np.ndarray) -> np.ndarray:
+    """Cells of shingles whose slots have these ranks."""
+    return np.maximum(1, np.ceil((2.0 ** (ranks.astype(float) / 8) - 1) / BLOCK)).astype(np.int64)
+
+
 def _parts(batches: Iterator[pa.RecordBatch], first: int, fields: int, shingle: int, least_words: int) -> Iterator[tuple[pa.RecordBatch, int, Sets]]:
     """The sets of every field, PART texts at a time, so that memory doesn't grow with a batch."""
     for b in batches:
@@ -145,15 +161,19 @@ class BKTree:
         self.bits: list[int] = []
         self.children: list[dict[int, int]] = []
 
-    def within(self, x: int, radius: int) -> list[tuple[int, int]]:
-        """(place, distance) of all members within the radius; follows only edges within it."""
-        found, todo = [], [0] if self.bits else []
+    def within(self, x: int, radius: int, visits: list[int] | None = None) -> list[tuple[int, int]]:
+        """(place, distance) of all members within the radius; follows only edges within it. visits adds up the
+        members looked at, the members there were and those found."""
+        found, todo, looked = [], [0] if self.bits else [], 0
         while todo:
             at = todo.pop()
+            looked += 1
             d = (self.bits[at] ^ x).bit_count()
             if d <= radius:
                 found.append((at, d))
             todo += [c for e, c in self.children[at].items() if d - radius <= e <= d + radius]
+        if visits is not None:
+            visits[:] = visits[0] + looked, visits[1] + len(self.bits), visits[2] + len(found)
         return found
 
     def add(self, x: int) -> None:
@@ -168,19 +188,32 @@ class BKTree:
             at = self.children[at][d]
 
 
-def tree_links(nodes: list[int], sizes: list[int], sketches: list[int], j: float, most: int | None = None, labels: list[int] | None = None) -> Iterator[tuple[int, int]]:
-    """Links among the members of a shard that the Hamming bound and the sizes allow: of each member to its `most`
-    nearest earlier ones, or, with labels, to all that have another label."""
-    tree, share = BKTree(), (1 - j) / (1 + j)
-    for k, (n, x) in enumerate(zip(sizes, sketches)):
-        near = []
-        for at, d in tree.within(x, int(share * (n + n / j) + 1e-9)):
-            m = sizes[at]
-            if d <= share * (n + m) + 1e-9 and j * max(n, m) <= min(n, m) + 1e-9 and (labels is None or labels[at] != labels[k]):
-                near.append((d, at))
-        for _, at in sorted(near)[:most]:
-            yield (nodes[at], nodes[k]) if nodes[at] < nodes[k] else (nodes[k], nodes[at])
-        tree.add(x)
+class Shard:
+    """The members of a shard: node, size, sketch, whether it stands at an index place, label of its component, and
+    whether it is a guest from another cell."""
+
+    def __init__(self):
+        self.members: list[tuple[int, int, int, bool, int, bool]] = []
+
+    def links(self, j: float, most: int | None, across: bool, visits: list[int] | None = None) -> Iterator[tuple[int, int]]:
+        """Links that the Hamming bound, the sizes and the index places allow: of each member to its `most` nearest
+        ones, or, with across, to all of another label. visits adds up what was looked at, and what there was."""
+        tree, inside, share = BKTree(), [], (1 - j) / (1 + j)
+        for me in sorted(self.members, key=lambda x: not x[3]):
+            node, n, x, index, label, guest = me
+            near = []
+            found = tree.within(x, int(share * (n + n / j) + 1e-9), visits)
+            for at, d in found:
+                to, m, _, _, other, far = inside[at]
+                if d > share * (n + m) + 1e-9 or j * max(n, m) > min(n, m) + 1e-9 or across and (label == other or guest and far):
+                    continue
+                if index or m <= n:  # those in the tree stand at index places
+                    near.append((d, to))
+            for _, to in sorted(near)[:most]:
+                yield (to, node) if to < node else (node, to)
+            if index:
+                tree.add(x)
+                inside.append(me)
 
 
 def _signed(x) -> np.ndarray:
@@ -212,103 +245,124 @@ _SCAN = pa.schema([("field", pa.int32()), ("id", pa.int64()), ("node", pa.int64(
 
 
 def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the chunk counts of any number of partitions in constant memory, and gives each slot a rank
-    (one byte, growing with the count)."""
+    """Adds the chunk counts of any number of partitions in constant memory."""
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for c, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            sums.setdefault(c, np.zeros(_CHUNK, np.uint64))[:] += np.frombuffer(data, np.uint16)
+            kind = np.uint16 if len(data) == 2 * _CHUNK else np.uint64
+            sums.setdefault(c, np.zeros(_CHUNK, np.uint64))[:] += np.frombuffer(data, kind)
     for c, x in sums.items():
-        rank = np.minimum(255, 8 * np.log2(1.0 + x)).astype(np.uint8)
-        yield pa.RecordBatch.from_pydict({"chunk": [c], "ranks": [rank.tobytes()]}, pa.schema([("chunk", pa.int64()), ("ranks", pa.binary())]))
+        yield pa.RecordBatch.from_pydict({"id": [c], "data": [x.tobytes()]}, pa.schema([("id", pa.int64()), ("data", pa.binary())]))
+
+
+def _rank_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of all, as a rank for each slot (one byte, growing with the count)."""
+    for b in _sum_chunks(batches):
+        rank = np.minimum(255, 8 * np.log2(1.0 + np.frombuffer(b.column(1)[0].as_py(), np.uint64))).astype(np.uint8)
+        yield pa.RecordBatch.from_pydict({"chunk": b.column(0).to_pylist(), "ranks": [rank.tobytes()]}, pa.schema([("chunk", pa.int64()), ("ranks", pa.binary())]))
 
 
 def _prefixes(fields: int, shingle: int, least_words: int, j: float, ranks):
-    """(token, node): the rarest shingles of each node, once for each node and partition. A token is the rank
-    of the shingle's slot and 56 bits of its hash, so ascending tokens are the order of all shingles."""
+    """(key, node, token): the rarest shingles of each node, once for each node and partition. A token is the rank
+    of the shingle's slot and 56 bits of its hash, so ascending tokens are the order of all shingles. The last bit of
+    a node tells whether the token is at an index place. The key is the token, or for a hot one that of the
+    node's cell, and only then is the token named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, seen = np.frombuffer(ranks.value, np.uint8), set()
+        rank, seen, both = np.frombuffer(ranks.value, np.uint8), set(), 2 * j / (1 + j)
         for _, _, s in _parts(batches, 0, fields, shingle, least_words):
             s.unseen(seen)
             s.hashes = (rank[_slot(s.hashes)].astype(np.uint64) << np.uint64(56)) | (s.hashes >> np.uint64(8))
             s._settle()
             sizes = np.minimum(prefix_size(s.sizes, j), s.sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(s.hashes[_ranges(s.starts, sizes)])), pa.array(_signed(np.repeat(s.nodes, sizes)))], ["token", "node"])
+            tokens = s.hashes[_ranges(s.starts, sizes)]
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            nodes = np.repeat(s.nodes, sizes) | (place < np.repeat(prefix_size(s.sizes, both), sizes)).astype(np.uint64)
+            cells = cells_of(tokens >> np.uint64(56))
+            hot = cells > 1
+            keys = np.where(hot, mix(tokens + own_cell(nodes, cells).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(keys)), pa.array(_signed(nodes)), pa.array(_signed(tokens), mask=~hot)], ["key", "node", "token"])
 
     return run
 
 
+def own_cell(nodes: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (mix((nodes >> np.uint64(1)) + np.uint64(11)) % cells.astype(np.uint64)).astype(np.int64)
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """The columns of several batches in one, of at least `rows` rows but for the last."""
+    """The columns of several batches in one, of at least `rows` rows but for the last; NULLs are 0."""
     held: list[pa.RecordBatch] = []
     for b in batches:
         held.append(b)
         if sum(x.num_rows for x in held) >= rows:
-            yield tuple(np.concatenate([x.column(i).to_numpy() for x in held]) for i in range(held[0].num_columns))
+            yield _columns(held)
             held = []
     if held:
-        yield tuple(np.concatenate([x.column(i).to_numpy() for x in held]) for i in range(held[0].num_columns))
+        yield _columns(held)
+
+
+def _columns(held: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate([x.column(i).fill_null(0).to_numpy(zero_copy_only=False) for x in held]) for i in range(held[0].num_columns))
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (token, node) sorted by both: a shard for each set of two or more nodes that share a token, once
-    for each partition."""
+    """From (key, node, token) sorted by key and node: a shard for each set of two or more nodes that share a key and
+    have an index place, once for each partition; size is its number of nodes. Tokens that are named are
+    passed on with their nodes, size being 0."""
     known: set[int] = set()
+    named = ["shard", "node", "size"]
 
-    def deal(t: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def deal(t: np.ndarray, n: np.ndarray, tokens: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(t):
             return
         fresh = np.ones(len(t), bool)
         fresh[1:] = (t[1:] != t[:-1]) | (n[1:] != n[:-1])
-        t, n = t[fresh], n[fresh]
+        t, n, tokens = t[fresh], n[fresh], tokens[fresh]
+        hot = tokens != 0
+        if hot.any():
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[hot]), pa.array(n[hot]), pa.array(np.zeros(int(hot.sum()), np.int32))], named)
         starts = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1))
         sizes = np.diff(np.append(starts, len(t)))
-        starts, sizes = starts[sizes > 1], sizes[sizes > 1]
-        for k in np.flatnonzero(sizes > BLOCK).tolist():
-            whole = n[starts[k] : starts[k] + sizes[k]]
-            yield from name(whole, np.array([0]), np.array([len(whole)]))
-            for i in range(0, len(whole) - BLOCK // 2, BLOCK // 2):  # each block overlaps the next by half
-                x = whole[i : i + BLOCK]
-                yield from name(x, np.array([0]), np.array([len(x)]), chain=True)
-        starts, sizes = starts[sizes <= BLOCK], sizes[sizes <= BLOCK]
-        if len(starts):
-            yield from name(n[_ranges(starts, sizes)], np.cumsum(sizes) - sizes, sizes)
-
-    def name(nodes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chain: bool = False) -> Iterator[pa.RecordBatch]:
-        names = mix(np.add.reduceat(mix(nodes.view(np.uint64) + np.uint64(7)), starts) + sizes.astype(np.uint64) + np.uint64(1 << 40 if chain else 0))
+        good = (sizes > 1) & (np.maximum.reduceat(n & 1, starts) > 0)
+        starts, sizes = starts[good], sizes[good]
+        if not len(starts):
+            return
+        nodes = n[_ranges(starts, sizes)] | np.repeat(sizes <= SMALL, sizes)
+        starts = np.cumsum(sizes) - sizes
+        names = mix(np.add.reduceat(mix(nodes.view(np.uint64) + np.uint64(7)), starts) + sizes.astype(np.uint64))
         which = []
+        if len(known) > SEEN:
+            known.clear()
         for k, x in enumerate(names.tolist()):
             if x not in known:
                 known.add(x)
                 which.append(k)
         if which:
             w = np.array(which)
-            size = np.repeat(np.full(len(w), -1) if chain else sizes[w], sizes[w]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.repeat(names[w], sizes[w]))), pa.array(nodes[_ranges(starts[w], sizes[w])]), pa.array(size)], ["shard", "node", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.repeat(names[w], sizes[w]))), pa.array(nodes[_ranges(starts[w], sizes[w])]), pa.array(np.repeat(sizes[w], sizes[w]).astype(np.int32))], named)
 
-    held_t, held_n = np.empty(0, np.int64), np.empty(0, np.int64)
-    for t, n in _gathered(batches, GATHER):
-        t, n = np.concatenate((held_t, t)), np.concatenate((held_n, n))
-        last = len(t) - int(np.argmax(t[::-1] != t[-1])) if t[0] != t[-1] else 0  # where the last token begins
-        yield from deal(t[:last], n[:last])
-        held_t, held_n = t[last:], n[last:]
-    yield from deal(held_t, held_n)
+    held = tuple(np.empty(0, np.int64) for _ in range(3))
+    for new in _gathered(batches, GATHER):
+        cols = tuple(np.concatenate(x) for x in zip(held, new))
+        t = cols[0]
+        last = len(t) - int(np.argmax(t[::-1] != t[-1])) if t[0] != t[-1] else 0  # where the last key begins
+        yield from deal(*(c[:last] for c in cols))
+        held = tuple(c[last:] for c in cols)
+    yield from deal(*held)
 
 
 def _links(j: float, across: bool):
-    """From (shard, node, n, data, label) sorted by shard and node: the links the shard's tree gives."""
+    """From (shard, node, n, data, label, guest) sorted by shard: the links the shard's tree gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: set[tuple[int, int]] = set()
-        group: list[tuple[int, int, int, int]] = []
-        at = None
+        group, at = Shard(), None
 
         def close() -> None:
-            if len(group) > 1:
-                nodes, sizes, bits, labels = map(list, zip(*group))
-                pairs.update(tree_links(nodes, sizes, bits, j, labels=labels) if across else tree_links(nodes, sizes, bits, j, NEAREST))
-            group.clear()
+            if len(group.members) > 1:
+                pairs.update(group.links(j, None if across else NEAREST, across))
+            group.members.clear()
 
         def flush() -> Iterator[pa.RecordBatch]:
             if pairs:
@@ -317,12 +371,11 @@ def _links(j: float, across: bool):
                 pairs.clear()
 
         for b in batches:
-            for shard, node, n, data, label in zip(*(c.to_pylist() for c in b.columns)):
+            for shard, node, n, data, label, guest in zip(*(c.to_pylist() for c in b.columns)):
                 if shard != at:
                     close()
                     at = shard
-                if not group or group[-1][0] != node:
-                    group.append((node, n, int.from_bytes(data), label))
+                group.members.append((node & ~1, n, int.from_bytes(data), bool(node & 1), label, guest))
                 if len(pairs) > OUT_ROWS:
                     yield from flush()
         close()
@@ -356,7 +409,7 @@ def _or_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(fields: int, shingle: int, least_words: int, flags):
-    """(node, data): 32 bits of each shingle hash, once for each node and partition, for the rows whose id's slot
+    """(node, data): the shingle hashes, once for each node and partition, for the rows whose id's slot
     is flagged; which of those are needed is settled by a join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,9 +418,8 @@ def _sets(fields: int, shingle: int, least_words: int, flags):
         for _, _, s in _parts(flagged, 1, fields, shingle, least_words):
             s.unseen(seen)
             if len(s.places):
-                short = (s.hashes >> np.uint64(32)).astype(np.uint32).tobytes()
-                ends = np.append(s.starts, s.starts[-1] + s.sizes[-1]).astype(np.int32) * 4
-                data = pa.Array.from_buffers(pa.binary(), len(s.places), [None, pa.py_buffer(ends), pa.py_buffer(short)])
+                ends = np.append(s.starts, s.starts[-1] + s.sizes[-1]).astype(np.int64) * 8
+                data = pa.Array.from_buffers(pa.large_binary(), len(s.places), [None, pa.py_buffer(ends), pa.py_buffer(s.hashes.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(s.nodes)), data], ["node", "data"])
 
     return run
@@ -380,7 +432,7 @@ def _confirm(j: float):
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 z = np.concatenate((p, q))
                 z.sort()
                 common = int((z[1:] == z[:-1]).sum())
@@ -398,19 +450,22 @@ def near_groups(df: DataFrame, id_col: str, fields: list[str], j: float = 0.8, s
     texts = base.select(*(f"f{i}" for i in range(k)))
     scan = materialize(base.mapInArrow(_scan(k, shingle, least_words), "field int, id long, node long, n int, data binary"), "near-scan")
     members = scan.filter("field >= 0")
-    chunks = scan.filter("field < 0").select("id", "data").repartition(16, "id").mapInArrow(_sum_chunks, "chunk long, ranks binary")
+    chunks = scan.filter("field < 0").select("id", "data", F.pmod(F.spark_partition_id(), F.lit(64)).alias("salt"))
+    partial = chunks.repartition("id", "salt").select("id", "data").mapInArrow(_sum_chunks, "id long, data binary")
     rank = bytearray(SLOTS)
-    for r in chunks.collect():  # SLOTS bytes, whatever the data
+    for r in partial.repartition(16, "id").mapInArrow(_rank_chunks, "chunk long, ranks binary").collect():  # SLOTS bytes, whatever the data
         rank[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = r.ranks
     ranks = spark.sparkContext.broadcast(bytes(rank))
-    tokens = texts.mapInArrow(_prefixes(k, shingle, least_words, j, ranks), "token long, node long")
-    by_token = tokens.repartition(F.col("token")).sortWithinPartitions("token", "node")
-    shards = materialize(by_token.mapInArrow(_shards, "shard long, node long, size int").distinct(), "near-shards")
+    tokens = texts.mapInArrow(_prefixes(k, shingle, least_words, j, ranks), "key long, node long, token long")
+    by_key = tokens.repartition(F.col("key")).sortWithinPartitions("key", "node")
+    shards = materialize(by_key.mapInArrow(_shards, "shard long, node long, size int").distinct(), "near-shards")
     nodes = members.groupBy("node").agg(F.first("field").alias("field"), F.first("n").alias("n"), F.first("data").alias("data"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    plain = F.col("node").bitwiseAND(F.lit(-2))
+    shards_of = shards.withColumn("at", plain)
 
     def links(dealt: DataFrame, across: bool) -> DataFrame:
-        rows = dealt.join(nodes.select("node", "n", "data"), "node").select("shard", "node", "n", "data", "label")
-        rows = rows.repartition(F.col("shard")).sortWithinPartitions("shard", "node")
+        rows = dealt.join(nodes.select(F.col("node").alias("at"), "n", "data"), "at").select("shard", "node", "n", "data", "label", "guest")
+        rows = rows.repartition(F.col("shard")).sortWithinPartitions("shard")
         return materialize(rows.mapInArrow(_links(j, across), "a long, b long").distinct(), "near-links")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -424,28 +479,42 @@ def near_groups(df: DataFrame, id_col: str, fields: list[str], j: float = 0.8, s
         sets = base.mapInArrow(_sets(k, shingle, least_words, flags), "node long, data binary").join(needed, "node", "left_semi")
         sets = materialize(sets.dropDuplicates(["node"]), "near-sets")
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return materialize(both.mapInArrow(_confirm(j), "a long, b long"), "near-confirmed")
+        out = materialize(both.mapInArrow(_confirm(j), "a long, b long"), "near-confirmed")
+        discard(pairs, needed, sets)
+        return out
 
     # First each node's nearest ones in its shards: in shards of up to NEAREST + 1 nodes those are all.
-    edges = confirmed(links(shards.filter(f"size <= {BLOCK}").withColumn("label", F.lit(0).cast("long")), False))
+    alone = F.lit(False).alias("guest")
+    edges = confirmed(links(shards_of.filter("size > 0").select("shard", "node", "at", F.lit(0).cast("long").alias("label"), alone), False))
     roots = connected_components(edges, "a", "b")
-    large = shards.filter(f"size > {NEAREST + 1}")
+    large = shards_of.filter(f"size > {NEAREST + 1} OR size = 0")
     if large.take(1):
         # Then, in larger shards, all pairs that aren't in one component yet; a shard in one component is done.
-        named = large.join(roots.toDF("node", "root"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        open_ = named.groupBy("shard").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("shard")
-        cells = F.ceil(F.col("size") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("node"), cells).cast("int")
-        dealt = named.join(open_, "shard").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
-        dealt = dealt.withColumn("shard", F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")))
-        more = links(dealt, True)
+        labelled = large.join(roots.toDF("at", "root"), "at", "left").withColumn("label", F.coalesce("root", "at")).drop("root")
+        labelled = materialize(labelled, "near-large")
+        counts = labelled.groupBy("shard", "label").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("node").bitwiseAND(F.lit(1))).alias("index"))
+        open_ = counts.groupBy("shard").agg(F.count(F.lit(1)).alias("labels"), F.max("index").alias("index"), F.max_by("label", "c").alias("common")).filter("labels > 1 AND index = 1")
+        dealt = lookup_skewed(labelled, open_.join(labelled.groupBy("shard").count(), "shard"), ["shard"], "count")
+        cold = dealt.filter("size > 0").select("shard", "node", "at", "label", alone)
+        # A hot shingle's cells: all nodes are at home in their own, those of rarer components visit the others.
+        rank_of = F.shiftrightunsigned("shard", 56)
+        cells = F.ceil((F.pow(F.lit(2.0), rank_of / 8) - 1) / BLOCK).cast("int")
+        hot = dealt.filter("size = 0").withColumn("own", F.pmod(F.xxhash64("at"), cells).cast("int"))
+        goes = F.when(F.col("label") == F.col("common"), F.array("own")).otherwise(F.sequence(F.lit(0), cells - 1))
+        hot = hot.withColumn("cell", F.explode(goes))
+        hot = hot.select(F.xxhash64("shard", "cell").alias("shard"), "node", "at", "label", (F.col("cell") != F.col("own")).alias("guest"))
+        more = links(cold.unionByName(hot), True)
+        discard(labelled)
         if more.take(1):
             roots = connected_components(edges.unionByName(confirmed(more)), "a", "b")
+    discard(shards)
     # A node without a link stands for itself; a component is named by its smallest id.
     whole = nodes.select("field", "node", "rep", "copies").join(roots.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = materialize(whole, "near-nodes")
-    heads = whole.groupBy("root").agg(F.min("rep").alias("group_id"), F.sum("copies").alias("all")).filter("all > 1")
-    named = materialize(whole.join(heads.select("root", "group_id"), "root").select("node", F.col("copies").alias("n"), "group_id"), "near-named")
+    heads = whole.groupBy("root").agg(F.min("rep").alias("group_id"), F.sum("copies").alias("all"), F.count(F.lit(1)).alias("k")).filter("all > 1")
+    named = lookup_skewed(whole, heads.select("root", "group_id", "k"), ["root"], "k")
+    named = materialize(named.select("node", F.col("copies").alias("n"), "group_id"), "near-named")
+    discard(whole)
     found = lookup_skewed(members.select("field", "id", "node"), named, ["node"], "n").filter("id <> group_id")
     return found.select(F.array(*map(F.lit, fields))[F.col("field")].alias("field"), "group_id", F.col("id"))
 

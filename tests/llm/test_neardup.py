@@ -73,29 +73,79 @@ def test_a_shard_of_more_than_a_block(spark):
     assert {(x.group_id, x.id) for x in neardup.near_groups(df, "id", ["t"], 0.6, 3, 10).collect()} == brute(rows, 0.6, 3, 10)
 
 
-def test_large_runs_become_a_chain_and_a_whole():
-    n = np.arange(3_000, dtype=np.int64)
-    batch = neardup.pa.RecordBatch.from_arrays([neardup.pa.array(np.full(3_000, 9)), neardup.pa.array(n)], ["token", "node"])
-    chain, whole = {}, {}
-    for out in neardup._shards(iter([batch])):
-        for s, x, size in zip(*(c.to_pylist() for c in out.columns)):
-            (chain if size < 0 else whole).setdefault(s, []).append(x)
-    assert [sorted(v) for v in whole.values()] == [list(range(3_000))]
-    blocks = sorted(chain.values())
-    assert all(len(x) <= neardup.BLOCK for x in blocks) and all(set(x) & set(y) for x, y in zip(blocks, blocks[1:]))
-    assert set().union(*blocks) == set(range(3_000))
-
-
-def test_tree_links_nearest_and_across():
-    r = random.Random(8)
-    x = [sum(1 << r.randrange(512) for _ in range(3)) for _ in range(1)][0]
+def batch_of(*cols):
+    return neardup.pa.RecordBatch.from_arrays([neardup.pa.array(c, neardup.pa.int64()) for c in cols], ["key", "node", "token"])
+
+
+def test_shards_need_two_nodes_and_an_index_place():
+    keys, nodes = [1, 2, 2, 3, 3, 4, 4], [3, 2, 5, 2, 4, 3, 5]
+    out = [x for b in neardup._shards(iter([batch_of(keys, nodes, [None] * 7)])) for x in zip(*(c.to_pylist() for c in b.columns))]
+    shards = {}
+    for s, n, size in out:
+        assert size == 2
+        shards.setdefault(s, set()).add(n)
+    assert sorted(map(sorted, shards.values())) == [[3, 5]]  # small shards count every place, and equal ones are one
+    big = np.arange(0, 2 * (neardup.SMALL + 1), 2)
+    assert not list(neardup._shards(iter([batch_of([9] * len(big), big, [None] * len(big))])))
+    big[3] |= 1
+    (only,) = neardup._shards(iter([batch_of([9] * len(big), big, [None] * len(big))]))
+    assert only.column(1).to_pylist() == big.tolist()
+
+
+def test_hot_tokens_are_passed_on():
+    out = [tuple(x) for b in neardup._shards(iter([batch_of([5, 5, 6], [2, 4, 6], [77, 77, 77])])) for x in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(out) == [(77, 2, 0), (77, 4, 0), (77, 6, 0)]
+    assert neardup.cells_of(np.array([0, 80, 88, 96, 255], np.uint8))[[0, 1]].tolist() == [1, 1] and neardup.cells_of(np.array([120], np.uint8))[0] == 32
+
+
+def shard_of(bits, sizes=None, index=None, labels=None, guests=None):
+    s, n = neardup.Shard(), len(bits)
+    s.members = list(zip(range(n), sizes or [50] * n, bits, index or [True] * n, labels or [0] * n, guests or [False] * n))
+    return s
+
+
+def test_links_of_a_shard():
+    x = sum(1 << q for q in (3, 70, 400))
     bits = [x ^ ((1 << k) - 1) for k in range(6)]
-    every = set(neardup.tree_links(list(range(6)), [50] * 6, bits, 0.6))
+    every = set(shard_of(bits).links(0.6, None, False))
     assert every == set(itertools.combinations(range(6), 2))
-    assert set(neardup.tree_links(list(range(6)), [50] * 6, bits, 0.6, most=1)) == {(k, k + 1) for k in range(5)}
-    across = set(neardup.tree_links(list(range(6)), [50] * 6, bits, 0.6, labels=[0, 0, 0, 1, 1, 1]))
+    assert set(shard_of(bits).links(0.6, 1, False)) == {(k, k + 1) for k in range(5)}
+    across = set(shard_of(bits, labels=[0, 0, 0, 1, 1, 1]).links(0.6, None, True))
     assert across == {(a, b) for a, b in every if (a < 3) != (b < 3)}
-    assert not set(neardup.tree_links([0, 1], [10, 50], bits[:2], 0.6))
+    assert not set(shard_of(bits[:2], [10, 50]).links(0.6, None, False))
+    # Of a pair the smaller one must stand at an index place, and two guests have met in a cell of their own.
+    assert set(shard_of(bits[:3], [50, 52, 54], [False, True, False]).links(0.6, None, False)) == {(1, 2)}
+    assert set(shard_of(bits[:3], labels=[0, 1, 2], guests=[True, True, False]).links(0.6, None, True)) == {(0, 2), (1, 2)}
+
+
+def test_the_first_shared_shingle_is_at_an_index_place_of_the_smaller():
+    r = random.Random(9)
+    for _ in range(3_000):
+        common, a, b = r.randrange(1, 60), r.randrange(0, 40), r.randrange(0, 40)
+        j = r.choice([0.6, 0.8])
+        if common < j * (common + a + b):
+            continue
+        order = r.sample(range(1_000), common + a + b)
+        x, y = sorted(order[: common + a]), sorted(order[:common] + order[common + a :])
+        first = min(set(x) & set(y))
+        small, large = sorted((x, y), key=len)
+        size = lambda s, q: int(neardup.prefix_size(np.array([len(s)]), q)[0])
+        assert small.index(first) < size(small, 2 * j / (1 + j)) and large.index(first) < size(large, j)
+
+
+def template(n, own, seed):
+    """n texts of one template of 72 words and some words of their own; no two of them are alike at 0.6."""
+    r = random.Random(seed)
+    frame = [f"t{k}" for k in range(72)]
+    return [(i, " ".join(frame + [f"o{r.randrange(10**9)}" for _ in range(own)])) for i in range(n)]
+
+
+def test_a_template_isnt_paired(spark):
+    rows = template(3_000, 52, 4)
+    rows += [(10_000 + i, t + " tail") for i, t in rows[:50]]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(4)
+    got = {(x.group_id, x.id) for x in neardup.near_groups(df, "id", ["t"], 0.6, 3, 30).collect()}
+    assert got == {(i, 10_000 + i) for i in range(50)}
 
 
 def test_two_fields_are_grouped_apart(spark):
