@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.words import form_table
-from quern.session import materialize
+from quern.session import discard, materialize
 
 ROUNDS = 3
 #: Least precision of a pattern in the end and while it grows from the seeds (where what isn't trusted yet is
 #: unknown rather than wrong), least share of an instance's occurrences in such patterns, least support.
 PATTERN, GROWING, GROWING_NAMES, INSTANCE, SUPPORT = 0.6, 0.2, 0.3, 0.5, 3
+#: Patterns that stand at over a share of 1 / HOT of all candidates (so fewer than HOT of each place) are looked up by broadcast.
+HOT = 1_000
 #: The patterns around a candidate: columns and marks.
 PATS = {"l2": "<", "l1": "<<", "r1": ">"}
 KINDS = ("name", "email", "phone", "id_number", "address")
@@ -45,18 +47,13 @@ Sabine Jürgen Heike Volker Annika Thorben
 Thibault Bastien Coralie Océane Élodie Gaspard
 Marisol Gonzalo Nuria Anselmo Pilar Rocío
 """.lower().split()
+#: Labels whose patterns are seeds of the graph for identity numbers: trusted in the first round alone, so that they give shapes.
 ID_LABELS = ["ssn", "passport", "passeport", "pasaporte", "reisepass", "ausweis", "dni", "nif", "steuer-id", "steuernummer", "id document", "documento", "sécurité sociale"]
 #: What carries numbers that are no persons' (negative seeds).
 OTHER_LABELS = "submission submissions problem problems build builds ticket tickets version tests book books isbn issn page lot commit run job case soumission problème livre einreichung aufgabe buch envío problema libro entrega version versión".split()
 #: By the number of the form in _STREET.
-STREETS = {
-    0: "street st ave avenue rd road lane ln drive dr blvd boulevard court ct way close terrace square row",
-    1: "rue place bd boulevard avenue allée chemin impasse quai cours",
-    2: "calle c/ plaza avda avenida paseo camino pza rue place avenue",
-    3: "weg straße strasse str platz gasse allee ufer damm",
-    4: "tor weg platz ufer markt damm",
-}
-DOMAINS = "com org net edu example test invalid de fr es uk eu info".split()
+STREETS = {0: "street st lane rd", 1: "rue avenue", 2: "calle plaza", 3: "straße weg", 4: "tor"}
+DOMAINS = "com org".split()
 
 _L = r"(?:[^\W\d_]|[̀-ͯ])"
 _UP = r"[A-ZÀ-ÖØ-ÞŒŠŽ]"
@@ -70,8 +67,11 @@ _INITIAL = re.compile(rf"(?<!º )(?<![\w@.\-/'’̀-ͯ])({_INI})(?:[^\S\n]?(?P<n
 _AT = r"(?:\s?@\s?|\s?[\(\[\{]\s?(?:at|AT|At)\s?[\)\]\}]\s?|\s(?:AT|at)\s)"
 _DOT = r"(?:\.|\s?[\(\[\{]\s?(?:dot|DOT|Dot)\s?[\)\]\}]\s?|\s(?:dot|DOT)\s)"
 _EMAIL = re.compile(rf"(?<![\w.+@-])([\w](?:[\w.+-]*[\w])?)({_AT})([\w-]+(?:{_DOT}[\w-]+)*{_DOT}([A-Za-z]{{2,}}))(?![\w@-])")
-#: Where an address may have its sign.
-_SIGN = re.compile(r"@|[\(\[\{]\s?(?:at|AT|At)\s?[\)\]\}]|\sAT\s|\sat\s")
+#: Anchors: cheap searches that begin with a set of characters, at which the shapes are tried.
+_BRACKETED = re.compile(r"[\(\[\{]\s?(?:at|AT|At)\s?[\)\]\}]")
+_CAPITALS = re.compile(rf"{_UP}[\ẁ-ͯ]*")
+_COMMA = re.compile(rf",{_SEP}(?={_UP})")
+_RUN, _ASCII_RUN = re.compile(r"\d+"), re.compile("[0-9]+")
 _PHONE = re.compile(r"(?<![\w.+/-])(?:\(?\+|\()?\d[\d()./ \-]{5,24}\d(?!\w)")
 _ID = re.compile(r"(?<![\w./+-])(?:(?!ID|NO|NR|SS)[A-Z]{1,2}[ -]?)?\d(?:[ ./-]?(?:\d|[A-Z](?![a-z]))){4,}(?!\w)")
 _STREET = [
@@ -81,7 +81,6 @@ _STREET = [
     re.compile(rf"(?<!\w){_UP}{_L}+?(?P<k>weg|straße|strasse|str|platz|gasse|allee|ufer|damm)\.?[^\S\n]\d{{1,5}}(?:[^\S\n]?[a-z])?(?!\w)"),
     re.compile(rf"(?<!\w)(?:Am|An der|An den|Im|In der|Zum|Zur|Auf dem|Auf der)[^\S\n](?:{CAP}[^\S\n])?(?P<k>{CAP})[^\S\n]\d{{1,5}}(?:[^\S\n]?[a-z])?(?!\w)"),
 ]
-_NUMBER = re.compile(r"(?<!\d)\d{1,5}(?!\d)")
 #: What stands right before the number of forms 2 to 4: a blank, or a mark that may touch it.
 _MARK = re.compile(r"n\.?[º°o]\.?|núm\.")
 _CAPITAL = re.compile(rf"(?<!\w){_UP}")
@@ -119,7 +118,7 @@ def _word(t: str) -> str:
     return t.lower()
 
 
-_LABELS = frozenset("steuer-id steuer-nr passport pasaporte passeport ausweis carte document documento telefon submission problem build ticket version tests book isbn issn page lot commit soumission problème livre einreichung aufgabe buch envío problema libro dank prof frau herr winner contact call mail steuernummer paket teilnehmer candidat participante treffpunkt musterlösung thanks".split())
+_LABELS = frozenset("caja rendez-vous quedamos steuer-id steuer-nr passport pasaporte passeport ausweis carte document documento telefon submission problem build ticket version tests book isbn issn page lot commit soumission problème livre einreichung aufgabe buch envío problema libro dank prof frau herr winner contact call mail steuernummer paket teilnehmer candidat participante treffpunkt musterlösung thanks".split())
 
 
 def _around(text: str, a: int, b: int) -> tuple[str, str, str]:
@@ -153,6 +152,8 @@ def _words_before(t: str, p: int) -> int | None:
         return None
     b = p - 1
     if t[b].isspace():
+        if not ((x := t[b - 1]).isalpha() or x in ".,º°" or "̀" <= x <= "ͯ"):
+            return None
         a = _token(t, b)
         if not (_CAPITAL.search(t, a, b) or _MARK.fullmatch(t, a, b)):
             return None
@@ -167,6 +168,56 @@ def _words_before(t: str, p: int) -> int | None:
     return a
 
 
+def _signs(t: str) -> list[int]:
+    """Where an address may have its sign."""
+    out = []
+    for sign in ("@", "at", "AT"):
+        a = t.find(sign)
+        while a >= 0:
+            if sign == "@":
+                out.append(a)
+            elif a > 0 and t[a - 1].isspace() and t[a + 2 : a + 3].isspace():
+                out.append(a - 1)
+            a = t.find(sign, a + 1)
+    if "(" in t or "[" in t or "{" in t:
+        out += [m.start() for m in _BRACKETED.finditer(t)]
+    return sorted(out)
+
+
+def _family_starts(t: str, c: int, lo: int) -> list[int]:
+    """Where a family name that ends at the comma at c may begin, in order: at a particle of one or two words before it,
+    or at a capital in it."""
+    a = c
+    while a > lo and (t[a - 1].isalpha() or t[a - 1] in "-'’" or "̀" <= t[a - 1] <= "ͯ"):
+        a -= 1
+    caps = [k for k in range(a, c) if t[k].isupper()]
+    out = []
+    for _ in range(2):
+        b = a
+        while b > lo and t[b - 1].isspace():
+            b -= 1
+        if b == a:
+            break
+        a = b
+        while a > lo and t[a - 1].isalpha():
+            a -= 1
+        if a == b:
+            break
+        out.insert(0, a)
+    return out + caps
+
+
+def _phone(m: re.Match) -> tuple[int, str] | None:
+    """Where the number begins and its text, without a bracket that isn't closed in it."""
+    s, a = m[0], m.start()
+    if s.count("(") != s.count(")"):
+        if ")" in s:
+            return None
+        s = s[: s.rindex("(")].rstrip() if s.rindex("(") else s[1:]
+        a += m[0].startswith("(") and not s.startswith("(")
+    return (a, s) if 8 <= sum(c.isdigit() for c in s) <= 15 else None
+
+
 def candidates(text: str) -> Iterator[tuple]:
     """(kind, first, end, instance, extra, form, left, left two, right) of everything that has a shape."""
     t, at = fold(text)
@@ -178,14 +229,14 @@ def candidates(text: str) -> Iterator[tuple]:
 
     mails = []
     done = 0
-    for sign in _SIGN.finditer(t):
-        a = sign.start() - (sign.start() > 0 and t[sign.start() - 1].isspace())
+    for at_sign in _signs(t):
+        a = at_sign - (at_sign > 0 and t[at_sign - 1].isspace())
         while a > done and (t[a - 1].isalnum() or t[a - 1] in "_.+-"):
             a -= 1
-        while a < sign.start() and t[a] in ".+-":
+        while a < at_sign and t[a] in ".+-":
             a += 1
         m = _EMAIL.match(t, a)
-        if not m or m.start(2) > sign.start():
+        if not m or m.start(2) > at_sign:
             continue
         mark = m[2].strip()
         spelled = mark != "@"
@@ -195,41 +246,56 @@ def candidates(text: str) -> Iterator[tuple]:
         mails.append(m.span())
         yield row("email", *m.span(), m[4], "", "spelled" if spelled else "plain")
     inside = lambda a: any(x <= a < y for x, y in mails)
-    pos = 0
-    while m := _FIRST.search(t, pos):
-        pos = m.end(1)
-        if not inside(m.start()):
-            yield row("name", *m.span(), m[1], m[3][-4:], "first-titled" if _titled(t, *m.span()) else "thing" if _THING.match(t, m.end()) else "first")
-    pos = 0
-    while m := _LAST.search(t, pos):
-        pos = m.end(2)
-        if not inside(m.start()):
-            yield row("name", m.start(2) if not m[1] else m.start(), m.end(), m[3], m[2][-4:], "last")
-    for m in _INITIAL.finditer(t):
-        # Of two initials a first "M." is a title.
-        a = m.start("next") if m["next"] and m[1] == "M." else m.start()
-        if not inside(a):
-            yield row("name", a, m.end(), m["next"] if a > m.start() else m[1], m["family"][-4:], "thing" if _THING.match(t, m.end()) else "initial")
-    for m in _PHONE.finditer(t):
-        s = m[0]
-        a = m.start()
-        if s.count("(") != s.count(")"):
-            if ")" in s:
-                continue
-            s = s[: s.rindex("(")].rstrip() if s.rindex("(") else s[1:]
-            a += m[0].startswith("(") and not s.startswith("(")
-        if 8 <= sum(c.isdigit() for c in s) <= 15 and not inside(a):
-            yield row("phone", a, a + len(s), _shape(s))
-    for m in _ID.finditer(t):
-        if 7 <= sum(c.isalnum() for c in m[0]) <= 17 and sum(c.isdigit() for c in m[0]) >= 5 and not inside(m.start()):
-            yield row("id_number", *m.span(), _shape(m[0]))
+    first_from = initial_from = 0
+    for c in _CAPITALS.finditer(t):
+        i, e = c.span()
+        if i > 0 and ((p := t[i - 1]).isalnum() or p in "_@.-/" or "̀" <= p <= "ͯ"):
+            continue
+        after = t[e : e + 1]
+        if i >= first_from and (after.isspace() and e - i > 1 or after in ("-", "'", "’")) and (m := _FIRST.match(t, i)):
+            first_from = m.end(1)
+            if not inside(i):
+                yield row("name", *m.span(), m[1], m[3][-4:], "first-titled" if _titled(t, *m.span()) else "thing" if _THING.match(t, m.end()) else "first")
+        if after == "." and e - i < 3 and i >= initial_from and (m := _INITIAL.match(t, i)):
+            initial_from = m.end()
+            # Of two initials a first "M." is a title.
+            a = m.start("next") if m["next"] and m[1] == "M." else i
+            if not inside(a):
+                yield row("name", a, m.end(), m["next"] if a > i else m[1], m["family"][-4:], "thing" if _THING.match(t, m.end()) else "initial")
+    last_from = 0
+    for c in _COMMA.finditer(t):
+        for a in _family_starts(t, c.start(), last_from):
+            if (m := _LAST.match(t, a)) and m.end(2) == c.start():
+                last_from = m.end(2)
+                if not inside(m.start()):
+                    yield row("name", m.start(2) if not m[1] else m.start(), m.end(), m[3], m[2][-4:], "last")
+                break
+    phone_from = id_from = 0
     seen = set()
-    for n in _NUMBER.finditer(t):
-        p = n.start()
-        hits = [(k, m) for k in (0, 1) if (m := _STREET[k].match(t, p))]
+    for run in (_ASCII_RUN if t.isascii() else _RUN).finditer(t):
+        p, e = run.span()
+        if p >= phone_from:
+            for a in (p - 2, p - 1, p):
+                if a >= phone_from and (a == p or t[a] in "(+") and (m := _PHONE.match(t, a)):
+                    phone_from = m.end()
+                    if x := _phone(m):
+                        if not inside(x[0]):
+                            yield row("phone", x[0], x[0] + len(x[1]), _shape(x[1]))
+                    break
+        if p >= id_from:
+            for a in (p - 3, p - 2, p - 1, p):
+                if a >= id_from and (a == p or "A" <= t[a] <= "Z") and (m := _ID.match(t, a)):
+                    id_from = m.end()
+                    if 7 <= sum(c.isalnum() for c in m[0]) <= 17 and sum(c.isdigit() for c in m[0]) >= 5 and not inside(a):
+                        yield row("id_number", *m.span(), _shape(m[0]))
+                    break
+        if e - p > 5:
+            continue
+        follows = t[e : e + 1]
+        hits = [(k, m) for k in (0, 1) if (m := _STREET[k].match(t, p))] if follows == "," or follows.isspace() or follows.isalpha() else []
         a = _words_before(t, p)
         if a is not None:
-            hits += [(k, m) for k in (2, 3, 4) for m in _STREET[k].finditer(t, a, min(len(t), n.end() + 8)) if m.start() < p < m.end()]
+            hits += [(k, m) for k in (2, 3, 4) for m in _STREET[k].finditer(t, a, min(len(t), e + 8)) if m.start() < p < m.end()]
         for k, m in hits:
             if (k, m.span()) not in seen and not inside(m.start()):
                 seen.add((k, m.span()))
@@ -256,17 +322,23 @@ def _seeds(spark: SparkSession) -> DataFrame:
 
 
 def _scored(edges: DataFrame, scores: DataFrame) -> DataFrame:
-    """Each row of edges with the precision of its best pattern (`best`), and of its best one to the left (`left`)."""
+    """Each row of edges with the precision of its best pattern (`best`), and of its best one to the left (`left`).
+    Rows at hot patterns, found by broadcast, are spread over the tasks of the join for the others, where they match nothing."""
+    scores = scores.filter(F.col("score") > 0)
+    total = scores.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(scores.filter(F.col("n") > max(10_000, total // HOT)).select("kind", F.col("pat").alias("_p"), F.col("score").alias("_h")))
+    cold = scores.select("kind", F.col("pat").alias("_p"), F.col("score").alias("_c"))
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("inst", *PATS), F.lit(4_096)).cast("string"))
     for c in PATS:
-        s = scores.filter(F.col("score") > 0).select("kind", F.col("pat").alias("_p"), F.col("score").alias(f"s_{c}"))
-        edges = edges.withColumn("_p", F.concat(F.lit(PATS[c]), c)).join(s, ["kind", "_p"], "left").drop("_p")
-    zero = F.lit(0.0)
-    left = F.greatest(F.coalesce("s_l2", zero), F.coalesce("s_l1", zero))
-    return edges.withColumn("left", left).withColumn("best", F.greatest("left", F.coalesce("s_r1", zero))).drop(*(f"s_{c}" for c in PATS))
+        edges = edges.withColumn("_p", F.concat(F.lit(PATS[c]), c)).join(hot, ["kind", "_p"], "left")
+        edges = edges.withColumn("_p", F.when(F.col("_h").isNotNull(), spread).otherwise(F.col("_p"))).join(cold, ["kind", "_p"], "left")
+        edges = edges.withColumn(f"s_{c}", F.coalesce("_h", "_c", F.lit(0.0))).drop("_p", "_h", "_c")
+    left = F.greatest("s_l2", "s_l1")
+    return edges.withColumn("left", left).withColumn("best", F.greatest("left", "s_r1")).drop(*(f"s_{c}" for c in PATS))
 
 
-def bootstrap(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Trusted instances (kind, inst) and the precision of patterns (kind, pat, score) after ROUNDS rounds over
+def bootstrap(found: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Trusted instances (kind, inst) and the precision of patterns (kind, pat, score, n) after so many rounds over
     the graph of found, which has a row for each candidate."""
     spark = found.sparkSession
     clear = found.filter("form not in ('first-titled', 'titled', 'thing')")
@@ -277,29 +349,55 @@ def bootstrap(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     bare = numbers & F.col("pat").rlike(r"^<<(?!\w{3})")
     other = numbers & F.col("pat").rlike(r"(?:^|[<\s])(?:" + "|".join(OTHER_LABELS) + r")(?:$|\s)")
     shapes = edges.filter("kind = 'phone' AND (inst LIKE '+%' OR inst LIKE '(+%')").select("kind", "inst").distinct()
-    trusted = _seeds(spark).unionByName(shapes).distinct()
-    for step in range(ROUNDS + 1):
+    trusted = materialize(_seeds(spark).unionByName(shapes).distinct(), "pii-trusted")
+    for step in range(rounds + 1):
         marked = edges.join(trusted.withColumn("t", F.lit(1)), ["kind", "inst"], "left").withColumn("t", F.coalesce("t", F.lit(0)) * F.col("n"))
         each = marked.select("kind", F.explode(F.array(*(F.concat(F.lit(p), c) for c, p in PATS.items()))).alias("pat"), "n", "t")
-        scores = each.groupBy("kind", "pat").agg((F.sum("t") / F.sum("n")).alias("score"), F.sum("t").alias("support"))
-        scores = scores.withColumn("score", F.when(bare | other, 0.0).when(label, F.greatest("score", F.lit(0.95))).when(F.col("support") >= SUPPORT, F.col("score")).otherwise(0.0))
-        scores = materialize(scores.select("kind", "pat", "score"), "pii-patterns")
-        if step == ROUNDS:
+        scores = each.groupBy("kind", "pat").agg((F.sum("t") / F.sum("n")).alias("score"), F.sum("t").alias("support"), F.sum("n").alias("n"))
+        earned = F.when(F.col("support") >= SUPPORT, F.col("score")).otherwise(0.0)
+        if not step:  # a label gives its shapes a start, and is then as good as they make it
+            earned = F.when(label, 1.0).otherwise(earned)
+        scores = scores.withColumn("score", F.when(bare | other, 0.0).otherwise(earned))
+        scores = materialize(scores.select("kind", "pat", "score", "n"), "pii-patterns")
+        if step == rounds:
             break
-        good = F.when(numbers, F.col("left") >= GROWING).otherwise(F.col("best") >= F.when(F.col("kind") == "name", GROWING_NAMES).otherwise(PATTERN))
+        # Growth looks at both sides of names and addresses people wrote, and to the left of the rest, where labels and words of place stand.
+        good = F.when(F.col("kind") == "name", F.col("best") >= GROWING_NAMES).when(F.col("kind") == "email", F.col("best") >= GROWING).otherwise(F.col("left") >= GROWING)
         new = _scored(edges, scores).groupBy("kind", "inst").agg(F.sum(F.when(good, F.col("n")).otherwise(0)).alias("g"), F.sum("n").alias("n"), F.count_distinct(F.when(good, F.col("l2"))).alias("k"))
         share = F.when(numbers, GROWING).otherwise(INSTANCE)
-        new = new.filter((F.col("g") >= share * F.col("n")) & (F.col("g") >= SUPPORT) & (numbers | (F.col("k") >= 3))).select("kind", "inst")
+        new = new.filter((F.col("g") >= share * F.col("n")) & (F.col("g") >= SUPPORT) & (numbers | (F.col("kind") == "email") | (F.col("k") >= 3))).select("kind", "inst")
+        held = trusted
         trusted = materialize(trusted.unionByName(new).distinct(), "pii-trusted")
+        discard(scores, held)
+    discard(edges)
     return trusted, scores
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the overlapping spans of a document the first, then the longest, then the surest."""
+    for b in batches:
+        out = []
+        for doc, row, spans in zip(*(c.to_pylist() for c in b.columns)):
+            to = -1
+            for x in spans:
+                if x["first"] >= to:
+                    to = -x["end"]
+                    out.append((doc, row, x["kind"], x["first"], to))
+        if out:
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["doc_id", "row", "pii_type", "first", "stop"])
+
+
+def occurrences(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """docs: doc_id long, text string. (doc_id, row, pii_type, first, stop): places from 0 in the stored text;
     row tells rows with one doc_id apart."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
-    found = materialize(base.mapInArrow(_extract, _ROW), "pii-candidates")
-    trusted, scores = bootstrap(found)
+    return settled(materialize(base.mapInArrow(_extract, _ROW), "pii-candidates"), rounds)
+
+
+def settled(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """The occurrences among the candidates."""
+    trusted, scores = bootstrap(found, rounds)
     ok = _scored(found, scores).join(trusted.withColumn("known", F.lit(True)), ["kind", "inst"], "left")
     ok = ok.withColumn("known", F.coalesce("known", F.lit(False)))
     # Endings of family names: those that stand with a trusted given name again and again.
@@ -319,15 +417,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
     # "M." may be a title: where the same words are a family and a given name, those begin after it.
     order = F.col("first") + F.when((F.col("form") == "initial") & (F.col("inst") == "m."), 3).otherwise(0)
     kept = ok.filter(F.coalesce(keep, F.lit(False))).select("doc_id", "row", "kind", "first", "stop", "left", order.alias("order")).distinct()
-    # One document's spans: of overlapping ones the first, then the longest, then the surest.
     spans = kept.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("order", (-F.col("stop")).alias("end"), (-F.col("left")).alias("sure"), "kind", "first"))).alias("s"))
-    apart = F.aggregate(
-        "s",
-        F.struct(F.lit(-1).alias("to"), F.expr("cast(array() as array<struct<first:int,stop:int,kind:string>>)").alias("out")),
-        lambda acc, x: F.when(x["first"] >= acc["to"], F.struct((-x["end"]).alias("to"), F.concat(acc["out"], F.array(F.struct(x["first"].alias("first"), (-x["end"]).alias("stop"), x["kind"].alias("kind")))).alias("out"))).otherwise(acc),
-        lambda acc: acc["out"],
-    )
-    return spans.select("doc_id", "row", F.explode(apart).alias("x")).select("doc_id", "row", F.col("x.kind").alias("pii_type"), F.col("x.first").alias("first"), F.col("x.stop").alias("stop"))
+    return spans.mapInArrow(_apart, "doc_id long, row long, pii_type string, first int, stop int")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
