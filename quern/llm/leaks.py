@@ -7,17 +7,19 @@ window how far the window may move at least, which skips all positions no patter
 shift 0 names a bucket of patterns, told apart by their first block; the words themselves are then compared
 one by one, which confirms an occurrence.
 
-The items are the bounded side: they are taken in blocks of at most MAX_WORDS words, each with its own tables
-in a broadcast variable, and all blocks are searched in one pass over the documents if there is one block, in
-one pass each otherwise. Documents are never shuffled.
+The items are the bounded side: they are taken in blocks of at most MAX_WORDS words, longer texts in pieces that
+overlap by least - 1 words, each block with its own tables in a broadcast variable and its own pass over the
+documents, so neither the driver nor a task holds more than a block. Documents are never shuffled, only pairs found are.
 
-Defined cases: NULL and empty texts leak nothing; items under `least` words have no pattern; an item repeated
-under another id is reported for each id; documents are reported row by row, also under a NULL id; items with a NULL id aren't searched; empty tables
+Defined cases: a pair of ids is one row, whatever the number of blocks, of texts an item has and of rows that repeat a
+document; NULL and empty texts leak nothing; items under `least` words have no pattern; an item repeated
+under another id is reported for each id; documents with a NULL id are reported under it; items with a NULL id aren't searched; empty tables
 give no rows; other columns aren't read.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,22 +115,38 @@ def leaked_items(docs: DataFrame, items: DataFrame, least: int = LEAST, max_word
     (doc_id, item_id) for each document that shares at least `least` consecutive words with the item."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out, texts, owners, held = None, [], [], 0
+    out, texts, owners, held = [], [], [], 0
 
-    def search() -> DataFrame:
+    def search() -> None:
         tables = spark.sparkContext.broadcast(WuManber(texts, owners, least))
-        return docs.mapInArrow(_search(tables), "doc_id long, item_id long")
-
-    for r in items.filter("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").toLocalIterator():  # one block of items at a time
-        texts.append(r.text)
-        owners.append(r.item_id)
-        held += len(r.text) // 2 + 1
-        if held >= max_words:
-            out = search() if out is None else out.unionByName(search())
-            texts, owners, held = [], [], 0
-    if texts or out is None:
-        out = search() if out is None else out.unionByName(search()).distinct()
-    return out
+        out.append(docs.mapInArrow(_search(tables), "doc_id long, item_id long"))
+        texts.clear()
+        owners.clear()
+
+    for r in items.filter("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").toLocalIterator():  # one partition of items at a time
+        for piece in pieces(r.text, max_words, least):
+            texts.append(piece)
+            owners.append(r.item_id)
+            held += len(piece) // 2 + 1  # more words than that it can't have
+            if held >= max_words:
+                search()
+                held = 0
+    if texts or not out:
+        search()
+    return functools.reduce(DataFrame.unionByName, out).distinct()
+
+
+def pieces(text: str, max_words: int, least: int) -> Iterator[str]:
+    """The text, or if it may have over max_words words its pieces of so many, each with the last least - 1 words of the
+    one before, so that every run of least words is in one."""
+    if len(text) // 2 + 1 <= max_words:
+        yield text
+        return
+    low = lowered(text)
+    _, _, starts, ends = word_hashes([low])
+    step = max(1, max_words - least + 1)
+    for k in range(0, max(1, len(starts) - least + 1), step):
+        yield low[starts[k] : ends[min(k + max(max_words, least), len(ends)) - 1]] if len(starts) else ""
 
 
 def domain_items(spark: SparkSession, d: str) -> DataFrame:

@@ -3,8 +3,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from quern.llm.words import lowered
 from quern.llm import leaks
+from quern.llm.words import lowered
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -64,3 +64,19 @@ def test_empty(spark):
     d, i = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert leaks.leaked_items(d, i).count() == 0
     assert leaks.leaked_items(spark.createDataFrame([(1, "a " * 20)], "doc_id long, text string"), i).count() == 0
+
+
+def test_rows_dont_depend_on_blocks(spark):
+    long = " ".join(f"w{k}" for k in range(200))
+    items = [(1, " ".join(f"w{k}" for k in range(20))), (1, " ".join(f"w{k}" for k in range(40, 60))), (2, long), (2, "x y z"), (3, " ".join(f"v{k}" for k in range(30)))]
+    docs = [(7, long), (7, long), (None, long), (8, " ".join(f"w{k}" for k in range(190, 200)) + " " + " ".join(f"v{k}" for k in range(13))), (9, " ".join(f"w{k}" for k in range(97, 110)))]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted([(7, 1), (7, 2), (None, 1), (None, 2), (8, 3), (9, 2)], key=str)
+    for words in (2_000_000, 400, 100, 30, 10):
+        assert sorted(map(tuple, leaks.leaked_items(docs, items, max_words=words).collect()), key=str) == want, words
+
+
+def test_pieces_hold_every_run():
+    text = " ".join(f"w{k}" for k in range(57))
+    runs = {tuple(p.split()[i : i + 5]) for p in leaks.pieces(text, 9, 5) for i in range(len(p.split()) - 4)}
+    assert runs == {tuple(text.split()[i : i + 5]) for i in range(53)} and max(len(p.split()) for p in leaks.pieces(text, 9, 5)) <= 9
