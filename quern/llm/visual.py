@@ -4,7 +4,8 @@ The text is exploded to positioned pieces: every code point that could change, a
 piece of its own; runs of ASCII between them, which no step changes, stay whole. The pieces are
 broadcast-joined with a mapping made by rule from the Unicode data (decompositions, wide and narrow forms,
 ligatures, invisible characters, spaces, hyphens) and the look-alike letters; its size is bounded by Unicode.
-Combining marks are ordered by their class behind their base, the string is rebuilt, and composed.
+Combining marks are ordered by their class behind their base, the string is rebuilt, and composed. A window numbers the
+bases and one sort orders the parts, so a long text costs no more a character than a short one.
 
 Defined cases: NULL stays NULL, an empty text stays empty; ASCII texts are their own form and skip the
 explosion; a key must stand for one text; rows with a NULL id make no pairs; extra columns aren't touched.
@@ -17,6 +18,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,28 +57,16 @@ def consistent_form(df: DataFrame, key: str, text: str, out: str) -> DataFrame:
     plain = F.col("_t").isNull() | ~F.col("_t").rlike(r"[^\x00-\x7F]")
     done = base.filter(plain).select(F.col("_k").alias(key), F.col("_t").alias(out))
     pieces = base.filter(~plain).select("_k", F.posexplode(F.regexp_extract_all("_t", F.lit(PIECE), F.lit(0))).alias("pos", "piece"))
-    mapped = pieces.join(F.broadcast(mapping(df.sparkSession)), "piece", "left").select(
-        "_k", F.struct("pos", F.coalesce("parts", F.array(F.struct(F.col("piece").alias("ch"), F.lit(0).alias("cls")))).alias("parts")).alias("p")
-    )
-    # Positions of one text, in order; each part gets the number of the base it stands behind.
-    parts = F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["parts"]))
-    rebuilt = mapped.groupBy("_k").agg(parts.alias("parts"))
-    has_marks = F.exists("parts", lambda x: x["cls"] > 0)
-    numbered = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).alias("base"), F.expr("cast(array() as array<struct<base:int,cls:int,at:int,ch:string>>)").alias("seen")),
-        lambda acc, x: F.struct(
-            (acc["base"] + F.when(x["cls"] == 0, 1).otherwise(0)).alias("base"),
-            F.concat(
-                acc["seen"],
-                F.array(F.struct((acc["base"] + F.when(x["cls"] == 0, 1).otherwise(0)).alias("base"), x["cls"].alias("cls"), F.size(acc["seen"]).alias("at"), x["ch"].alias("ch"))),
-            ).alias("seen"),
-        ),
-        lambda acc: acc["seen"],
-    )
-    ordered = F.array_join(F.transform(F.array_sort(numbered), lambda x: x["ch"]), "")
-    straight = F.array_join(F.transform("parts", lambda x: x["ch"]), "")
-    text_out = rebuilt.select(F.col("_k").alias(key), F.when(has_marks, ordered).otherwise(straight).alias(out))
+    one = F.array(F.struct(F.col("piece").alias("ch"), F.lit(0).alias("cls")))
+    mapped = pieces.join(F.broadcast(mapping(df.sparkSession)), "piece", "left").select("_k", "pos", F.coalesce("parts", one).alias("parts"))
+    # Each part gets the number of the base it stands behind: bases of earlier pieces, and those so far in its own, which has a few parts at most.
+    bases = F.size(F.filter("parts", lambda x: x["cls"] == 0))
+    earlier = F.sum(bases).over(W.partitionBy("_k").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
+    mapped = mapped.withColumn("base", F.coalesce(earlier, F.lit(0)))
+    own = lambda i: F.size(F.filter(F.slice("parts", 1, i + 1), lambda y: y["cls"] == 0))
+    keyed = F.transform("parts", lambda x, i: F.struct((F.col("base") + own(i)).alias("base"), x["cls"].alias("cls"), F.col("pos").alias("pos"), i.alias("i"), x["ch"].alias("ch")))
+    rebuilt = mapped.select("_k", keyed.alias("p")).groupBy("_k").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("parts"))
+    text_out = rebuilt.select(F.col("_k").alias(key), F.array_join(F.transform("parts", lambda x: x["ch"]), "").alias(out))
     to_compose = F.col(out).rlike(MARKED)
     text_out = materialize(text_out, "forms")
     return done.unionByName(text_out.filter(~to_compose)).unionByName(text_out.filter(to_compose).select(key, _compose(F.col(out)).alias(out)))

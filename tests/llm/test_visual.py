@@ -3,8 +3,8 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from quern.llm.words import consistent
 from quern.llm import visual
+from quern.llm.words import consistent
 
 BASE = "Éa fine text, über-long; naïve Ñ 12 x² “q” a—b 한글 ộ"
 SPELLINGS = [
@@ -53,3 +53,10 @@ def test_a_class_with_very_many_copies(spark):
 
 def test_empty(spark):
     assert visual.look_alikes(spark.createDataFrame([], "tbl string, id long, text string")).count() == 0
+
+
+def test_a_long_text_of_marks(spark):
+    t = "ẹ́ạ́ ü" * 30_000
+    df = spark.createDataFrame([(1, t), (2, "́ alone"), (3, "")], "id long, t string")
+    got = {r.id: r.f for r in visual.consistent_form(df, "id", "t", "f").collect()}
+    assert got == {1: consistent(t), 2: consistent("́ alone"), 3: ""}
