@@ -42,26 +42,75 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-@functools.cache
+#: Largest vocabulary file that is sent to the executors.
+MAX_VOCABULARY = 64 << 20
+
+
+def vocabulary_of(path: str) -> bytes:
+    with open(path, "rb") as f:
+        out = f.read(MAX_VOCABULARY + 1)
+    if len(out) > MAX_VOCABULARY:
+        raise ValueError(f"the vocabulary file is over {MAX_VOCABULARY} bytes")
+    return out
+
+
 def encoder(path: str):
+    return _encoder(vocabulary_of(path))
+
+
+@functools.cache
+def _encoder(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _encode(path: str):
+def _width(vocabulary: bytes) -> type:
+    return np.uint16 if _encoder(vocabulary).max_token_value < 1 << 16 else np.uint32
+
+
+def _encode(vocabulary):
+    """From (doc_id, s, text): the number of tokens, and the tokens end to end in two bytes each (four for large vocabularies)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc, width = _encoder(vocabulary.value), _width(vocabulary.value)
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                tokens = [np.array(enc.encode_ordinary(t), np.int32) for t in part.column(2).to_pylist()]
-                sizes = np.fromiter(map(len, tokens), np.int32, len(tokens))
-                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                values = pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "source", "n", "tokens"])
+                tokens = [np.array(enc.encode_ordinary(t), width) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in tokens], pa.int32()), pa.array([x.tobytes() for x in tokens], pa.binary())], ["doc_id", "s", "n", "data"])
+
+    return run
+
+
+def _cut(width: int, block: int):
+    """From (s, doc_id, at, n, data): the piece of each block the document touches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = []
+            for s, doc, at, n, data in zip(*(c.to_pylist() for c in b.columns)):
+                for k in range(at // block, (at + n - 1) // block + 1):
+                    lo, hi = max(0, k * block - at), min(n, (k + 1) * block - at)
+                    held.append((s, k, at + lo, doc, data[lo * width : hi * width]))
+            if held:
+                types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], ["s", "block", "at", "doc_id", "data"])
+
+    return run
+
+
+def _open(width: type):
+    """The tokens of each row's block as numbers again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens = [np.frombuffer(b"".join(x["data"] for x in p), width).astype(np.int32) for p in b.column("p").to_pylist()]
+            docs = [[x["doc_id"] for x in p] for p in b.column("p").to_pylist()]
+            cols = [b.column(c) for c in ("shard", "slot", "source", "turn", "block")]
+            cols += [pa.array([len(x) for x in tokens], pa.int32()), pa.array(docs, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, ["shard", "slot", "source", "turn", "block", "n_tokens", "doc_ids", "tokens"])
 
     return run
 
@@ -156,7 +205,11 @@ def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, block
         raise ValueError(f"targets must list each source once, and no more than {MAX_SOURCES}")
     names = spark.createDataFrame([(r.source, k) for k, r in enumerate(goal)], "source string, s int")
     listed = docs.filter("length(text) > 0").join(F.broadcast(names), "source").select(F.col("doc_id").cast("long"), F.col("s"), F.col("text").cast("string"))
-    packed = materialize(listed.mapInArrow(_encode(tokenizer), "doc_id long, s int, n int, tokens array<int>"), "mix-tokens")
+    vocabulary = vocabulary_of(tokenizer)
+    width, shared = _width(vocabulary), spark.sparkContext.broadcast(vocabulary)
+    packed = listed.mapInArrow(_encode(shared), "doc_id long, s int, n int, data binary").filter("n > 0")
+    # The numbers of rows are written with them, so they stay as they are.
+    packed = materialize(packed.withColumn("row", F.monotonically_increasing_id()), "mix-tokens")
     sizes = {r.s: (r.docs, r.n) for r in packed.groupBy("s").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n")).collect()}  # one row a source
     tokens = np.array([sizes.get(k, (0, 0))[1] for k in range(len(goal))], np.int64)
     wanted = plan(np.array([r.share for r in goal], float), np.array([r.repeats for r in goal], np.int64), tokens, total, block)
@@ -164,22 +217,18 @@ def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, block
     out = "shard long, slot int, source string, turn int, block long, n_tokens int, doc_ids array<long>, tokens array<int>"
     if not n_slots:
         return spark.createDataFrame([], out)
-    # Where each document begins in its source.
+    # Where each document begins in its source. Only numbers are placed; the tokens join their places, are cut where they
+    # lie, and are shuffled once more to their blocks, which then stay where they are.
     buckets = max(1, max(d for d, _ in sizes.values()) // DOCS_A_BUCKET)
     u = F.xxhash64(F.lit(seed), "doc_id")
-    placed = packed.withColumn("u", u).withColumn("bucket", F.pmod(F.xxhash64("u"), F.lit(buckets)).cast("int"))
+    placed = packed.select("row", "s", "n", "doc_id", F.xxhash64("data").alias("same"), u.alias("u")).withColumn("bucket", F.pmod(F.xxhash64("u"), F.lit(buckets)).cast("int"))
     before = lambda cols: W.partitionBy(*cols)
     sums = placed.groupBy("s", "bucket").agg(F.sum("n").alias("t"))
     sums = sums.select("s", "bucket", (F.sum("t").over(before(["s"]).orderBy("bucket")) - F.col("t")).alias("base"))
-    light = placed.withColumn("row", F.xxhash64("tokens"))
-    run = before(["s", "bucket"]).orderBy("u", "doc_id", "row").rowsBetween(W.unboundedPreceding, 0)
-    light = light.withColumn("at", F.sum("n").over(run) - F.col("n")).join(sums, ["s", "bucket"]).withColumn("at", F.col("at") + F.col("base"))
-    first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("n") - 1) / block)
-    pieces = light.select("s", "doc_id", "at", "n", "tokens", F.explode(F.sequence(first, last)).alias("block"))
-    lo = F.greatest(F.lit(0), F.col("block") * block - F.col("at")).cast("int")
-    hi = F.least(F.col("n"), (F.col("block") + 1) * block - F.col("at")).cast("int")
-    pieces = pieces.select("s", "block", F.struct((F.col("at") + lo).alias("at"), "doc_id", F.slice("tokens", lo + 1, hi - lo).alias("tokens")).alias("p"))
-    blocks = pieces.groupBy("s", "block").agg(F.array_sort(F.collect_list("p")).alias("p")).select("s", "block", F.transform("p", lambda p: p["doc_id"]).alias("doc_ids"), F.flatten(F.transform("p", lambda p: p["tokens"])).alias("tokens"))
+    run = before(["s", "bucket"]).orderBy("u", "doc_id", "same", "row").rowsBetween(W.unboundedPreceding, 0)
+    light = placed.withColumn("at", F.sum("n").over(run) - F.col("n")).join(sums, ["s", "bucket"]).select("row", (F.col("at") + F.col("base")).alias("at"))
+    pieces = packed.join(light, "row").select("s", "doc_id", "at", "n", "data").mapInArrow(_cut(np.dtype(width).itemsize, block), "s int, block long, at long, doc_id long, data binary")
+    blocks = pieces.groupBy("s", "block").agg(F.array_sort(F.collect_list(F.struct("at", "doc_id", "data"))).alias("p"))
     # Counts of each shard, and the number of the first slot of each source in it.
     shards = -(-n_slots // slots)
     draws = materialize(spark.range(shards).mapInArrow(_draw(wanted / n_slots, slots, n_slots, seed), "shard long, s int, c long"), "mix-draws")
@@ -192,7 +241,7 @@ def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, block
     cells = cells.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("s", "c", (F.col("first") + F.col("base")).alias("first")))).alias("cells"))
     dealt = cells.mapInArrow(_deal(wanted, drawn, -(-tokens // block), seed), "shard long, slot int, s int, turn int, block long")
     mixed = dealt.join(blocks, ["s", "block"]).join(F.broadcast(names), "s")
-    return mixed.select("shard", "slot", "source", "turn", "block", F.size("tokens").alias("n_tokens"), "doc_ids", "tokens")
+    return mixed.select("shard", "slot", "source", "turn", "block", "p").mapInArrow(_open(width), out)
 
 
 def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
