@@ -3,7 +3,9 @@
 Every identifier gets one uniform number in [0, 1) when it is first seen. The number is a hash of seed and
 identifier, so any rerun and partitioning gives the same, and it is persisted by an anti-join insert: a batch
 adds only identifiers the register lacks. An identifier is selected once its number is under the threshold
-of a batch. Thresholds never fall, so whatever was selected stays selected.
+of a batch. Thresholds never fall, also from one run to the next, since each is stored with the register and
+a batch takes at least the highest of those before it; so whatever was selected stays selected. A run goes on with an earlier one's
+register by naming its root.
 
 Identifiers are compared without case and blanks. Defined cases: NULL and blank identifiers are no items;
 rows without a batch come with batch 0; NULL ranks are passed over for best_rank (NULL if all are); repeated
@@ -17,10 +19,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import children, materialize, scratch
+from quern.session import children, lasting, materialize
 
 SEED = "quern-sample-1"
 REGISTER = "item string, prn double, first_batch int"
+LEVELS = "batch int, level double"
 
 
 def item_of(c: Column) -> Column:
@@ -43,8 +46,12 @@ class Register:
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         """root: where a register is, to go on with it; a new one in the shared folder if not given."""
-        self.spark, self.root = spark, root or scratch(spark, "register")
-        self.parts = [f"{self.root}/{x}" for x in children(spark, self.root) if "_SUCCESS" in children(spark, f"{self.root}/{x}")]
+        self.spark, self.root = spark, root or lasting(spark, "register")
+        whole = [x for x in children(spark, self.root) if "_SUCCESS" in children(spark, f"{self.root}/{x}")]
+        self.parts = [f"{self.root}/{x}" for x in whole if x.startswith("batch-")]
+        levels = [f"{self.root}/{x}" for x in whole if x.startswith("level-")]
+        #: The threshold of each batch, one number a delivery.
+        self.levels = dict(tuple(r) for r in spark.read.schema(LEVELS).parquet(*levels).collect()) if levels else {}
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(REGISTER).parquet(*self.parts) if self.parts else self.spark.createDataFrame([], REGISTER)
@@ -57,23 +64,30 @@ class Register:
         new.select("item", permanent_number(F.col("item")).alias("prn"), F.lit(batch).alias("first_batch")).write.mode("overwrite").parquet(at)
         self.parts.append(at)
 
+    def raise_level(self, batch: int, wanted: float) -> float:
+        """The threshold as of a batch: the wanted one, or the highest so far. It is stored, and a batch that comes again keeps its own."""
+        if batch not in self.levels:
+            self.levels[batch] = max([wanted, *self.levels.values()])
+            self.spark.createDataFrame([(batch, float(self.levels[batch]))], LEVELS).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/level-{batch}")
+        return self.levels[batch]
 
-def stable_sample(rows: DataFrame, threshold_of: Callable[[int], float] = threshold) -> DataFrame:
-    """rows: item_sha256, rank, batch_no. One row for each selected item: its number, the batch it was first
+
+def stable_sample(rows: DataFrame, threshold_of: Callable[[int], float] = threshold, root: str | None = None) -> DataFrame:
+    """root: where an earlier run's register is, to go on with it. rows: item_sha256, rank, batch_no. One row for each selected item: its number, the batch it was first
     seen and the batch it was selected with, and its best rank."""
     spark = rows.sparkSession
     seen = rows.select(item_of(F.col("item_sha256")).alias("item"), F.coalesce("batch_no", F.lit(0)).cast("int").alias("batch"), F.col("rank").cast("long").alias("rank"))
     seen = seen.filter("item IS NOT NULL").groupBy("item", "batch").agg(F.min("rank").alias("rank"))
     seen = materialize(seen, "sample-items", ("batch",))
     batches = sorted(r[0] for r in seen.select("batch").distinct().collect())  # one number a delivery
-    register, level, levels = Register(spark), 0.0, []
+    register = Register(spark, root)
     for b in batches:
         register.insert(seen.filter(F.col("batch") == b).select("item"), b)
-        level = max(level, threshold_of(b))
-        levels.append((b, level))
-    picked = register.read().filter(F.col("prn") < level)
+        register.raise_level(b, threshold_of(b))
+    picked = register.read().filter(F.col("prn") < max(register.levels.values(), default=0.0))
+    # An item is selected with the first batch that is no earlier than its own and whose threshold is above its number.
     when = F.lit(None).cast("int")
-    for b, x in reversed(levels):
+    for b, x in sorted(register.levels.items(), reverse=True):
         when = F.when((F.col("prn") < x) & (F.col("first_batch") <= b), b).otherwise(when)
     ranks = seen.groupBy("item").agg(F.min("rank").alias("best_rank"))
     return picked.withColumn("selected_batch", when).join(ranks, "item", "left").select(F.col("item").alias("item_sha256"), "prn", "first_batch", "selected_batch", "best_rank")

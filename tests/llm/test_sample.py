@@ -76,3 +76,15 @@ def test_a_register_is_gone_on_with(spark, tmp_path):
     sample.Register(spark, root).insert(df("b", "c"), 2)
     sample.Register(spark, root).insert(df("b", "c", "d"), 2)  # the batch comes again
     assert {(r.item, r.first_batch) for r in sample.Register(spark, root).read().collect()} == {("a", 1), ("b", 1), ("c", 2), ("d", 2)}
+
+
+def test_a_later_run_with_a_lower_threshold_keeps_what_was_selected(spark, tmp_path):
+    root = f"file://{tmp_path}/register"
+    rows = [(hashlib.sha256(str(k).encode()).hexdigest(), 1, 1 + k % 2) for k in range(400)]
+    first = picked(sample.stable_sample(spark.createDataFrame(rows, SCHEMA), lambda b: 0.3, root))
+    later = [(hashlib.sha256(str(k).encode()).hexdigest(), 1, 3) for k in range(300, 500)]
+    then = picked(sample.stable_sample(spark.createDataFrame(later, SCHEMA), lambda b: 0.1, root))
+    assert first.keys() <= then.keys() == {i for i, _, _ in rows + later if number(i) < 0.3}
+    assert {i: v[:3] for i, v in first.items()} == {i: v[:3] for i, v in then.items() if i in first}
+    again = picked(sample.stable_sample(spark.createDataFrame(rows, SCHEMA), lambda b: 0.9, root))
+    assert {i: v[:3] for i, v in again.items()} == {i: v[:3] for i, v in then.items()}  # batches 1 and 2 come again
