@@ -67,6 +67,12 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, for marks."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True).close()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch path that nothing reads any more."""
     jvm = spark.sparkContext._jvm
