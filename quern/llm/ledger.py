@@ -2,25 +2,33 @@
 
 A record's content key is the MD5 of its canonical text: lower case, and only letters, marks, numbers and
 `+ - < > =` kept. The ledger has one row for each key: the number of records and the earliest (smallest)
-id. It is stored by bucket of the key. A new batch is aggregated first (map-side combine, so a key with a
-third of all rows costs one row a task), then full-outer-joined with the buckets it touches; those buckets
-get a new version, all others stay as they are and aren't read.
+id. It is a table bucketed by the key, with a bucket for every KEYS_A_BUCKET keys, and small deltas beside it. A new batch
+is aggregated first (map-side combine, so a key with a third of all rows costs one row a task) and written as a
+delta, so a batch costs no more than its own keys. The ledger is the full outer join of the buckets with the deltas' sums:
+counts are added, the earliest representative is kept. Buckets and deltas meet by bucket, so the old side is never shuffled.
+Once deltas hold a COMPACT share of the bucketed rows, the join is written as the new buckets, and the old ones and the
+deltas are removed; when the ledger has outgrown its buckets, it gets more of them.
 
-A ledger of an earlier session is gone on with by naming its root.
+A ledger of an earlier session is gone on with by naming its root. A batch that names itself is taken once.
 
 Defined cases: NULL ids count but are never the representative; NULL, unparseable and empty contents have no key and never enter the ledger; repeated ids in
-one batch count once for each row; ties of the representative go to the smallest id; empty batches change
-nothing; extra columns of any name are ignored, since only id and key columns are taken.
+one batch count once for each row; ties of the representative go to the smallest id; empty batches, and those whose name
+was seen, change nothing; versions that broke off don't count; extra columns of any name are ignored, since only id and key columns are taken.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import children, lookup_skewed, materialize, scratch
+from quern.session import children, drop_path, lasting, lookup_skewed, materialize, scratch, touch
 
-BUCKETS = 16
+KEYS_A_BUCKET = 1_000_000
+LEAST_BUCKETS = 8
+COMPACT = 0.25
 KEPT = r"[^\p{L}\p{M}\p{N}+\-<>=]+"
 LEDGER = "tbl string, key binary, n bigint, first_id bigint"
 
@@ -45,54 +53,92 @@ def payload_key(payload: Column) -> Column:
     return F.when(F.size(pairs) > 0, F.unhex(F.md5(F.array_join(pairs, "\x1e"))))
 
 
-def bucket_of(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+def buckets_for(keys: int) -> int:
+    """A power of two, so that growth keeps the number for long."""
+    return max(LEAST_BUCKETS, 1 << max(0, -(-keys // KEYS_A_BUCKET) - 1).bit_length())
 
 
-class Ledger:
-    """Counts and earliest representatives by content key, kept in the shared folder.
+def _sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("tbl", "key").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"))
 
-    The driver holds only the path of each bucket's newest version (BUCKETS strings)."""
+
+class Ledger:
+    """Counts and earliest representatives by content key, kept in the shared folder: `base-VERSION-BUCKETS` holds what came
+    up to that version, `delta-VERSION` a later batch, `taken` the names of batches. Frames that were read end with the next add."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         """root: where a ledger is, to go on with it; a new one in the shared folder if not given."""
-        self.spark, self.root, self.version = spark, root or scratch(spark, "ledger"), 0
-        self.paths: dict[int, str] = {}
-        for v in sorted((int(x[1:]) for x in children(spark, self.root) if x[:1] == "v")):
-            names = children(spark, f"{self.root}/v{v}")
-            if "_SUCCESS" in names:  # a version that broke off doesn't count
-                self.paths |= {int(x[7:]): f"{self.root}/v{v}/{x}" for x in names if x.startswith("bucket=")}
-            self.version = v + 1
-
-    def read(self, buckets: list[int] | None = None) -> DataFrame:
-        paths = sorted({self.paths[b] for b in (self.paths if buckets is None else buckets) if b in self.paths})
-        if not paths:
-            return self.spark.createDataFrame([], LEDGER)
-        return self.spark.read.schema(LEDGER).parquet(*paths)
-
-    def add(self, batch: DataFrame) -> None:
-        """batch: tbl string, id long, key binary. Rows without a key are passed over."""
+        self.spark, self.root = spark, root or lasting(spark, "ledger")
+        names = children(spark, self.root)
+        whole = [x for x in names if x.startswith(("base-", "delta-")) and "_SUCCESS" in children(spark, f"{self.root}/{x}")]
+        self.base = max((x for x in whole if x.startswith("base-")), key=self._version, default=None)
+        since = self._version(self.base) if self.base else -1
+        self.deltas = sorted((x for x in whole if x.startswith("delta-") and self._version(x) > since), key=self._version)
+        self.next = max((self._version(x) for x in names if x.startswith(("base-", "delta-"))), default=-1) + 1
+        self.taken = {x[4:] for x in children(spark, f"{self.root}/taken")} | {x.split("-", 2)[2] for x in whole if x.startswith("delta-") and x.count("-") > 1}
+        self.rows = {x: self._count(x) for x in [*self.deltas, *[self.base] * bool(self.base)]}
+
+    @staticmethod
+    def _version(name: str) -> int:
+        return int(name.split("-")[1])
+
+    def _count(self, name: str) -> int:
+        return self.spark.read.schema(LEDGER).parquet(f"{self.root}/{name}").count()
+
+    def _table(self, name: str) -> str:
+        """The name under which this session knows the buckets."""
+        return "quern_" + hashlib.md5(f"{self.root}/{name}".encode()).hexdigest()
+
+    def _bucketed(self) -> DataFrame:
+        table, n = self._table(self.base), self.base.split("-")[2]
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({LEDGER}) USING parquet CLUSTERED BY (tbl, key) SORTED BY (tbl, key) INTO {n} BUCKETS LOCATION '{self.root}/{self.base}'")
+        return self.spark.table(table)
+
+    def read(self) -> DataFrame:
+        """tbl, key, n, first_id."""
+        if not self.deltas:
+            return self._bucketed() if self.base else self.spark.createDataFrame([], LEDGER)
+        new = _sums(self.spark.read.schema(LEDGER).parquet(*(f"{self.root}/{x}" for x in self.deltas)))
+        if not self.base:
+            return new
+        o, b = self._bucketed().alias("o"), new.alias("b")
+        count = F.coalesce("o.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))
+        return o.join(b, ["tbl", "key"], "full_outer").select("tbl", "key", count.alias("n"), F.least("o.first_id", "b.first_id").alias("first_id"))
+
+    def add(self, batch: DataFrame, name: str | None = None) -> bool:
+        """batch: tbl string, id long, key binary. Rows without a key are passed over. name: letters, digits and underscores;
+        a batch of a name that was taken is passed over. Whether anything was added."""
+        if name is not None and (name in self.taken or not re.fullmatch(r"\w+", name)):
+            if name in self.taken:
+                return False
+            raise ValueError(f"no name of a batch: {name!r}")
+        at = f"delta-{self.next}" + (f"-{name}" if name else "")
         new = batch.filter("key IS NOT NULL").groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
-        self._merge(new)
-
-    def _merge(self, new: DataFrame) -> None:
-        at, out = f"{self.root}/v{self.version}", "bucket"
-        if self.paths:
-            new = materialize(new.withColumn(out, bucket_of(F.col("key"))), "ledger-batch")
-            touched = [r[0] for r in new.select(out).distinct().collect()]  # at most BUCKETS numbers
-            old, b = self.read(touched).alias("o"), new.alias("b")
-            merged = old.join(b, ["tbl", "key"], "full_outer").select(
-                "tbl",
-                "key",
-                (F.coalesce("o.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"),
-                F.least("o.first_id", "b.first_id").alias("first_id"),
-            )
-        else:
-            merged = new
-        merged = merged.withColumn(out, bucket_of(F.col("key")))
-        merged.repartition(BUCKETS, out).write.partitionBy(out).parquet(at)
-        self.version += 1
-        self.paths |= {int(x[7:]): f"{at}/{x}" for x in children(self.spark, at) if x.startswith("bucket=")}
+        new.write.mode("overwrite").parquet(f"{self.root}/{at}")
+        self.next += 1
+        if name:
+            self.taken.add(name)
+        self.rows[at] = self._count(at)
+        self.deltas.append(at)
+        if sum(self.rows[x] for x in self.deltas) > COMPACT * self.rows.get(self.base, 0):
+            self.compact()
+        return self.rows.get(at) != 0
+
+    def compact(self) -> None:
+        """Write the buckets anew. They count once they are whole; what they replace is removed after that."""
+        keys = sum(self.rows.values())
+        n = buckets_for(keys)
+        at, merged = f"base-{self._version(self.deltas[-1])}-{n}", self.read()
+        if not (self.base and self.base.split("-")[2] == str(n)):
+            merged = merged.repartition(n, "tbl", "key")
+        merged.write.mode("overwrite").bucketBy(n, "tbl", "key").sortBy("tbl", "key").option("path", f"{self.root}/{at}").saveAsTable(self._table(at))
+        for name in self.taken:
+            touch(self.spark, f"{self.root}/taken/was-{name}")
+        old, self.base, self.deltas = [*self.deltas, *[self.base] * bool(self.base)], at, []
+        for x in old:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(x)}")
+            drop_path(self.spark, f"{self.root}/{x}")
+        self.rows = {at: self._count(at)}
 
 
 def records(df: DataFrame, tbl: str, id_col: str, key: Column, delivered: Column) -> DataFrame:
@@ -104,9 +150,9 @@ def collapse(recs: DataFrame) -> tuple[DataFrame, Ledger]:
     """Run the deliveries of recs through a new ledger, in order. Returns the keyed records, cut off from
     their source, and the ledger."""
     recs = materialize(recs.filter("key IS NOT NULL"), "ledger-records", ("delivery",))
-    ledger = Ledger(recs.sparkSession)
+    ledger = Ledger(recs.sparkSession, scratch(recs.sparkSession, "ledger"))
     for (d,) in sorted(tuple(r) for r in recs.select("delivery").distinct().collect()):  # a handful of deliveries
-        ledger.add(recs.filter(F.col("delivery") == d))
+        ledger.add(recs.filter(F.col("delivery") == d), f"delivery_{d}".replace("-", "minus"))
     return recs, ledger
 
 
