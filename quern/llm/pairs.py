@@ -2,10 +2,10 @@
 
 For every kind of defect several noisy labelling functions look at the row and say yes, no or nothing. One
 Arrow pass gives each row the pattern of votes for each kind; patterns are counted over all rows (a kind of k
-functions has at most 3^k patterns, so the counts are bounded whatever the data), and a two-class model with
+functions has at most 3^k patterns, so the counts are bounded whatever the data; no row is passed over), and a two-class model with
 its own accuracies for each function is fitted to the counts by expectation maximisation. The posterior of a
 pattern is then joined back (a broadcast of at most the same bound), and a row keeps every kind whose
-posterior exceeds its cutoff. The cutoffs were validated on the labelled fixture of the tests.
+posterior exceeds its cutoff. `pair_cutoffs` chooses the cutoffs on labelled rows held out from the model.
 
 Defined cases: a NULL code is `empty`; a NULL or empty tests_json ships no tests and is no defect; with a NULL
 problem nothing can be copied from it and its language counts as English; repeated rows and ids are labelled
@@ -33,12 +33,12 @@ from quern.session import materialize
 #: Kinds in the order of precedence: (field, defect, number of labelling functions). A defect may have
 #: several kinds.
 KINDS = [
-    ("code", "empty", 4),
-    ("code", "refusal", 4),
-    ("code", "copied", 3),
-    ("code", "wrong_language", 4),  # a program
-    ("code", "wrong_language", 4),  # prose
-    ("code", "truncated", 4),
+    ("code", "empty", 5),
+    ("code", "refusal", 5),
+    ("code", "copied", 4),
+    ("code", "wrong_language", 5),  # a program
+    ("code", "wrong_language", 5),  # prose
+    ("code", "truncated", 5),
     ("tests_json", "empty", 3),
     ("tests_json", "truncated", 3),  # cut off
     ("tests_json", "truncated", 2),  # fewer outputs than inputs
@@ -46,6 +46,7 @@ KINDS = [
 ]
 CUTOFFS = [0.5] * len(KINDS)
 YES, NO, NONE = 2, 1, 0
+ANCHOR = 0.002
 
 FENCE = re.compile(r"```([\w+#-]*)[ \t]*\n?(.*?)(?:```|\Z)", re.S)
 TAG = re.compile(r"</?[A-Za-z][\w-]*\s*/?>")
@@ -68,6 +69,8 @@ SORRY = re.compile(
     r"|désolé|je (?:suis|ne|préfère|regrette|dois)|malheureusement|tut mir|es tut|entschuld|leider|diese anfrage|ich kann|ich muss|lo siento|me temo|lamento|perdón|disculp|desafortunadamente|no puedo)",
     re.I,
 )
+#: Words in which somebody speaks of themselves.
+PERSON = re.compile(r"\b(?:i|i'm|i’m|we|my|je|j'|ich|mir|wir|me|yo|lo siento|no puedo|no voy)\b", re.I)
 #: Marks of programs in other languages; at least two different ones make a vote.
 FOREIGN = [
     re.compile(x, re.M)
@@ -222,37 +225,39 @@ def message(body: str, tree: ast.Module) -> tuple[str, bool] | None:
 
 
 def code_votes(problem: str | None, code: str | None) -> list[list[int]]:
-    if code is None:
-        return [[YES] * 4, [NO] * 4, [NONE, NONE, NO], [NO] * 4, [NO] * 4, [NO] * 4]
+    """The votes of all functions on a row. Every function looks at every row; the last one of each kind only knows
+    whether the text is Python that computes something, and abstains where it isn't."""
+    code = code or ""
     body = body_of(code)
     tree, stops = parse(body)
-    stub = False
+    computes = stub = False
     if tree is not None and any(not isinstance(n, (ast.Expr, ast.Pass)) for n in tree.body):
         frame = message(body, tree)
         if frame is None:
-            # A Python program: the functions that look for something else in its place say no.
-            return [[NO] * 4, [NO] * 4, [NO] * 3, [NO] * 4, [NO] * 4, [NO, NO, YES, NO]]
-        # A frame without a program: judged by what is said in it.
-        body, stub = frame
-        code, (tree, stops) = body, parse(body)
+            computes = True
+        else:
+            # A frame without a program: judged by what is said in it.
+            body, stub = frame
+            code, (tree, stops) = body, parse(body)
+    works = NO if computes else NONE
     plain = _plain(body)
     bare = TAG.sub(" ", plain)
     words = WORD.findall(lowered(bare))
     left = PLACEHOLDER.sub(" ", bare)
     only_prose = "```" in code and not body.strip() and len(WORD.findall(lowered(FENCE.sub(" ", code)))) >= 12
-    trivial = tree is not None and all(
+    trivial = tree is not None and not computes and all(
         isinstance(n, ast.Pass) or isinstance(n, ast.Expr) and (isinstance(n.value, ast.Constant) and not isinstance(n.value.value, str) or isinstance(n.value, ast.Name)) or ast.unparse(n).upper() in ("N / A", "''", '""') for n in tree.body
     )
     has_python = len(PYTHON.findall(body)) > 0 and not re.fullmatch(r"\s*(?:print|sys\.stdout\.write)\(.*\)\s*", body, re.S)
-    empty = [_vote(not words and not only_prose), _vote(not WORD.search(left) and not only_prose), NONE if tree is None or words and not tree.body else _vote(trivial and len(words) <= 8), _vote(len(words) <= 5 and not has_python)]
+    empty = [_vote(not words and not only_prose), _vote(not WORD.search(left) and not only_prose), NONE if tree is None or words and not tree.body else _vote(trivial and len(words) <= 8), _vote(len(words) <= 5 and not has_python), works]
 
     talk = plain if "```" not in code else plain + "\n" + FENCE.sub(" ", code)
     refuses, sorry = bool(REFUSE.search(talk)), bool(SORRY.search(plain))
     prose = not has_python and not re.search(r"[;{}]\s*$|^\s*(?:#include|package |fn |func )", body, re.M)
-    refusal = [_vote(refuses), _vote(sorry), _vote(prose and len(words) <= 60), _vote(prose and (refuses or sorry) and len(words) <= 40)]
+    refusal = [_vote(refuses), _vote(sorry), _vote(prose and len(words) <= 60), YES if PERSON.search(plain[:80]) else NONE, works]
 
     if problem is None or len(words) < 5:
-        copied = [NONE if problem is None else NO, NONE if problem is None else NO, _vote(False) if len(words) < 5 else NONE]
+        copied = [NONE if problem is None else NO, NONE if problem is None else NO, _vote(False) if len(words) < 5 else NONE, works]
     else:
         own = WORD.findall(lowered(problem))
         there, said = " " + " ".join(own), " ".join(words)
@@ -260,22 +265,22 @@ def code_votes(problem: str | None, code: str | None) -> list[list[int]]:
         grams = set(zip(own, own[1:], own[2:]))
         mine = list(zip(words, words[1:], words[2:]))
         share = sum(g in grams for g in mine) / max(1, len(mine))
-        copied = [_vote(labelled), _vote(share >= 0.8), _vote(share >= 0.5 and len(said) <= 1.2 * len(there) and not has_python or labelled)]
+        copied = [_vote(labelled), _vote(share >= 0.8), _vote(len(said) <= 1.2 * len(there) and not has_python), works]
 
-    if stub and not refuses and not sorry and YES not in copied:
-        empty = [_vote(not words), YES, YES, YES]  # what its docstrings say is no answer
+    if stub and not refuses and not sorry and YES not in copied[:2]:
+        empty = [_vote(not words), YES, YES, YES, NONE]  # what its docstrings say is no answer
 
     marks = sum(bool(r.search(body)) for r in FOREIGN)
-    foreign = [_vote(marks >= 2), _vote(tree is None and not stops or tree is None and marks >= 3), _vote(len(re.findall(r"[;{}]", body)) >= 3 and ";" in body or marks >= 3), _vote(not has_python and marks >= 1 or marks >= 3)]
+    foreign = [_vote(marks >= 2), _vote(tree is None and not stops), _vote(len(re.findall(r"[;{}]", body)) >= 3 and ";" in body), _vote(not has_python and marks >= 1), works]
 
     speech = words if prose else []
     lang = language(speech) if len(speech) >= 5 else None
     of_problem = (language(WORD.findall(lowered(problem))) if problem else None) or "en"
     other = lang is not None and lang != of_problem
     hits = sum(w in STOP[of_problem] for w in speech)
-    human = [_vote(other), _vote(other and bool(speech) and sum(w in STOP[lang] for w in speech) >= 0.15 * len(speech)), _vote(prose and len(words) >= 5 and hits < 0.12 * len(speech)), _vote(prose and tree is None and len(words) >= 8)]
+    human = [_vote(other), _vote(other and bool(speech) and sum(w in STOP[lang] for w in speech) >= 0.15 * len(speech)), _vote(prose and len(words) >= 5 and hits < 0.12 * len(speech)), _vote(prose and tree is None and len(words) >= 8), works]
 
-    truncated = [_vote(tree is None), _vote(tree is None and stops), _vote(has_python and marks < 3), _vote(tree is None and (_balance(body) or stops))]
+    truncated = [_vote(tree is None), _vote(tree is None and stops), _vote(has_python and marks < 3), _vote(tree is None and _balance(body)), works]
     return [empty, refusal, copied, foreign, human, truncated]
 
 
@@ -325,10 +330,12 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", *(f"k{i}" for i in range(len(KINDS)))])
 
 
-def fit(counts: dict[int, float], k: int, rounds: int = 100) -> dict[int, float]:
+def fit(counts: dict[int, float], k: int, rounds: int = 100, anchored: bool = False) -> dict[int, float]:
     """Posterior of each vote pattern under a two-class model fitted by EM: a share of defective rows, and for
     each function and class the chances of its votes. It starts from the share of yes among the votes, and
-    each chance carries a weak prior towards functions that are right four times in five."""
+    each chance carries a weak prior towards functions that are right four times in five. anchored: the last function
+    only ever says no or nothing, and its chance to say no of a defective row is ANCHOR rather than learned, so that a class
+    of sound rows that other functions take for defective ones can't pull the model to itself."""
     patterns = {p: _unpattern(p, k) for p in counts}
     post = {}
     for p, v in patterns.items():
@@ -347,6 +354,8 @@ def fit(counts: dict[int, float], k: int, rounds: int = 100) -> dict[int, float]
                 for p, v in patterns.items():
                     held[v[i]] += counts[p] * (post[p] if y else 1 - post[p])
                 chance[y] = [x / sum(held) for x in held]
+            if anchored and i == k - 1:
+                chance[1][NO] = ANCHOR
             table.append(chance)
         new = {}
         for p, v in patterns.items():
@@ -371,7 +380,7 @@ def defects(df: DataFrame, id_col: str, problem: str, code: str, tests: str) ->
     counted = long.groupBy("kind", "pattern").count().collect()  # at most the sum of 3^k over KINDS
     rows = []
     for i, (field, defect, k) in enumerate(KINDS):
-        post = fit({r.pattern: r["count"] for r in counted if r.kind == i}, k)
+        post = fit({r.pattern: r["count"] for r in counted if r.kind == i}, k, anchored=field == "code")
         rows += [(i, p, field, defect, x) for p, x in post.items() if x > CUTOFFS[i]]
     labels = spark.createDataFrame(rows, "kind int, pattern int, field string, defect string, posterior double")
     return long.join(F.broadcast(labels), ["kind", "pattern"]).groupBy("id", "field", "defect").agg(F.min("kind").alias("rank"), F.max("posterior").alias("posterior"))

@@ -127,3 +127,19 @@ def test_frames_without_a_program(spark):
 
 def test_long_sums_of_strings_are_read():
     assert pairs.code_votes(PROBLEM, "x = " + " + ".join(["'a'"] * 3_000))
+
+
+def test_cutoffs_on_held_out_rows():
+    from quern.llm import pair_cutoffs
+
+    got = pair_cutoffs.validate(5, 2_000)
+    assert got["model"]["f1"] > 0.97 and got["model"]["precision"] > 0.98 and all(0.5 <= c < 1 for c in got["cutoffs"])
+    assert [abs(a - b) < 0.3 for a, b in zip(got["cutoffs"], pairs.CUTOFFS)] == [True] * len(pairs.KINDS)
+
+
+def test_an_anchor_keeps_sound_rows_out():
+    # Many sound programs speak of what they can't do: without the anchor the model takes them for refusals.
+    speaks, refuses, plain, cut = [2, 1, 1, 2, 1], [2, 2, 2, 2, 0], [1, 1, 1, 0, 1], [1, 1, 2, 0, 0]
+    counts = {pairs._pattern(p): n for p, n in ((speaks, 700), (refuses, 300), (plain, 2_000), (cut, 1_800))}
+    post = pairs.fit(counts, 5, anchored=True)
+    assert post[pairs._pattern(refuses)] > 0.9 and post[pairs._pattern(speaks)] < 0.1
