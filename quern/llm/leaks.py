@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.mixing import mix
+from quern.llm.visual import words_sql
 from quern.llm.words import lowered, word_hashes
 
 LEAST = 13
@@ -160,3 +161,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_items(spark: SparkSession, d: str) -> DataFrame:
     """Which test items leaked, and into how many documents."""
     return p6_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def _grams(words: str, at: str) -> str:
+    """Runs of LEAST words, one row each."""
+    return f"SELECT DISTINCT {at}, array_to_string(list_slice(w, i, i + {LEAST - 1}), ' ') AS g FROM (SELECT {at}, w, unnest(range(1, len(w) - {LEAST - 2})) AS i FROM ({words}))"
+
+
+P6_FOUND_SQL = f"""
+WITH i AS ({_grams(f"SELECT item_id, {words_sql('t')} AS w FROM (SELECT item_id, unnest([problem, solution]) AS t FROM heldout_item)", "item_id")}),
+d AS ({_grams(f"SELECT doc_id, {words_sql('text')} AS w FROM documents", "doc_id")})
+SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)
+"""
+P6_ITEMS_SQL = f"SELECT item_id, count(*) AS documents FROM ({P6_FOUND_SQL}) GROUP BY item_id"

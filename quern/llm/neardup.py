@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.mixing import mix
+from quern.llm.visual import words_sql
 from quern.llm.words import lowered, window_hashes, word_hashes
 from quern.llm.components import connected_components
 from quern.session import discard, lookup_skewed, materialize
@@ -522,3 +523,26 @@ def near_groups(df: DataFrame, id_col: str, fields: list[str], j: float = 0.8, s
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     cand = spark.read.parquet(f"{d}/sft_candidate.parquet")
     return near_groups(cand, "cand_id", ["problem", "code"], 0.6, 3, 30).select("field", "group_id", F.col("id").alias("cand_id"))
+
+
+#: Shingles of distinct word lists, pairs that share enough of them, and the least id each text reaches.
+P5_FOUND_SQL = f"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT field, cand_id, w FROM (
+    SELECT 'problem' AS field, cand_id, {words_sql('problem')} AS w FROM sft_candidate
+    UNION ALL SELECT 'code', cand_id, {words_sql('code')} FROM sft_candidate)
+  WHERE len(w) >= 30),
+sets AS MATERIALIZED (
+  SELECT field, cand_id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: hash(array_to_string(list_slice(w, i, i + 2), ' '))))) AS s FROM w),
+node AS MATERIALIZED (SELECT field, s, min(cand_id) AS node, len(s) AS n FROM sets GROUP BY field, s),
+posting AS MATERIALIZED (SELECT field, node, n, unnest(s) AS h FROM node),
+pair AS (
+  SELECT a.field, a.node AS x, b.node AS y FROM posting a JOIN posting b ON a.field = b.field AND a.h = b.h AND a.node < b.node AND least(a.n, b.n) >= 0.6 * greatest(a.n, b.n)
+  GROUP BY a.field, a.node, b.node, a.n, b.n HAVING count(*) >= 0.6 * (a.n + b.n - count(*)) - 1e-9),
+edge AS MATERIALIZED (SELECT field, x, y FROM pair UNION ALL SELECT field, y, x FROM pair),
+reach AS (SELECT field, node, node AS root FROM node UNION SELECT e.field, e.y, r.root FROM reach r JOIN edge e ON e.field = r.field AND e.x = r.node WHERE r.root < e.y),
+root AS (SELECT field, node, min(root) AS root FROM reach GROUP BY field, node)
+SELECT s.field, g.group_id, s.cand_id FROM sets s JOIN node n USING (field, s) JOIN root r ON r.field = n.field AND r.node = n.node
+JOIN (SELECT r.field, r.root, min(r.node) AS group_id FROM root r GROUP BY r.field, r.root) g ON g.field = r.field AND g.root = r.root
+WHERE s.cand_id <> g.group_id
+"""

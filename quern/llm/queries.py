@@ -27,4 +27,7 @@ SQL = {
     "p2_found": visual.P2_FOUND_SQL,
     "p2_forms": visual.P2_FORMS_SQL,
     "p3_sample": sample.P3_SQL,
+    "p5_found": neardup.P5_FOUND_SQL,
+    "p6_found": leaks.P6_FOUND_SQL,
+    "p6_items": leaks.P6_ITEMS_SQL,
 }

@@ -108,23 +108,30 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return forms.select("k.tbl", "k.id", "form")
 
 
-def _sql() -> str:
-    """The consistent form in SQL: replacements of single characters by rule, invisible ones dropped, and the
+def form_sql(text: str) -> str:
+    """The consistent form of a column in SQL: replacements of single characters by rule, invisible ones dropped, and the
     canonical composition of the engine."""
     from quern.llm.words import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS, HYPHENS
 
     wide = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
     plain = "".join(map(chr, range(0x21, 0x7F)))
-    spaces = "               　"
+    spaces = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    rest = HYPHENS.replace("－", "")  # the wide form is in the range above
-    form = f"translate(nfd, {quoted(wide + spaces + rest + CYRILLIC + GREEK)}, {quoted(plain + ' ' * len(spaces) + '-' * len(rest) + CYRILLIC_AS + GREEK_AS)})"
+    rest = HYPHENS.replace("\uff0d", "")  # the wide form is in the range above
+    form = f"translate({text}, {quoted(wide + spaces + rest + CYRILLIC + GREEK)}, {quoted(plain + ' ' * len(spaces) + '-' * len(rest) + CYRILLIC_AS + GREEK_AS)})"
     for a, b in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
         form = f"replace({form}, '{a}', '{b}')"
-    form = f"nfc_normalize(regexp_replace({form}, '[\\x{{ad}}\\x{{200b}}-\\x{{200f}}\\x{{202a}}-\\x{{202e}}\\x{{2060}}-\\x{{2064}}\\x{{feff}}]', '', 'g'))"
-    form = form.replace("nfd", "text")
+    return f"nfc_normalize(regexp_replace({form}, '[\\x{{ad}}\\x{{200b}}-\\x{{200f}}\\x{{202a}}-\\x{{202e}}\\x{{2060}}-\\x{{2064}}\\x{{feff}}]', '', 'g'))"
+
+
+def words_sql(text: str) -> str:
+    """The words of a column in SQL: runs of letters and digits of the lowered text in the consistent form."""
+    return f"regexp_extract_all(lower({form_sql(text)}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _sql() -> str:
     rows = "SELECT 'sft_candidate' AS tbl, cand_id AS id, problem AS text FROM sft_candidate UNION ALL SELECT 'aime25', id::BIGINT, problem FROM aime25"
-    return f"WITH f AS (SELECT tbl, id, text, {form} AS form FROM ({rows}))"
+    return f"WITH f AS (SELECT tbl, id, text, {form_sql('text')} AS form FROM ({rows}))"
 
 
 P2_FOUND_SQL = _sql() + " SELECT a.tbl, a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.tbl = b.tbl AND a.form = b.form AND a.id < b.id AND a.text <> b.text"
