@@ -19,23 +19,30 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def compatible(c: Column) -> Column:
+    """Compatibility composition. Only texts that aren't ASCII leave the JVM for it."""
+    odd = c.rlike(r"[^\x00-\x7F]")
+    return F.when(odd, nfkc(F.when(odd, c))).otherwise(c)
+
+
 def squeezed(c: Column) -> Column:
     """White space runs to one blank, ends trimmed; case kept."""
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
 def normalized(c: Column) -> Column:
-    return squeezed(nfkc(c))
+    return squeezed(compatible(c))
 
 
 def loose_key(c: Column) -> Column:
-    """Lower case, ASCII letters and digits only."""
-    return F.regexp_replace(F.lower(c), "[^0-9a-z]", "")
+    """Lower case, ASCII letters and digits only, of the compatibility form, so full-width letters count and accented ones,
+    however they are written, don't."""
+    return F.regexp_replace(F.lower(compatible(c)), "[^0-9a-z]", "")
 
 
 def words_of(c: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits."""
-    return F.filter(F.split(F.regexp_replace(F.lower(c), "[^0-9a-z]+", " "), " "), lambda w: w != "")
+    """Lower-cased runs of ASCII letters and digits of the compatibility form."""
+    return F.filter(F.split(F.regexp_replace(F.lower(compatible(c)), "[^0-9a-z]+", " "), " "), lambda w: w != "")
 
 
 def code_tokens(c: Column) -> Column:
@@ -51,11 +58,13 @@ def ngrams(words: Column, n: int, short_whole: bool = False, sep: str = " ") ->
     return F.array_distinct(F.when(F.size(words) >= n, runs).otherwise(short))
 
 
-def ngram_hashes(words: Column, n: int) -> Column:
-    """64-bit hashes of the distinct runs of n words; none for a shorter text. words should be a column of the
-    input, since it is read once for each run."""
+def ngram_hashes(words: Column, n: int, short_whole: bool = False) -> Column:
+    """64-bit hashes of the distinct runs of n words; a shorter text gives its whole (short_whole) or none. words should
+    be a column of the input, since it is read once for each run."""
     runs = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n)))
-    return F.array_distinct(F.when(F.size(words) >= n, runs).otherwise(F.expr("cast(array() as array<bigint>)")))
+    none = F.expr("cast(array() as array<bigint>)")
+    short = F.when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(none) if short_whole else none
+    return F.array_distinct(F.when(F.size(words) >= n, runs).otherwise(short))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -97,18 +106,19 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def last_boxed_text(text: str | None) -> str | None:
-    """The last boxed expression with its braces; NULL if there is none or it isn't closed."""
+    """The last boxed expression with its braces, which may stand apart from the command; NULL if there is none or it
+    isn't closed."""
     if text is None:
         return None
-    at = text.rfind("\\boxed{")
-    at = text.rfind("\\fbox{") if at < 0 else at
+    at = max(text.rfind("\\boxed"), -1)
+    at = text.rfind("\\fbox") if at < 0 else at
     if at < 0:
         return None
     depth = 0
-    for i in range(text.index("{", at), len(text)):
-        depth += (text[i] == "{") - (text[i] == "}")
-        if depth == 0:
-            return text[at : i + 1]
+    for m in re.finditer(r"[{}]", text[at:]):
+        depth += 1 if m[0] == "{" else -1
+        if m[0] == "}" and depth == 0:
+            return text[at : at + m.end()]
     return None
 
 
@@ -122,31 +132,49 @@ def unboxed(c: Column) -> Column:
     return F.when(c.startswith("\\boxed{") & c.endswith("}"), F.substring(c, F.lit(8), F.length(c) - 8))
 
 
+#: The commands of an answer that only size, and those that only space.
+SIZING = ("\\left", "\\right")
+SPACING = ("\\!", "\\,", "\\;", "\\quad", "\\qquad", "~")
+
+
 def plain_answer(c: Column) -> Column:
     """A mathematical answer without sizing and spacing commands, dollars, white space, final full stops and a
     leading plus sign."""
-    # The commands that only size or space.
-    for x in ("\\left", "\\right", "\\,", "\\!", "\\;", "\\:", "\\qquad", "\\quad", "$"):
+    for x in (*SIZING, *SPACING, "$"):
         c = F.replace(c, F.lit(x), F.lit(""))
     c = F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", ""), r"\.+$", "")
     return F.regexp_replace(c, r"^\+", "")
 
 
+NUMERIC = r"^[-+]?(?:[0-9]+(?:\.[0-9]+)?|[0-9]+/[-+]?[0-9]+|\\[dt]?frac\{-?[0-9]+\}\{-?[0-9]+\})$"
+
+
+@F.pandas_udf(T.StructType([T.StructField("num", T.StringType()), T.StructField("den", T.StringType())]))
+def _lowest_terms(s: pd.Series) -> pd.DataFrame:
+    from fractions import Fraction
+
+    def one(t):
+        if t is None:
+            return None, None
+        m = re.fullmatch(r"([-+]?)\\[dt]?frac\{(-?\d+)\}\{(-?\d+)\}|([-+]?\d+)/([-+]?\d+)", t)
+        if m is None:
+            x = Fraction(t)
+        else:
+            a, b = (int(m[2]), int(m[3])) if m[2] else (int(m[4]), int(m[5]))
+            if b == 0:
+                return None, None
+            x = Fraction(-a if m[1] == "-" else a, b)
+        return str(x.numerator), str(x.denominator)
+
+    return pd.DataFrame([one(t) for t in s], columns=["num", "den"])
+
+
 def as_ratio(c: Column) -> Column:
-    """struct(num, den) of an integer, decimal, a/b or LaTeX fraction with thousands commas dropped; NULL for
-    anything else, percentages included."""
-    t = F.replace(F.regexp_replace(c, r"\\d?frac\{(-?[0-9]+)\}\{(-?[0-9]+)\}", "$1/$2"), F.lit(","), F.lit(""))
-    whole, dot, slash = r"^(-?)([0-9]{1,12})$", r"^(-?)([0-9]{0,12})\.([0-9]{1,6})$", r"^(-?)\(?(-?[0-9]{1,12})\)?/\(?(-?[0-9]{1,12})\)?$"
-    sign = lambda r: F.when(F.regexp_extract(t, r, 1) == "-", -1).otherwise(1)
-    num = lambda r, k: F.expr("1").cast("long") * F.regexp_extract(t, r, k).try_cast("long")
-    pair = lambda n, d: F.struct(n.cast("long").alias("num"), d.cast("long").alias("den"))
-    frac = F.regexp_extract(t, dot, 3)
-    scale = F.pow(F.lit(10.0), F.length(frac)).cast("long")
-    return (
-        F.when(t.rlike(whole), pair(sign(whole) * num(whole, 2), F.lit(1)))
-        .when(t.rlike(dot), pair(sign(dot) * (F.coalesce(num(dot, 2), F.lit(0)) * scale + frac.try_cast("long")), scale))
-        .when(t.rlike(slash) & (num(slash, 3) != 0), pair(sign(slash) * num(slash, 2), num(slash, 3)))
-    )
+    """struct(num, den) in lowest terms, as decimal texts of any length, of an integer, decimal, a/b or LaTeX fraction with
+    thousands commas dropped; fields are NULL for anything else, percentages and zero denominators included. Only texts of
+    such a shape leave the JVM."""
+    t = F.replace(c, F.lit(","), F.lit(""))
+    return _lowest_terms(F.when(t.rlike(NUMERIC), t))
 
 
 def last_fence(c: Column) -> Column:
@@ -161,19 +189,67 @@ def after_think(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("</think>")), F.regexp_replace(F.substring_index(c, "</think>", -1), r"^(?U)\s+", "")).otherwise("")
 
 
-def python_ok_text(code: str | None) -> bool:
+def parsed(code: str):
+    """The syntax tree of a Python text, or None."""
     import ast
     import warnings
 
-    if code is None:
-        return False
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            ast.parse(code)
-        return True
+            return ast.parse(code)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
+        return None
+
+
+def python_ok_text(code: str | None) -> bool:
+    return code is not None and parsed(code) is not None
+
+
+#: What marks a text as thinking aloud, the labels of a Python fence, and the weights of what a program defines.
+THINKING = ("<think>", "</think>", "/think", "/no_think")
+PYTHON_LABELS = ("", "py", "python", "python3")
+LEAST_CODE, BASE, FUNCTION, CLASS, IMPORT = 20, 10, (5, 4), (3, 3), (3, 1)
+
+
+def code_score(code: str) -> int | None:
+    """How much a program defines; NULL for a text that is too short, thinks aloud, is no Python or holds nothing."""
+    import ast
+
+    if len(code) < LEAST_CODE or any(x in code for x in THINKING):
+        return None
+    tree = parsed(code)
+    if tree is None or not tree.body:
+        return None
+    nodes = list(ast.walk(tree))
+    count = lambda of, kinds: sum(isinstance(n, kinds) for n in of)
+    found = ((FUNCTION, count(nodes, (ast.FunctionDef, ast.AsyncFunctionDef))), (CLASS, count(nodes, ast.ClassDef)), (IMPORT, count(tree.body, (ast.Import, ast.ImportFrom))))
+    return BASE + sum(min(n, most) * weight for (most, weight), n in found)
+
+
+def clean_code_text(code: str) -> str:
+    return re.sub(r"^(?:python|python3|py)\s*\n", "", code.strip(), flags=re.I).strip()
+
+
+def best_code_text(text: str | None) -> str | None:
+    """The program of the fence with the highest score, the first of equals; without one the whole text if it is a program."""
+    text = (text or "").strip()
+    best = None
+    for label, body in re.findall(r"```[ \t]*([A-Za-z0-9_+\-.]*)[ \t]*\n(.*?)```", text, re.S):
+        if label.lower() in PYTHON_LABELS:
+            code = clean_code_text(body)
+            points = code_score(code)
+            if points is not None and (best is None or points > best[0]):
+                best = points, code
+    if best is not None:
+        return best[1]
+    code = clean_code_text(text)
+    return code if code_score(code) is not None else None
+
+
+@F.pandas_udf(T.StringType())
+def best_code(s: pd.Series) -> pd.Series:
+    return s.map(best_code_text)
 
 
 @F.pandas_udf(T.BooleanType())

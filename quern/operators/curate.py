@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import itertools
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions import text as X
 from quern.session import materialize
 
 TESTS = "inputs array<string>, outputs array<string>"
+#: Most grams (8 bytes each) that are broadcast.
+ITEM_GRAMS = 2_000_000
 
 
 def collapse_by_key(df: DataFrame, key: Column, row_id: str, first: list[str], value: str, ids: int = 0) -> DataFrame:
@@ -32,17 +36,60 @@ def collapse_by_key(df: DataFrame, key: Column, row_id: str, first: list[str], v
 
 def ngram_overlap(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, n: int) -> DataFrame:
     """Set overlap of the distinct n-grams of documents and items: doc_id, item_id, overlap, and the number of
-    grams of the item (size). Only grams that some item has are shuffled to the count."""
+    grams of the item (size); a text of under n words is one gram, its whole. If the items have at most ITEM_GRAMS grams (they
+    are counted), those are broadcast, so that only grams some item has are shuffled."""
     def grams(df: DataFrame, i: str, t: str) -> DataFrame:
         words = df.filter(F.col(t).isNotNull()).select(i, X.words_of(F.col(t)).alias("_w"))
-        return words.select(i, F.explode(X.ngram_hashes(F.col("_w"), n)).alias("gram"))
+        return words.select(i, F.explode(X.ngram_hashes(F.col("_w"), n, short_whole=True)).alias("gram"))
 
-    right = grams(items, item_id, item_text)
+    right = materialize(grams(items, item_id, item_text), "item-grams")
     sizes = right.groupBy(item_id).agg(F.count(F.lit(1)).alias("size"))
     left = grams(docs, doc_id, doc_text)
+    if right.count() <= ITEM_GRAMS:
+        left = left.join(F.broadcast(right.select("gram").distinct()), "gram", "left_semi")  # at most ITEM_GRAMS numbers
     return left.join(right, "gram").groupBy(doc_id, item_id).agg(F.count(F.lit(1)).alias("overlap")).join(sizes, item_id)
 
 
+def containment(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, n: int, share: float) -> DataFrame:
+    """(doc_id, item_id, containment): pairs whose shared runs of n code tokens are at least `share` of the smaller one's distinct
+    runs. Texts under n tokens have none. The items' runs are broadcast while they are at most ITEM_GRAMS, as in ngram_overlap;
+    a run that very many documents hold is counted map-side before it meets an item."""
+    def grams(df: DataFrame, i: str, t: str) -> DataFrame:
+        tokens = df.filter(F.col(t).isNotNull()).select(i, X.code_tokens(F.col(t)).alias("_t")).select(i, X.ngram_hashes(F.col("_t"), n).alias("_g"))
+        return tokens.select(i, F.size("_g").alias(f"_n_{i}"), F.explode("_g").alias("gram"))
+
+    right = materialize(grams(items, item_id, item_text), "item-runs")
+    left = grams(docs, doc_id, doc_text)
+    if right.count() <= ITEM_GRAMS:
+        left = left.join(F.broadcast(right.select("gram").distinct()), "gram", "left_semi")  # at most ITEM_GRAMS numbers
+    both = left.join(right, "gram").groupBy(doc_id, item_id, f"_n_{doc_id}", f"_n_{item_id}").agg(F.count(F.lit(1)).alias("_k"))
+    part = F.col("_k") / F.least(f"_n_{doc_id}", f"_n_{item_id}")
+    return both.select(doc_id, item_id, part.alias("containment")).filter(F.col("containment") >= share)
+
+
+def blocks_for(rows: int) -> int:
+    """Blocks for keys that are rare among so many fingerprints at radius 3: 16, 26, 32 or 36 bits a key."""
+    return 4 if rows < 1 << 12 else 5 if rows < 1 << 22 else 6 if rows < 1 << 28 else 7
+
+
+def map_delta(first: Column, current: Column) -> Column:
+    """What turns one map<string,string> into another, as a map: its changed and new entries, and under `__removed__` the JSON
+    list of keys that are gone. A NULL side gives the other whole under `__replace__`; equal maps give an empty one."""
+    changed = F.map_filter(current, lambda k, v: ~F.map_contains_key(first, k) | ~v.eqNullSafe(F.try_element_at(first, k)))
+    gone = F.array_sort(F.array_except(F.map_keys(first), F.map_keys(current)))
+    removed = F.when(F.size(gone) > 0, F.create_map(F.lit("__removed__"), F.to_json(gone))).otherwise(F.expr("cast(map() as map<string,string>)"))
+    whole = F.create_map(F.lit("__replace__"), F.to_json(current))
+    same = F.expr("cast(map() as map<string,string>)")
+    return F.when(first.isNull() & current.isNull(), same).when(first.isNull() | current.isNull(), whole).otherwise(F.map_concat(changed, removed))
+
+
+def apply_delta(first: Column, delta: Column) -> Column:
+    gone = F.coalesce(F.from_json(F.try_element_at(delta, F.lit("__removed__")), "array<string>"), F.expr("cast(array() as array<string>)"))
+    kept = F.map_filter(first, lambda k, v: ~F.array_contains(gone, k) & ~F.map_contains_key(delta, k))
+    merged = F.map_concat(kept, F.map_filter(delta, lambda k, v: k != "__removed__"))
+    return F.when(F.map_contains_key(delta, F.lit("__replace__")), F.from_json(F.try_element_at(delta, F.lit("__replace__")), "map<string,string>")).otherwise(merged)
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, n: int, share: float) -> DataFrame:
     """Documents that hold less than `share` of the n-grams of every item."""
     bad = ngram_overlap(docs, items, doc_id, doc_text, item_id, item_text, n).filter(F.col("overlap") >= share * F.col("size")).select(doc_id).distinct()
@@ -50,11 +97,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str,
 
 
 def unwrap(df: DataFrame, text: str, prefix: str, suffix: str) -> DataFrame:
-    """Takes a fixed prefix and suffix off where both are there; `wrap` tells both, partial or neither."""
+    """Takes a fixed prefix off where it is there, then a fixed suffix, and trims what is left; `wrap` tells both, partial or
+    neither."""
     p = F.startswith(F.col(text), F.lit(prefix))
-    s = F.endswith(F.col(text), F.lit(suffix)) & (F.length(text) >= len(prefix) + len(suffix))
-    inner = F.substring(F.col(text), F.lit(len(prefix) + 1), F.length(text) - len(prefix) - len(suffix))
-    return df.withColumn("wrap", F.when(p & s, "both").when(p | s, "partial").otherwise("neither")).withColumn("inner", F.when(p & s, inner).otherwise(F.col(text)))
+    out = df.withColumn("_p", p).withColumn("inner", F.when(p, F.substring(F.col(text), F.lit(len(prefix) + 1), F.length(text))).otherwise(F.col(text)))
+    s = F.endswith(F.col("inner"), F.lit(suffix))
+    out = out.withColumn("_s", s).withColumn("inner", F.when(s, F.substring(F.col("inner"), F.lit(1), F.length("inner") - len(suffix))).otherwise(F.col("inner")))
+    wrap = F.when(F.col("_p") & F.col("_s"), "both").when(F.col("_p") | F.col("_s"), "partial").otherwise("neither")
+    return out.withColumn("wrap", wrap).withColumn("inner", F.regexp_replace("inner", r"(?U)^\s+|\s+$", "")).drop("_p", "_s")
 
 
 def test_reason(tests: Column) -> Column:
@@ -118,15 +168,35 @@ def line_counts(df: DataFrame, row_id: str, text: str, least: int) -> DataFrame:
     return df.select(row_id, lines.alias("_l")).select(row_id, F.size("_l").cast("long").alias("lines"), runs.alias("most"))
 
 
+#: What makes a difficulty hard or easy; all else is medium.
+HARD, EASY = ("hard", "advanced", "expert"), ("easy", "intro", "basic")
+
+
 def difficulty_level(c: Column) -> Column:
-    d = F.lower(F.trim(c))
-    return (
-        F.when(d.isNull() | (d == ""), "unknown")
-        .when(d.rlike("hard|difficult|expert|competition"), "hard")
-        .when(d.rlike("medium|inter|moderate"), "medium")
-        .when(d.rlike("easy|beginner|simple|intro"), "easy")
-        .otherwise("unknown")
-    )
+    d = F.lower(F.coalesce(c, F.lit("")))
+    return F.when(d.rlike("|".join(HARD)), "hard").when(d.rlike("|".join(EASY)), "easy").otherwise("medium")
+
+
+@F.pandas_udf(T.StringType())
+def code_style(code: pd.Series, tests: pd.Series, problem: pd.Series) -> pd.Series:
+    """function, competitive or unknown: asserts in the tests make a function; code that doesn't parse is unknown; reading or
+    writing standard streams, or a problem that tells its input or output format, is competitive; then a function or class
+    at the top makes a function, and anything else is competitive."""
+    import ast
+    import re
+
+    def one(c, t, p):
+        if "assert " in (t or "").lower():
+            return "function"
+        tree = X.parsed(c or "")
+        if tree is None:
+            return "unknown"
+        reads = any(isinstance(n, ast.Call) and getattr(n.func, "id", None) == "input" for n in ast.walk(tree))
+        if reads or "stdin" in (c or "") or "stdout" in (c or "") or re.search(r"\b(?:input|output) format\b", p or "", re.I):
+            return "competitive"
+        return "function" if any(isinstance(n, (ast.FunctionDef, ast.ClassDef)) for n in tree.body) else "competitive"
+
+    return pd.Series([one(*x) for x in zip(code, tests, problem)])
 
 
 def prefix_or_suffix(tokens: str, prefix: int, suffix: int) -> Column:
@@ -152,7 +222,7 @@ def hamming_pairs(nodes: DataFrame, row_id: str, h: str, radius: int, blocks: in
     return keyed.join(other, "k").filter((F.col("a") < F.col("b")) & (X.hamming(F.col("ha"), F.col("hb")) <= radius)).select("a", "b").distinct()
 
 
-def greedy_near_dedup(df: DataFrame, row_id: str, source: str, family: str, tokens: str, radius: int = 3, blocks: int = 5) -> DataFrame:
+def greedy_near_dedup(df: DataFrame, row_id: str, source: str, family: str, tokens: str, radius: int = 3, blocks: int | None = None) -> DataFrame:
     """(row_id, kept): what a pass in ascending id keeps if it rejects a row with the fingerprint of an earlier
     row, one of an earlier kept (source, family), and one within `radius` bits of a kept fingerprint.
 
@@ -164,7 +234,7 @@ def greedy_near_dedup(df: DataFrame, row_id: str, source: str, family: str, toke
     rows = materialize(rows, "dedup-rows")
     first = rows.groupBy("h").agg(F.min(F.struct(row_id, source, family)).alias("r"))
     nodes = materialize(first.select(F.col(f"r.{row_id}").alias("id"), F.col(f"r.{source}").alias("source"), F.col(f"r.{family}").alias("family"), "h"), "dedup-nodes")
-    near = hamming_pairs(nodes, "id", "h", radius, blocks).toDF("id", "id2")
+    near = hamming_pairs(nodes, "id", "h", radius, blocks or blocks_for(nodes.count())).toDF("id", "id2")
     near = materialize(near, "dedup-near")
     state = nodes.select("id", "source", "family", F.lit(None).cast("boolean").alias("kept"))
     while True:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.session import materialize
+
 
 def range_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, width: float, on: tuple[str, ...] = ()) -> DataFrame:
     """Inner join where the two values differ by at most width: equi-join on cells of that width (the right
@@ -15,20 +21,31 @@ def range_join(left: DataFrame, right: DataFrame, left_value: str, right_value:
     return a.join(b, [*on, "_cell"]).filter(F.abs(F.col(left_value) - F.col(right_value)) <= width).drop("_cell")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, on: list[str], cell: str = "day") -> DataFrame:
-    """Each left row with the latest right row at or before it (NULLs if there is none), by time cells: right
-    rows carry a last value for each cell, so no task sorts a whole key. Right columns must not clash."""
+def as_of_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, on: list[str]) -> DataFrame:
+    """Each left row with the latest right row at or before it (NULLs if there is none), of several at one time the one
+    whose other columns are largest. Both sides are range partitioned by key and time together, each row takes the last
+    right row of its partition before it, and the last ones of earlier partitions of the key are carried over; so no task
+    sorts a whole key, and the cost is one sort. NULL keys and times match nothing. Right columns must not clash."""
     values = [c for c in right.columns if c not in on]
-    latest = right.withColumn("_cell", F.date_trunc(cell, right_time))
-    left_ids = left.withColumn("_id", F.monotonically_increasing_id()).withColumn("_cell", F.date_trunc(cell, left_time))
-    best = F.max_by(F.struct(*values), F.struct(right_time, *[v for v in values if v != right_time]))
-    per_cell = latest.groupBy(*on, "_cell").agg(best.alias("_last")).withColumnRenamed("_cell", "_other")
-    inside = left_ids.join(latest, [*on, "_cell"]).filter(F.col(right_time) <= F.col(left_time)).groupBy("_id").agg(best.alias("_in"))
-    cells = left_ids.select(*on, "_cell").distinct().join(per_cell, on).filter("_other < _cell")
-    earlier = cells.groupBy(*on, "_cell").agg(F.max_by("_last", "_other").alias("_before"))
-    out = left_ids.join(inside, "_id", "left").join(earlier, [*on, "_cell"], "left")
-    found = F.coalesce("_in", "_before")
-    return out.select(*left.columns, *(found[v].alias(v) for v in values))
+    keys = [f"_k{i}" for i in range(len(on))]
+    named = [F.col(c).alias(k) for c, k in zip(on, keys)]
+    row = F.struct(*(F.col(c) for c in left.columns))
+    last = F.struct(*(F.col(c) for c in [right_time, *(v for v in values if v != right_time)]))
+    a = left.select(*named, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), row.alias("_row"), F.lit(None).cast(right.select(last.alias("x")).schema["x"].dataType).alias("_last"))
+    b = right.filter(F.col(right_time).isNotNull()).select(*named, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(row.alias("x")).schema["x"].dataType).alias("_row"), last.alias("_last"))
+    both = a.unionByName(b).repartitionByRange(*keys, "_t", "_side").withColumn("_part", F.spark_partition_id())
+    both = materialize(both, "as-of")
+    inside = W.partitionBy("_part", *keys).orderBy("_t", "_side", "_last").rowsBetween(W.unboundedPreceding, 0)
+    local = both.withColumn("_in", F.last("_last", ignorenulls=True).over(inside)).filter("_side = 1")
+    ends = both.groupBy("_part", *keys).agg(F.max("_last").alias("_end"))  # right rows of a partition, by time first
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row for each partition of the key
+    ends = ends.select(F.col("_part").alias("_p"), *(F.col(k).alias(k + "r") for k in keys), F.last("_end", ignorenulls=True).over(before).alias("_before"))
+    same = local["_part"] == ends["_p"]
+    for k in keys:
+        same = same & (local[k] == ends[k + "r"])
+    out = local.join(ends, same, "left")
+    found = F.when(F.col("_t").isNotNull() & functools.reduce(operator.and_, (F.col(k).isNotNull() for k in keys), F.lit(True)), F.coalesce("_in", "_before"))
+    return out.select(*(F.col("_row")[c].alias(c) for c in left.columns), *(found[v].alias(v) for v in values))
 
 
 def unordered(a: Column, b: Column) -> tuple[Column, Column]:

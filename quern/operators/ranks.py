@@ -47,13 +47,21 @@ def rank_bins(df: DataFrame, value: str, tie: list, bins: int, name: str = "bin"
 
 def running_sum(df: DataFrame, value: str, order: list, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Sum of value over the rows up to and with each row, in the same two steps."""
+    return running_sums(df, {value: name}, order, by)
+
+
+def running_sums(df: DataFrame, names: dict[str, str], order: list, by: tuple[str, ...] = ()) -> DataFrame:
+    """Running sums of several columns, each under the name given for it, from one sort."""
     order, by = _columns(order), list(by)
     spread = materialize(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "running")
-    local = spread.withColumn("_local", F.sum(value).over(W.partitionBy("_part", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
-    sums = spread.groupBy("_part", *by).agg(F.sum(value).alias("_n"))
+    rows = W.partitionBy("_part", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    local = spread.select("*", *(F.sum(v).over(rows).alias(f"_local{i}") for i, v in enumerate(names)))
+    sums = spread.groupBy("_part", *by).agg(*(F.sum(v).alias(f"_n{i}") for i, v in enumerate(names)))
     within = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("_base", F.coalesce(F.sum("_n").over(within), F.lit(0)))
     keys = ["_part", *by]
-    right = sums.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_base")
+    right = sums.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(F.coalesce(F.sum(f"_n{i}").over(within), F.lit(0)).alias(f"_base{i}") for i in range(len(names))))
     same = functools.reduce(operator.and_, (local[k].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(keys)))
-    return local.join(right, same).withColumn(name, F.col("_base") + F.coalesce("_local", F.lit(0))).drop("_part", "_local", "_base", *(f"_k{i}" for i in range(len(keys))))
+    out = local.join(right, same)
+    for i, name in enumerate(names.values()):
+        out = out.withColumn(name, F.col(f"_base{i}") + F.coalesce(f"_local{i}", F.lit(0))).drop(f"_base{i}", f"_local{i}")
+    return out.drop("_part", *(f"_k{i}" for i in range(len(keys))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +15,9 @@ from quern.functions.text import stable_hash
 from quern.operators.ranks import ranked
 
 MAX_STRATA = 10_000
+MAX_POOL = 1_000_000
+#: Numbers (rows selected times dimension) that may be broadcast.
+MAX_SELECTED = 4_000_000
 
 
 def exposure_targets(support: DataFrame, item: str, total: int, hash_of: Column) -> DataFrame:
@@ -46,8 +51,9 @@ def apportion(strata: DataFrame, stratum: str, weight: str, quota: int, hash_of:
     return rows.crossJoin(F.broadcast(given)).select(*strata.columns, (F.col("_f") + (F.col("_r") <= F.lit(quota) - F.col("_g")).cast("long")).cast("long").alias("quota"))  # one row
 
 
-def stratified_interleave(df: DataFrame, row_id: str, stratum: str, within: Column, support: int) -> DataFrame:
-    """The first `support` rows of the largest-deficit interleave of strata, with their rank. Only the table of
+def stratified_interleave(df: DataFrame, row_id: str, stratum: str, within: Column, support: int, tie_seed: int | None = None, largest: bool = False) -> DataFrame:
+    """The first `support` rows of the largest-deficit interleave of strata, with their rank. Among equal deficits the first
+    name wins, or with a tie_seed the stratum whose hash of seed and name is smallest, or largest. Only the table of
     stratum sizes (at most MAX_STRATA rows, checked) and the prefix of the sequence are on the driver; rows are
     ranked in their strata by a distributed sort and joined to the sequence."""
     spark = df.sparkSession
@@ -57,7 +63,11 @@ def stratified_interleave(df: DataFrame, row_id: str, stratum: str, within: Colu
         raise ValueError("too many strata")
     names = [str(r[0]) for r in sizes]
     n, total = np.array([r.n for r in sizes], float), sum(r.n for r in sizes)
-    taken, place, seq = np.zeros(len(n)), np.argsort(np.argsort(names)), []
+    keys = names
+    if tie_seed is not None:
+        keys = [hashlib.sha256(json.dumps([tie_seed, "stratum", x], ensure_ascii=False, separators=(",", ":")).encode()).hexdigest() for x in names]
+    place = np.argsort(np.argsort(keys)) * (-1 if largest else 1)
+    taken, seq = np.zeros(len(n)), []
     for k in range(1, min(support, total) + 1):
         lag = np.where(taken < n, k * n / total - taken, -np.inf)
         best = np.flatnonzero(lag >= lag.max() - 1e-12)
@@ -134,3 +144,33 @@ def greedy_d_optimal(df: DataFrame, row_id: str, vector: str, k: int, cost: str
         chosen.append((top[row_id], len(chosen) + 1, float(top.g)))
     return spark.createDataFrame(chosen, f"{row_id} {kind}, rank int, gain double")
 
+
+
+def seeded_permutation(df: DataFrame, row_id: str, seed: int) -> DataFrame:
+    """(row_id, place): the rows in ascending id, permuted by a PCG64 generator. Rows are ranked where they lie; the generator's
+    order of at most MAX_POOL numbers is made on the driver and joined by rank. A larger pool is refused: use a hash order."""
+    n = df.count()
+    if n > MAX_POOL:
+        raise ValueError(f"a pool of over {MAX_POOL} rows has no generator's order")
+    order = np.random.Generator(np.random.PCG64(seed)).permutation(n)
+    places = df.sparkSession.createDataFrame(pd.DataFrame({"_r": order + 1, "place": np.arange(n)}))
+    return ranked(df.select(row_id), [row_id], "_r").join(places, "_r").select(row_id, F.col("place").cast("long").alias("place"))
+
+
+def nearest_selected(df: DataFrame, selected: DataFrame, row_id: str, vector: str, order: str) -> DataFrame:
+    """(row_id, distance, nearest): for each row the cosine distance to the nearest selected row, itself aside, and its id;
+    a row that is selected sees only those selected before it, so the first one has none. selected is the small side, checked
+    to hold at most MAX_SELECTED numbers, and is broadcast; ties go to the earliest. NULL and zero vectors are left out."""
+    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
+    good = lambda d: d.filter(F.exists(vector, lambda x: x != 0))
+    picked = good(selected).select(row_id, order, unit(F.col(vector)).alias("v"))
+    size = picked.agg(F.count(F.lit(1)) * F.max(F.size("v"))).first()[0] or 0
+    if size > MAX_SELECTED:
+        raise ValueError("too much is selected to be broadcast")
+    all_of = picked.agg(F.array_sort(F.collect_list(F.struct(order, F.col(row_id).alias("id"), "v"))).alias("s"))  # the checked small side
+    rows = good(df).join(picked.select(row_id, order), row_id, "left").select(row_id, order, unit(F.col(vector)).alias("v"))
+    rows = rows.crossJoin(F.broadcast(all_of))  # one row
+    seen = F.filter("s", lambda x: (x["id"] != F.col(row_id)) & (F.col(order).isNull() | (x[order] < F.col(order))))
+    dot = lambda x: F.aggregate(F.zip_with(x["v"], F.col("v"), lambda a, b: a * b), F.lit(0.0), lambda a, y: a + y)
+    best = F.array_min(F.transform(seen, lambda x: F.struct(F.round(1 - dot(x), 9).alias("d"), x[order].alias("o"), x["id"].alias("id"))))
+    return rows.select(row_id, best.alias("b")).select(row_id, F.col("b.d").alias("distance"), F.col("b.id").alias("nearest"))

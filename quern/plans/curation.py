@@ -15,12 +15,12 @@ book = Book()
 QUERIES, SQL = book.queries, book.sql
 
 FLAGSHIP = """
-WITH keyed AS (SELECT doc_id, source, lang, text, regexp_replace(lower(text), '[^0-9a-z]', '', 'g') AS k FROM documents WHERE text IS NOT NULL),
+WITH keyed AS (SELECT doc_id, source, lang, text, regexp_replace(lower(NFKC(text)), '[^0-9a-z]', '', 'g') AS k FROM documents WHERE text IS NOT NULL),
 grouped AS (SELECT k, count(*) AS copies, count(DISTINCT lang) AS langs, first(text ORDER BY doc_id) AS text, first(source ORDER BY doc_id) AS source, min(doc_id) AS doc_id FROM keyed WHERE k <> '' GROUP BY k),
-words AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM grouped),
-grams AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(list_slice(w, i, i + 7), ' '))) AS g FROM words WHERE len(w) >= 8),
-bw AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(problem), '[^0-9a-z]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM heldout_item),
-bg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(list_slice(w, i, i + 7), ' '))) AS g FROM bw WHERE len(w) >= 8),
+words AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(NFKC(text)), '[^0-9a-z]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM grouped),
+grams AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(2, len(w) - 6)), lambda i: array_to_string(list_slice(w, i, i + 7), ' '))) AS g FROM words WHERE len(w) > 0),
+bw AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(NFKC(problem)), '[^0-9a-z]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM heldout_item),
+bg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(2, len(w) - 6)), lambda i: array_to_string(list_slice(w, i, i + 7), ' '))) AS g FROM bw WHERE len(w) > 0),
 bn AS (SELECT item_id, count(*) AS n FROM bg GROUP BY item_id),
 hit AS (SELECT doc_id, item_id, count(*) AS c FROM grams JOIN bg USING (g) GROUP BY ALL),
 bad AS (SELECT DISTINCT doc_id FROM hit JOIN bn USING (item_id) WHERE c >= 0.5 * n)
@@ -40,7 +40,7 @@ def flagship(spark, d):
 RANKED_POOL = FLAGSHIP.split("\nSELECT")[0] + """
 SELECT doc_id, source, copies::BIGINT AS copies, row_number() OVER (PARTITION BY source ORDER BY sha256('[42,"stratum",' || doc_id || ']'), doc_id) AS rank, count(*) OVER (PARTITION BY source) AS kept
 FROM grouped WHERE langs <= 1 AND doc_id NOT IN (SELECT doc_id FROM bad)
-AND k NOT IN (SELECT regexp_replace(lower(problem), '[^0-9a-z]', '', 'g') FROM heldout_item WHERE problem IS NOT NULL)
+AND k NOT IN (SELECT regexp_replace(lower(NFKC(problem)), '[^0-9a-z]', '', 'g') FROM heldout_item WHERE problem IS NOT NULL)
 """
 
 
@@ -57,13 +57,13 @@ def ranked_pool(spark, d):
 
 @book.query(
     "pf01_unwrap",
-    """SELECT cand_id, CASE WHEN p AND s THEN 'both' WHEN p OR s THEN 'partial' ELSE 'neither' END AS wrap,
-    CASE WHEN p AND s THEN length(code) - 14 ELSE length(code) END::BIGINT AS inner_length
-    FROM (SELECT cand_id, code, starts_with(code, '```python' || chr(10)) AS p, ends_with(code, chr(10) || '```') AND length(code) >= 14 AS s FROM sft_candidate WHERE code IS NOT NULL)""",
+    """WITH p AS (SELECT cand_id, starts_with(code, '```python' || chr(10)) AS p, CASE WHEN starts_with(code, '```python' || chr(10)) THEN substr(code, 11) ELSE code END AS t FROM sft_candidate WHERE code IS NOT NULL),
+    s AS (SELECT *, ends_with(t, chr(10) || '```') AS s, CASE WHEN ends_with(t, chr(10) || '```') THEN left(t, length(t) - 4) ELSE t END AS u FROM p)
+    SELECT cand_id, CASE WHEN p AND s THEN 'both' WHEN p OR s THEN 'partial' ELSE 'neither' END AS wrap, sha256(regexp_replace(u, '^WS+|WS+$', '', 'g')) AS inner_hash FROM s""".replace("WS", r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"),
 )
 def unwrap(spark, d):
     out = curate.unwrap(table(spark, d, "sft_candidate").filter("code IS NOT NULL"), "code", "```python\n", "\n```")
-    return out.select("cand_id", "wrap", F.length("inner").cast("long").alias("inner_length"))
+    return out.select("cand_id", "wrap", F.sha2("inner", 256).alias("inner_hash"))
 
 
 PROMPTS = "CASE coalesce(kind, '') WHEN 'statement' THEN 1 WHEN 'editorial' THEN 2 ELSE 3 END"
@@ -109,7 +109,7 @@ def suffix(spark, d):
     return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.length(curate.with_suffix(once, " Answer:")).cast("long").alias("n"))
 
 
-@book.query("pf06_token_budget", "SELECT doc_id, n FROM (SELECT doc_id, len(list_filter(string_split(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g'), ' '), lambda w: w <> ''))::BIGINT AS n FROM documents WHERE text IS NOT NULL) WHERE n <= 120")
+@book.query("pf06_token_budget", "SELECT doc_id, n FROM (SELECT doc_id, len(list_filter(string_split(regexp_replace(lower(NFKC(text)), '[^0-9a-z]+', ' ', 'g'), ' '), lambda w: w <> ''))::BIGINT AS n FROM documents WHERE text IS NOT NULL) WHERE n <= 120")
 def token_budget(spark, d):
     n = F.size(X.words_of(F.col("text"))).cast("long")
     return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", n.alias("n")).filter("n <= 120")
@@ -165,15 +165,13 @@ def repeated_lines(spark, d):
 
 @book.query("pf14_style")
 def style(spark, d):
-    c = table(spark, d, "sft_candidate").filter("code IS NOT NULL").select("cand_id", "code")
-    reads, defines = F.col("code").rlike(r"input\(|sys\.stdin"), F.col("code").rlike(r"(?m)^\s*(def|class) ")
-    return c.select("cand_id", F.when(reads, "competitive").when(defines, "function").otherwise("unknown").alias("style"))
+    c = table(spark, d, "sft_candidate").filter("code IS NOT NULL")
+    return c.select("cand_id", curate.code_style(F.col("code"), F.col("tests_json"), F.col("problem")).alias("style"))
 
 
 @book.query(
     "pf15_difficulty",
-    """SELECT CASE WHEN d IS NULL OR d = '' THEN 'unknown' WHEN regexp_matches(d, 'hard|difficult|expert|competition') THEN 'hard' WHEN regexp_matches(d, 'medium|inter|moderate') THEN 'medium'
-    WHEN regexp_matches(d, 'easy|beginner|simple|intro') THEN 'easy' ELSE 'unknown' END AS level, count(*)::BIGINT AS n FROM (SELECT lower(trim(difficulty)) AS d FROM sft_candidate) GROUP BY 1""",
+    "SELECT CASE WHEN regexp_matches(d, 'hard|advanced|expert') THEN 'hard' WHEN regexp_matches(d, 'easy|intro|basic') THEN 'easy' ELSE 'medium' END AS level, count(*)::BIGINT AS n FROM (SELECT lower(coalesce(difficulty, '')) AS d FROM sft_candidate) GROUP BY 1",
 )
 def difficulty(spark, d):
     return table(spark, d, "sft_candidate").groupBy(curate.difficulty_level(F.col("difficulty")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
@@ -279,7 +277,7 @@ def order_items(spark, d):
     return o.join(s, ["schedule_id", "item_sha256"]).select("schedule_id", "item_sha256", "presentations", "first_position", "rank")
 
 
-@book.query("jn05_exact_decontamination", "SELECT doc_id FROM documents WHERE text IS NOT NULL AND regexp_replace(lower(text), '[^0-9a-z]', '', 'g') NOT IN (SELECT regexp_replace(lower(problem), '[^0-9a-z]', '', 'g') FROM heldout_item WHERE problem IS NOT NULL)")
+@book.query("jn05_exact_decontamination", "SELECT doc_id FROM documents WHERE text IS NOT NULL AND regexp_replace(lower(NFKC(text)), '[^0-9a-z]', '', 'g') NOT IN (SELECT regexp_replace(lower(NFKC(problem)), '[^0-9a-z]', '', 'g') FROM heldout_item WHERE problem IS NOT NULL)")
 def exact_decontamination(spark, d):
     items = table(spark, d, "heldout_item").select(X.loose_key(F.col("problem")).alias("k")).distinct()
     return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", X.loose_key(F.col("text")).alias("k")).join(items, "k", "left_anti").select("doc_id")
@@ -315,10 +313,10 @@ def matched_control(spark, d):
     return range_join(c, s, "c_acctbal", "s_acctbal", 25.0, ("nation",)).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum(F.abs(F.col("c_acctbal") - F.col("s_acctbal"))), 4).alias("gap"))
 
 
-@book.query("jn12_range_pairs", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON abs(c_acctbal - s_acctbal) <= 2 AND (c_custkey & s_suppkey & 3) = 0")
+@book.query("jn12_range_pairs", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON abs(c_acctbal - s_acctbal) <= 2")
 def range_pairs(spark, d):
     c, s = table(spark, d, "customer").select("c_custkey", "c_acctbal"), table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
-    return range_join(c, s, "c_acctbal", "s_acctbal", 2.0).filter("(c_custkey & s_suppkey & 3) = 0").select("c_custkey", "s_suppkey")
+    return range_join(c, s, "c_acctbal", "s_acctbal", 2.0).select("c_custkey", "s_suppkey")
 
 
 @book.query(
@@ -344,7 +342,7 @@ def unordered_pairs(spark, d):
 @book.query(
     "ag01_key_groups",
     """SELECT sha256(k) AS key, count(*)::BIGINT AS rows_in, count(DISTINCT lang)::BIGINT AS values, first(source ORDER BY doc_id) AS first_source, list_slice(list_sort(list(doc_id)), 1, 8) AS ids
-    FROM (SELECT *, regexp_replace(lower(text), '[^0-9a-z]', '', 'g') AS k FROM documents WHERE text IS NOT NULL) WHERE k <> '' GROUP BY k""",
+    FROM (SELECT *, regexp_replace(lower(NFKC(text)), '[^0-9a-z]', '', 'g') AS k FROM documents WHERE text IS NOT NULL) WHERE k <> '' GROUP BY k""",
 )
 def key_groups(spark, d):
     g = curate.collapse_by_key(table(spark, d, "documents"), X.loose_key(F.col("text")), "doc_id", ["source"], "lang", ids=8)
@@ -353,7 +351,7 @@ def key_groups(spark, d):
 
 @book.query(
     "ag02_conflicts",
-    """SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS rows_in, count(DISTINCT lang)::BIGINT AS langs FROM (SELECT *, regexp_replace(lower(text), '[^0-9a-z]', '', 'g') AS k FROM documents WHERE text IS NOT NULL) WHERE k <> '' GROUP BY k HAVING count(DISTINCT lang) > 1""",
+    """SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS rows_in, count(DISTINCT lang)::BIGINT AS langs FROM (SELECT *, regexp_replace(lower(NFKC(text)), '[^0-9a-z]', '', 'g') AS k FROM documents WHERE text IS NOT NULL) WHERE k <> '' GROUP BY k HAVING count(DISTINCT lang) > 1""",
 )
 def conflicts(spark, d):
     g = curate.collapse_by_key(table(spark, d, "documents"), X.loose_key(F.col("text")), "doc_id", [], "lang")

@@ -83,9 +83,9 @@ def gzip_csv(spark, d):
     return files.round_trip(o, "csv", header="true", compression="gzip", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
 
 
-@book.query("sc15_offsets", "SELECT l_orderkey, count(*)::BIGINT AS n, true AS monotone, bool_and(isfinite(l_quantity)) AS finite FROM lineitem GROUP BY 1")
+@book.query("sc15_offsets", "SELECT l_orderkey, count(*)::BIGINT AS n, bool_and(l_partkey >= p) AS monotone, bool_and(isfinite(l_quantity)) AS finite FROM (SELECT *, lag(l_partkey, 1, l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS p FROM lineitem) GROUP BY 1")
 def offsets(spark, d):
-    a = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("o"), F.bool_and(~F.isnan("l_quantity") & (F.abs("l_quantity") != float("inf"))).alias("finite"))
+    a = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("o"), F.bool_and(~F.isnan("l_quantity") & (F.abs("l_quantity") != float("inf"))).alias("finite"))
     steps = F.zip_with(F.slice("o", 1, F.size("o") - 1), F.slice("o", 2, F.size("o") - 1), lambda x, y: x <= y)
     return a.select("l_orderkey", F.size("o").cast("long").alias("n"), F.forall(steps, lambda x: x).alias("monotone"), "finite")
 

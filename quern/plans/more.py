@@ -43,11 +43,9 @@ def arm_positions(spark, d):
     return ranks.ranked(o, ["o_orderdate", "o_orderkey"], "position", ("arm",)).select("arm", "o_orderkey", "position")
 
 
-@book.query("or04_seeded_permutation")
+@book.query("or04_seeded_permutation", "SELECT n_nationkey, place::BIGINT AS place FROM (SELECT unnest([15, 16, 19, 20, 9, 7, 17, 24, 6, 10, 3, 0, 21, 18, 12, 5, 11, 14, 23, 2, 4, 22, 1, 13, 8]) AS k, unnest(range(25)) AS place) JOIN (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation) USING (k)")
 def seeded_permutation(spark, d):
-    n = table(spark, d, "nation").select("n_nationkey").orderBy("n_nationkey").collect()  # pools of a fixed small size
-    order = np.random.Generator(np.random.PCG64(42)).permutation(len(n))
-    return spark.createDataFrame([(int(n[k][0]), i) for i, k in enumerate(order)], "n_nationkey int, place int")
+    return schedule.seeded_permutation(table(spark, d, "nation"), "n_nationkey", 42)
 
 
 @book.query(
@@ -84,10 +82,20 @@ def token_ngrams(spark, d):
     return t.select("cand_id", F.size(X.ngram_hashes(F.col("t"), 13)).cast("long").alias("grams"))
 
 
-@book.query("sf07_bottom_k", "SELECT item_id, list_slice(list_sort(list_distinct(list_transform(w, lambda x: sha256(x)))), 1, 8) AS signature FROM (SELECT item_id, list_filter(string_split(regexp_replace(lower(problem), '[^0-9a-z]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM heldout_item)")
+@book.query(
+    "sf07_bottom_k",
+    """WITH g AS (SELECT item_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: sha256(array_to_string(list_slice(w, i, i + 4), ' '))))) AS h
+      FROM (SELECT item_id, list_filter(string_split(regexp_replace(lower(NFKC(problem)), '[^0-9a-z]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM heldout_item) WHERE len(w) >= 5),
+    s AS (SELECT item_id, list_transform(range(1, 9), lambda i: h[least(i, len(h))]) AS signature FROM g)
+    SELECT item_id, signature, list_transform(range(4), lambda b: sha256(b || ':' || signature[2 * b + 1] || signature[2 * b + 2])) AS bands FROM s""",
+)
 def bottom_k(spark, d):
-    w = table(spark, d, "heldout_item").select("item_id", X.words_of(F.col("problem")).alias("w"))
-    return w.select("item_id", F.slice(F.array_sort(F.array_distinct(F.transform("w", lambda x: F.sha2(x, 256)))), 1, 8).alias("signature"))
+    """The 8 smallest hashes of the 5-word shingles, a shorter list filled up with its last, and a key for each of 4 bands."""
+    w = table(spark, d, "heldout_item").select("item_id", X.words_of(F.col("problem")).alias("w")).filter("size(w) >= 5")
+    h = w.select("item_id", F.array_sort(F.transform(X.ngrams(F.col("w"), 5), lambda x: F.sha2(x, 256))).alias("h"))
+    signature = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.element_at("h", F.least(i, F.size("h"))))
+    bands = F.array(*(F.sha2(F.concat(F.lit(f"{b}:"), F.col("signature")[2 * b], F.col("signature")[2 * b + 1]), 256) for b in range(4)))
+    return h.select("item_id", signature.alias("signature")).select("item_id", "signature", bands.alias("bands"))
 
 
 @book.query("sf09_hamming", "SELECT l_orderkey, l_linenumber, min(bit_count(xor(l_partkey, l_suppkey)))::INTEGER AS distance FROM lineitem GROUP BY ALL")
@@ -109,18 +117,16 @@ def templates(spark, d):
 
 @book.query(
     "af02_map_delta",
-    """WITH a AS (SELECT cand_id, lineage AS m FROM sft_candidate WHERE lineage IS NOT NULL), k AS (SELECT cand_id, m, unnest(map_keys(m)) AS k FROM a)
-    SELECT cand_id, count(*) FILTER (WHERE k <> 'seed')::BIGINT AS removed, 1::BIGINT AS added FROM k GROUP BY cand_id""",
+    """WITH a AS (SELECT cand_id, lineage AS m, map_from_entries(list_filter(map_entries(lineage), lambda e: e.key <> 'seed') || [{'key': 'added_key', 'value': style}]) AS n FROM sft_candidate WHERE lineage IS NOT NULL AND style IS NOT NULL)
+    SELECT cand_id, len(list_filter(map_keys(m), lambda k: NOT list_contains(map_keys(n), k)))::BIGINT AS removed, len(list_filter(map_entries(n), lambda e: NOT list_contains(map_keys(m), e.key) OR m[e.key] IS DISTINCT FROM e.value))::BIGINT AS changed, list_sort(map_keys(n)) AS keys FROM a""",
 )
 def map_delta(spark, d):
-    base = F.col("lineage")
-    new = F.map_concat(F.map_filter(base, lambda k, v: k == "seed"), F.create_map(F.lit("added_key"), F.lit("1")))
-    changed = F.map_filter(new, lambda k, v: ~v.eqNullSafe(F.try_element_at(base, k)))
-    removed = F.array_except(F.map_keys(base), F.map_keys(new))
-    # Applying the delta must give the new map back.
-    applied = F.map_concat(F.map_filter(base, lambda k, v: ~F.array_contains(removed, k) & ~F.array_contains(F.map_keys(changed), k)), changed)
-    rows = table(spark, d, "sft_candidate").filter("lineage IS NOT NULL AND cardinality(lineage) > 0").select("cand_id", removed.alias("r"), changed.alias("c"), (F.array_sort(F.map_keys(applied)) == F.array_sort(F.map_keys(new))).alias("ok"))
-    return rows.filter("ok").select("cand_id", F.size("r").cast("long").alias("removed"), F.size("c").cast("long").alias("added"))
+    base = table(spark, d, "sft_candidate").filter("lineage IS NOT NULL AND style IS NOT NULL").select("cand_id", F.col("lineage").alias("m"), F.map_concat(F.map_filter("lineage", lambda k, v: k != "seed"), F.create_map(F.lit("added_key"), F.col("style"))).alias("n"))
+    delta = base.withColumn("d", curate.map_delta(F.col("m"), F.col("n")))
+    back = delta.withColumn("again", curate.apply_delta(F.col("m"), F.col("d")))
+    gone = F.coalesce(F.json_array_length(F.try_element_at("d", F.lit("__removed__"))), F.lit(0))
+    # The keys are those of the map that the delta gives back, so a delta that doesn't rebuild shows.
+    return back.select("cand_id", gone.cast("long").alias("removed"), F.size(F.map_filter("d", lambda k, v: k != "__removed__")).cast("long").alias("changed"), F.array_sort(F.map_keys("again")).alias("keys"))
 
 
 @book.query("af03_tolerant_parse", "SELECT raw_id, json_valid(payload) AS ok FROM raw_record WHERE payload IS NOT NULL")
@@ -216,16 +222,26 @@ def log_determinant(spark, d):
     return spark.createDataFrame([(k, float(np.linalg.slogdet(np.eye(k) + g[:k, :k])[1])) for k in range(1, len(g) + 1)], "k int, logdet double")
 
 
-@book.query("an16_attestation", "SELECT count(*)::BIGINT AS tables, true AS same FROM (SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3)")
+@book.query(
+    "an16_attestation",
+    """WITH a AS (SELECT 'region' AS t, string_agg(r_regionkey || ':' || r_name, ',' ORDER BY r_regionkey) AS s, string_agg(r_regionkey || ':' || r_name, ',' ORDER BY r_regionkey) AS u FROM region
+    UNION ALL SELECT 'nation', string_agg(n_nationkey || ':' || n_name, ',' ORDER BY n_nationkey), string_agg(n_nationkey || ':' || n_name, ',' ORDER BY n_nationkey) FROM nation
+    UNION ALL SELECT 'supplier', string_agg(s_suppkey || ':' || s_name, ',' ORDER BY s_suppkey), string_agg(CASE WHEN s_nationkey = 3 THEN s_suppkey || ':?' ELSE s_suppkey || ':' || s_name END, ',' ORDER BY s_suppkey) FROM supplier)
+    SELECT t, sha256(s) AS recorded, s = u AS may_reuse FROM a""",
+)
 def attestation(spark, d):
-    def digest(t):
-        df = table(spark, d, t)
-        return df.agg(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).select(F.lit(t).alias("t"), "h")
+    """A spectrum may be used again if each of its three inputs still has the recorded hash; one of them was changed meanwhile."""
+    def digest(df, key, name, text):
+        rows = df.select(F.struct(F.col(key).alias("k"), F.concat_ws(":", F.col(key).cast("string"), text).alias("x")).alias("r"))
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["x"]), ",")  # the tables of a spectrum are small
+        return rows.agg(F.sha2(joined, 256).alias("h")).select(F.lit(name).alias("t"), "h")
 
-    names = ("region", "nation", "supplier")
-    a = digest(names[0]).unionByName(digest(names[1])).unionByName(digest(names[2]))
-    b = digest(names[2]).unionByName(digest(names[0])).unionByName(digest(names[1])).withColumnRenamed("h", "g")
-    return a.join(b, "t").agg(F.count(F.lit(1)).alias("tables"), F.bool_and(F.col("h") == F.col("g")).alias("same"))
+    inputs = [("region", "r_regionkey", "r_name"), ("nation", "n_nationkey", "n_name"), ("supplier", "s_suppkey", "s_name")]
+    recorded = [digest(table(spark, d, t), k, t, F.col(c)) for t, k, c in inputs]
+    edited = F.when(F.col("s_nationkey") == 3, "?").otherwise(F.col("s_name"))
+    now = recorded[:2] + [digest(table(spark, d, "supplier"), "s_suppkey", "supplier", edited)]
+    union = lambda x: x[0].unionByName(x[1]).unionByName(x[2])
+    return union(recorded).withColumnRenamed("h", "recorded").join(union(now), "t").select("t", "recorded", (F.col("recorded") == F.col("h")).alias("may_reuse"))
 
 
 @book.query(
@@ -259,12 +275,24 @@ def confirmation(spark, d):
     return m.groupBy("label", "half").agg(F.round(F.sqrt(F.sum(F.col("m") * F.col("m"))), 6).alias("norm"))
 
 
-@book.query("ck03_hash_verification", "SELECT count(*)::BIGINT AS files, true AS verified FROM (SELECT 1)")
+_REGION_JSON = "string_agg('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' || chr(10), '' ORDER BY r_regionkey)"
+
+
+@book.query("ck03_hash_verification", f"SELECT 'first' AS copy, sha256({_REGION_JSON}) AS h, true AS verified FROM region UNION ALL SELECT 'second', sha256({_REGION_JSON.replace('|| r_name ||', '|| lower(r_name) ||')}), bool_and(r_name = lower(r_name)) FROM region")
 def hash_verification(spark, d):
-    at = scratch(spark, "verified")
-    table(spark, d, "region").coalesce(1).write.json(at)
-    read = lambda: spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(at).select("path", F.sha2("content", 256).alias("h"))
-    return read().join(read().withColumnRenamed("h", "again"), "path").agg(F.count(F.lit(1)).alias("files"), F.bool_and(F.col("h") == F.col("again")).alias("verified"))
+    """Two copies of a file against the manifest of the first: the second one was changed."""
+    region = table(spark, d, "region").select("r_regionkey", "r_name").coalesce(1).sortWithinPartitions("r_regionkey")
+
+    def files(df, name):
+        at = scratch(spark, "verified")
+        df.write.json(at)
+        read = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(at)
+        return read.select(F.lit(name).alias("copy"), F.sha2("content", 256).alias("h"))
+
+    first = files(region, "first")
+    manifest = first.select(F.col("h").alias("listed"))  # one row: one file
+    both = first.unionByName(files(region.withColumn("r_name", F.lower("r_name")), "second"))
+    return both.crossJoin(F.broadcast(manifest)).select("copy", "h", (F.col("h") == F.col("listed")).alias("verified"))
 
 
 @book.query("ck07_finite", "SELECT count(*) FILTER (WHERE isnan(score))::BIGINT AS nan_scores, count(*) FILTER (WHERE score IS NULL)::BIGINT AS null_scores, count(*) FILTER (WHERE isnan(k1_mean))::BIGINT AS nan_k1 FROM rollout_metadata")
@@ -274,30 +302,36 @@ def finite(spark, d):
     return r.agg(n(F.isnan("score"), "nan_scores"), n(F.col("score").isNull(), "null_scores"), n(F.isnan("k1_mean"), "nan_k1"))
 
 
-@book.query("ck09_refuse_overwrite", "SELECT true AS refused")
+@book.query("ck09_refuse_overwrite", "SELECT true AS refused, count(*)::BIGINT AS rows_in, sum(r_regionkey)::BIGINT AS keys FROM region")
 def refuse_overwrite(spark, d):
+    """A second write with other rows is refused, and what is there is still the first."""
     from pyspark.errors import AnalysisException
 
     from quern.sources.files import write_frozen
 
-    at = scratch(spark, "once")
-    write_frozen(table(spark, d, "region"), at, "region")
+    at, region = scratch(spark, "once"), table(spark, d, "region")
+    write_frozen(region, at, "region")
     try:
-        write_frozen(table(spark, d, "region"), at, "region")
+        write_frozen(region.withColumn("r_regionkey", F.col("r_regionkey") + 100), at, "region")
         refused = False
     except AnalysisException:
         refused = True
-    return spark.createDataFrame([(refused,)], "refused boolean")
+    return spark.read.parquet(f"{at}/data").agg(F.lit(refused).alias("refused"), F.count(F.lit(1)).alias("rows_in"), F.sum("r_regionkey").cast("long").alias("keys"))
 
 
-@book.query("ck14_folder_fingerprint", "SELECT count(*)::BIGINT AS names, 64::BIGINT AS length FROM (SELECT 1 UNION ALL SELECT 2)")
+@book.query(
+    "ck14_folder_fingerprint",
+    """WITH f AS (SELECT n_regionkey, string_agg('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' || chr(10), '' ORDER BY n_nationkey) AS content FROM nation GROUP BY 1)
+    SELECT count(*)::BIGINT AS files, sha256(string_agg(n_regionkey || chr(9) || length(content) || chr(9) || sha256(content), chr(10) ORDER BY n_regionkey)) AS fingerprint FROM f""",
+)
 def folder_fingerprint(spark, d):
+    """The hash of a folder's sorted lines of name, size and content hash: it doesn't depend on the order files are listed in."""
     at = scratch(spark, "folder")
-    table(spark, d, "nation").repartition(2, "n_regionkey").sortWithinPartitions("n_nationkey").write.json(at)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(at)
-    line = F.concat(F.regexp_extract("path", r"part-([0-9]+)", 1), F.lit("\0"), F.length("content").cast("string"), F.lit("\0"), F.sha2("content", 256))
-    g = files.agg(F.count(F.lit(1)).alias("names"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("h"))  # one row a file of one folder
-    return g.select("names", F.length("h").cast("long").alias("length"))
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    nation.coalesce(1).sortWithinPartitions("n_regionkey", "n_nationkey").write.partitionBy("n_regionkey").json(at)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(at)
+    line = F.concat_ws("\t", F.regexp_extract("path", r"n_regionkey=([0-9]+)", 1), F.length("content").cast("string"), F.sha2("content", 256))
+    return files.agg(F.count(F.lit(1)).alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("fingerprint"))  # one row a file of one folder
 
 
 @book.query("kn02_deficit_prefix")
@@ -306,13 +340,22 @@ def deficit_prefix(spark, d):
     return schedule.stratified_interleave(table(spark, d, "sft_candidate").select("cand_id", "style"), "cand_id", "style", h, 96)
 
 
-@book.query("jn05_sft_containment", "WITH t AS (SELECT cand_id, list_distinct(list_filter(string_split(regexp_replace(lower(problem), '[^0-9a-z]+', ' ', 'g'), ' '), lambda w: w <> '')) AS w FROM sft_candidate WHERE problem IS NOT NULL) SELECT cand_id, len(w)::BIGINT AS words FROM t WHERE len(w) >= 13")
+def _runs(rows: str, at: str) -> str:
+    tokens = "list_transform(regexp_extract_all(t, '([A-Za-z_][A-Za-z_0-9]*|[0-9]+)'), lambda x: lower(x))"
+    return f"SELECT {at}, len(g) AS n, unnest(g) AS gram FROM (SELECT {at}, list_distinct(list_transform(range(1, len(w) - 11), lambda i: array_to_string(list_slice(w, i, i + 12), chr(31)))) AS g FROM (SELECT {at}, {tokens} AS w FROM ({rows}) WHERE t IS NOT NULL) WHERE len(w) >= 13)"
+
+
+@book.query(
+    "jn05_sft_containment",
+    f"""WITH a AS ({_runs("SELECT doc_id, text AS t FROM documents", "doc_id")}), b AS ({_runs("SELECT item_id, problem AS t FROM heldout_item", "item_id")})
+    SELECT doc_id, item_id, round(count(*) / least(a.n, b.n), 6) AS containment FROM a JOIN b USING (gram) GROUP BY doc_id, item_id, a.n, b.n HAVING count(*) / least(a.n, b.n) >= 0.2""",
+)
 def sft_containment(spark, d):
-    t = table(spark, d, "sft_candidate").filter("problem IS NOT NULL").select("cand_id", F.array_distinct(X.words_of(F.col("problem"))).alias("w"))
-    return t.select("cand_id", F.size("w").cast("long").alias("words")).filter("words >= 13")
+    hits = curate.containment(table(spark, d, "documents"), table(spark, d, "heldout_item"), "doc_id", "text", "item_id", "problem", 13, 0.2)
+    return hits.select("doc_id", "item_id", F.round("containment", 6).alias("containment"))
 
 
-@book.query("pl01_curation_funnel", "WITH a AS (SELECT *, regexp_replace(lower(text), '[^0-9a-z]', '', 'g') AS k FROM documents) SELECT 'read' AS stage, count(*)::BIGINT AS n FROM a UNION ALL SELECT 'text', count(*) FROM a WHERE k <> '' UNION ALL SELECT 'distinct', count(DISTINCT k) FROM a WHERE k <> '' UNION ALL SELECT 'no_conflict', count(*) FROM (SELECT k FROM a WHERE k <> '' GROUP BY k HAVING count(DISTINCT lang) <= 1)")
+@book.query("pl01_curation_funnel", "WITH a AS (SELECT *, regexp_replace(lower(NFKC(text)), '[^0-9a-z]', '', 'g') AS k FROM documents) SELECT 'read' AS stage, count(*)::BIGINT AS n FROM a UNION ALL SELECT 'text', count(*) FROM a WHERE k <> '' UNION ALL SELECT 'distinct', count(DISTINCT k) FROM a WHERE k <> '' UNION ALL SELECT 'no_conflict', count(*) FROM (SELECT k FROM a WHERE k <> '' GROUP BY k HAVING count(DISTINCT lang) <= 1)")
 def curation_funnel(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
     g = curate.collapse_by_key(docs, X.loose_key(F.col("text")), "doc_id", [], "lang")
@@ -343,8 +386,8 @@ def boxed_or_none(spark, d):
 
 @book.query("sf16_python_code")
 def python_code(spark, d):
-    c = table(spark, d, "sft_candidate").filter("code IS NOT NULL").select("cand_id", F.coalesce(X.last_fence(F.col("code")), F.col("code")).alias("body"))
-    return c.select("cand_id", F.length("body").alias("n"), X.python_ok(F.col("body")).alias("ok"))
+    c = table(spark, d, "sft_candidate").select("cand_id", X.best_code(F.col("code")).alias("body"))
+    return c.select("cand_id", F.length("body").alias("n"), F.sha2("body", 256).alias("h"))
 
 
 @book.query("sf25_fence_split", "SELECT cand_id, length(split_part(split_part(code, '```python', -1), '```', 1))::BIGINT AS n FROM sft_candidate WHERE contains(code, '```python')")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("curation", "selection", "scoring", "geometry", "io", "streams", "more")
+MODULES: tuple[str, ...] = ("curation", "selection", "scoring", "geometry", "io", "streams", "more", "gates")
 
 
 def _modules():

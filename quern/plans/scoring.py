@@ -19,14 +19,14 @@ def normalize(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(X.normalized(F.col("text"))).cast("long").alias("n"))
 
 
-@book.query("sf02_loose_key", "SELECT doc_id, sha256(regexp_replace(lower(text), '[^0-9a-z]', '', 'g')) AS k FROM documents WHERE text IS NOT NULL")
+@book.query("sf02_loose_key", "SELECT doc_id, sha256(regexp_replace(lower(NFKC(text)), '[^0-9a-z]', '', 'g')) AS k FROM documents WHERE text IS NOT NULL")
 def loose_key(spark, d):
     return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.sha2(X.loose_key(F.col("text")), 256).alias("k"))
 
 
-@book.query("sf04_ngram_count", "SELECT item_id, len(list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(list_slice(w, i, i + 7), ' '))))::BIGINT AS grams FROM (SELECT item_id, list_filter(string_split(regexp_replace(lower(problem), '[^0-9a-z]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM heldout_item) WHERE len(w) >= 8")
+@book.query("sf04_ngram_count", "SELECT item_id, len(list_distinct(list_transform(range(1, greatest(2, len(w) - 6)), lambda i: array_to_string(list_slice(w, i, i + 7), ' '))))::BIGINT AS grams FROM (SELECT item_id, list_filter(string_split(regexp_replace(lower(NFKC(problem)), '[^0-9a-z]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM heldout_item) WHERE len(w) > 0")
 def ngram_count(spark, d):
-    t = table(spark, d, "heldout_item").select("item_id", X.words_of(F.col("problem")).alias("w")).filter("size(w) >= 8")
+    t = table(spark, d, "heldout_item").select("item_id", X.words_of(F.col("problem")).alias("w")).filter("size(w) > 0")
     return t.select("item_id", F.size(X.ngrams(F.col("w"), 8, short_whole=True)).cast("long").alias("grams"))
 
 
@@ -46,20 +46,32 @@ def boxed(spark, d):
     return table(spark, d, "documents").select("doc_id", X.last_boxed(F.col("text")).alias("boxed")).filter("boxed IS NOT NULL").select("doc_id", "boxed", X.unboxed(F.col("boxed")).alias("answer"))
 
 
-@book.query("sf13_plain_answer", "SELECT id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(answer, '\\left', ''), '\\right', ''), '$', ''), '\\s+', '', 'g'), '\\.+$', ''), '^\\+', '') AS a FROM hmmt25_feb")
+#: The commands an answer loses, in SQL.
+PLAIN = "answer"
+for _x in (*X.SIZING, *X.SPACING, "$"):
+    PLAIN = f"replace({PLAIN}, '{_x}', '')"
+PLAIN = f"regexp_replace(regexp_replace(regexp_replace({PLAIN}, '\\s+', '', 'g'), '\\.+$', ''), '^\\+', '')"
+
+
+@book.query("sf13_plain_answer", f"SELECT id, {PLAIN} AS a FROM hmmt25_feb")
 def plain_answer(spark, d):
     return table(spark, d, "hmmt25_feb").select("id", X.plain_answer(F.col("answer")).alias("a"))
 
 
 @book.query(
     "sf14_ratio",
-    r"""WITH t AS (SELECT id, regexp_replace(replace(regexp_replace(regexp_replace(replace(answer, '$', ''), '\s+', '', 'g'), '\.+$', ''), ',', ''), '\\d?frac\{(-?[0-9]+)\}\{(-?[0-9]+)\}', '\1/\2') AS a FROM hmmt25_feb)
-    SELECT id, CASE WHEN regexp_full_match(a, '-?[0-9]{1,12}') THEN a::BIGINT WHEN regexp_full_match(a, '-?[0-9]*\.[0-9]{1,6}') THEN replace(a, '.', '')::BIGINT WHEN regexp_full_match(a, '-?[0-9]+/-?[0-9]+') THEN split_part(a, '/', 1)::BIGINT END AS num,
-    CASE WHEN regexp_full_match(a, '-?[0-9]{1,12}') THEN 1 WHEN regexp_full_match(a, '-?[0-9]*\.[0-9]{1,6}') THEN pow(10, length(split_part(a, '.', 2)))::BIGINT WHEN regexp_full_match(a, '-?[0-9]+/-?[0-9]+') THEN split_part(a, '/', 2)::BIGINT END AS den FROM t""",
+    rf"""WITH t AS (SELECT id, replace({PLAIN}, ',', '') AS a FROM hmmt25_feb),
+    p AS (SELECT id, CASE WHEN regexp_full_match(a, '[-+]?[0-9]+') THEN a::HUGEINT WHEN regexp_full_match(a, '[-+]?[0-9]+[.][0-9]+') THEN replace(a, '.', '')::HUGEINT
+        WHEN regexp_full_match(a, '[-+]?[0-9]+/[-+]?[0-9]+') THEN split_part(a, '/', 1)::HUGEINT
+        WHEN regexp_full_match(a, '[-+]?\\[dt]?frac\{{-?[0-9]+\}}\{{-?[0-9]+\}}') THEN regexp_extract(a, 'frac\{{(-?[0-9]+)\}}', 1)::HUGEINT * (CASE WHEN starts_with(a, '-') THEN -1 ELSE 1 END) END AS n,
+      CASE WHEN regexp_full_match(a, '[-+]?[0-9]+') THEN 1::HUGEINT WHEN regexp_full_match(a, '[-+]?[0-9]+[.][0-9]+') THEN pow(10, length(split_part(a, '.', 2)))::HUGEINT
+        WHEN regexp_full_match(a, '[-+]?[0-9]+/[-+]?[0-9]+') THEN split_part(a, '/', 2)::HUGEINT
+        WHEN regexp_full_match(a, '[-+]?\\[dt]?frac\{{-?[0-9]+\}}\{{-?[0-9]+\}}') THEN regexp_extract(a, '\}}\{{(-?[0-9]+)\}}', 1)::HUGEINT END AS m FROM t)
+    SELECT id, CASE WHEN m <> 0 THEN (sign(m)::HUGEINT * n // gcd(n, m))::VARCHAR END AS num, CASE WHEN m <> 0 THEN (abs(m) // gcd(n, m))::VARCHAR END AS den FROM p""",
 )
 def ratio(spark, d):
     r = X.as_ratio(X.plain_answer(F.col("answer")))
-    return table(spark, d, "hmmt25_feb").select("id", r["num"].alias("num"), r["den"].alias("den"))
+    return table(spark, d, "hmmt25_feb").select("id", r.alias("r")).select("id", "r.num", "r.den")
 
 
 @book.query("sf15_last_fence", "SELECT cand_id, length(coalesce(list_last(regexp_extract_all(code, '```(?:python|py)[ \\t]*\\n((?s:.*?))```', 1)), list_last(regexp_extract_all(code, '```[^\\n`]*\\n((?s:.*?))```', 1))))::BIGINT AS n FROM sft_candidate WHERE code IS NOT NULL")
@@ -67,12 +79,20 @@ def last_fence(spark, d):
     return table(spark, d, "sft_candidate").filter("code IS NOT NULL").select("cand_id", F.length(X.last_fence(F.col("code"))).cast("long").alias("n"))
 
 
-@book.query("sf18_outputs_equivalent", "SELECT p_partkey, true AS same, (p_size + 1 = p_size) AS other FROM part")
+@book.query(
+    "sf18_outputs_equivalent",
+    """WITH t AS (SELECT cand_id, unnest(range(len(i))) AS place, unnest(i) AS a, unnest(o) AS b FROM (SELECT cand_id, json_extract_string(tests_json, '$.inputs[*]') AS i, json_extract_string(tests_json, '$.outputs[*]') AS o FROM sft_candidate WHERE json_valid(tests_json)) WHERE len(i) = len(o) AND len(i) > 0),
+    w AS (SELECT cand_id, place, list_filter(string_split(regexp_replace(a, '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS x, list_filter(string_split(regexp_replace(b, '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS y FROM t WHERE a IS NOT NULL AND b IS NOT NULL),
+    z AS (SELECT cand_id, place, len(x) = len(y) AS even, unnest(list_zip(x, y)) AS p FROM w UNION ALL SELECT cand_id, place, len(x) = len(y), NULL FROM w),
+    q AS (SELECT *, try_cast(p[1] AS DOUBLE) AS m, try_cast(p[2] AS DOUBLE) AS n FROM z)
+    SELECT cand_id, place, bool_and(even AND (p IS NULL OR p[1] = p[2] OR coalesce(CASE WHEN regexp_full_match(p[1], '[+-]?[0-9]{1,18}') AND regexp_full_match(p[2], '[+-]?[0-9]{1,18}') THEN p[1]::BIGINT = p[2]::BIGINT ELSE abs(m - n) <= greatest(1e-6, 1e-6 * greatest(abs(m), abs(n))) AND NOT isnan(m) AND NOT isnan(n) END, false))) AS same FROM q GROUP BY ALL""",
+)
 def outputs_equivalent(spark, d):
-    size = F.col("p_size").cast("string")
-    same = score.outputs_equivalent(F.concat(F.lit("00"), size, F.lit(" 1.0000001\n")), F.concat(F.lit(" "), size, F.lit("  1.0")))
-    other = score.outputs_equivalent(size, (F.col("p_size") + 1).cast("string"))
-    return table(spark, d, "part").select("p_partkey", same.alias("same"), other.alias("other"))
+    """Whether each test's output is its input but for the writing of numbers and blanks."""
+    t = F.from_json("tests_json", "inputs array<string>, outputs array<string>").alias("t")
+    rows = table(spark, d, "sft_candidate").select("cand_id", t).filter("size(t.inputs) = size(t.outputs)")
+    rows = rows.select("cand_id", F.posexplode(F.arrays_zip("t.inputs", "t.outputs")).alias("place", "p")).filter("p.inputs IS NOT NULL AND p.outputs IS NOT NULL")
+    return rows.select("cand_id", F.col("place").cast("long").alias("place"), score.outputs_equivalent(F.col("p.inputs"), F.col("p.outputs")).alias("same"))
 
 
 @book.query("sf19_after_think", "SELECT doc_id, CASE WHEN contains(text, '</think>') THEN length(ltrim(split_part(text, '</think>', -1), ' ' || chr(10))) ELSE 0 END::BIGINT AS n FROM documents WHERE text IS NOT NULL")
@@ -284,13 +304,22 @@ def responses(spark, d):
     return r.groupBy("index").agg(F.max("response_token_count").cast("double").alias("cost"), F.max(F.abs("k1_mean")).alias("score"))
 
 
-@book.query("kn08_inclusion", f"SELECT count(*)::BIGINT AS n, round(0.3 * sum(cost), 1) AS budget, true AS met, true AS bounded FROM (SELECT index, max(response_token_count)::DOUBLE AS cost FROM rollout_metadata WHERE {CLEAN} AND {K1} AND response_token_count IS NOT NULL GROUP BY index)")
+@book.query(
+    "kn08_inclusion",
+    f"""WITH r0 AS (SELECT index, max(response_token_count)::DOUBLE AS c, max(abs(k1_mean)) AS s FROM rollout_metadata WHERE {CLEAN} AND {K1} AND response_token_count IS NOT NULL GROUP BY index),
+    r AS (SELECT index, c, greatest(s, (SELECT min(s) FROM r0 WHERE s > 0)) AS s FROM r0), b AS (SELECT 0.3 * sum(c) AS budget, 0.01 * sum(c) AS least FROM r),
+    e AS (SELECT x, sum(slope) AS slope, sum(more) AS more FROM (SELECT 0.01 / s AS x, c * s AS slope, -0.01 * c AS more FROM r UNION ALL SELECT 1 / s, -c * s, c FROM r) GROUP BY x),
+    w AS (SELECT x, slope, sum(slope) OVER o AS k, least + sum(more) OVER o + x * sum(slope) OVER o AS f, budget FROM e, b WINDOW o AS (ORDER BY x ROWS UNBOUNDED PRECEDING)),
+    l AS (SELECT arg_min(x - (f - budget) / (k - slope), x) AS rate FROM w WHERE f >= budget - 1e-9 * budget),
+    q AS (SELECT c, least(1, greatest(0.01, rate * s)) AS q FROM r, l)
+    SELECT count(*)::BIGINT AS n, round(sum(q * c), 2) AS spent, round(0.3 * sum(c), 2) AS budget, count(*) FILTER (WHERE q >= 1)::BIGINT AS certain, count(*) FILTER (WHERE q <= 0.01)::BIGINT AS least FROM q""",
+)
 def inclusion(spark, d):
     r = responses(spark, d)
     budget = 0.3 * r.agg(F.sum("cost")).first()[0]
     q = replay.inclusion_probabilities(r, "cost", "score", budget)
-    spent = F.sum(F.col("q") * F.col("cost"))
-    return q.agg(F.count(F.lit(1)).alias("n"), F.round(F.lit(budget), 1).alias("budget"), (F.abs(spent - budget) <= 1e-6 * budget).alias("met"), ((F.min("q") >= 0.01) & (F.max("q") <= 1)).alias("bounded"))
+    n = lambda c: F.count(F.when(c, 1))
+    return q.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("q") * F.col("cost")), 2).alias("spent"), F.round(F.lit(budget), 2).alias("budget"), n(F.col("q") >= 1).alias("certain"), n(F.col("q") <= 0.01).alias("least"))
 
 
 @book.query(

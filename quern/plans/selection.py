@@ -176,7 +176,7 @@ def shortest_ranking(spark, d):
     return ranks.ranked(r.withColumn("h", h), ["tokens", "h", "index"], "rank").select("index", "tokens", "rank")
 
 
-@book.query("or06_key_order", "SELECT doc_id, row_number() OVER (ORDER BY k, doc_id) AS at FROM (SELECT doc_id, regexp_replace(lower(text), '[^0-9a-z]', '', 'g') AS k FROM documents WHERE text IS NOT NULL)")
+@book.query("or06_key_order", "SELECT doc_id, row_number() OVER (ORDER BY k, doc_id) AS at FROM (SELECT doc_id, regexp_replace(lower(NFKC(text)), '[^0-9a-z]', '', 'g') AS k FROM documents WHERE text IS NOT NULL)")
 def key_order(spark, d):
     k = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", X.loose_key(F.col("text")).alias("k"))
     return ranks.ranked(k, ["k", "doc_id"], "at").select("doc_id", "at")
@@ -272,7 +272,9 @@ def greedy_d_optimal(spark, d):
 
 @book.query("kn06_quartets", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, c.n_nationkey AS c, e.n_nationkey AS d FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey JOIN nation c ON b.n_nationkey < c.n_nationkey JOIN nation e ON c.n_nationkey < e.n_nationkey WHERE a.n_regionkey <> b.n_regionkey AND c.n_regionkey <> e.n_regionkey")
 def quartets(spark, d):
-    n = table(spark, d, "nation")  # 25 rows: the sets of four of a small pool are the result itself
+    n = table(spark, d, "nation")  # the sets of four of a small pool are the result itself
+    if n.count() > 128:
+        raise ValueError("sets of four are listed for pools of at most 128")
     k = {x: n.select(F.col("n_nationkey").alias(x), F.col("n_regionkey").alias("r" + x)) for x in "abcd"}
     out = k["a"].join(k["b"], (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).join(k["c"], F.col("b") < F.col("c")).join(k["d"], (F.col("c") < F.col("d")) & (F.col("rc") != F.col("rd")))
     return out.select("a", "b", "c", "d")
@@ -398,7 +400,10 @@ def step_balance(spark, d):
     return n.groupBy("schedule_id", "step").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("items"))
 
 
-@book.query("ck06_prefix", SCHEDULE.format(m=48, t=240) + ", k AS (SELECT schedule_index, doc_id FROM i) SELECT count(*)::BIGINT AS kept, 0::BIGINT AS changed FROM k")
+@book.query(
+    "ck06_prefix",
+    f"SELECT count(*) FILTER (WHERE a.doc_id = b.doc_id)::BIGINT AS kept, count(*) FILTER (WHERE a.doc_id IS DISTINCT FROM b.doc_id)::BIGINT AS changed FROM ({SCHEDULE.format(m=48, t=240)} SELECT schedule_index, doc_id FROM i) a LEFT JOIN ({SCHEDULE.format(m=48, t=960)} SELECT schedule_index, doc_id FROM i) b USING (schedule_index)",
+)
 def prefix(spark, d):
     short, long = scheduled(spark, d, 48, 240).select("schedule_index", "doc_id"), scheduled(spark, d, 48, 960).select("schedule_index", F.col("doc_id").alias("other"))
     j = short.join(long, "schedule_index", "left")

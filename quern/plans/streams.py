@@ -44,7 +44,7 @@ def dedup(spark, d):
 
 @book.query("sx01_stateful_buffer", "SELECT user_id, count(*)::BIGINT AS pushed, least(32, count(*))::BIGINT AS held, (list_sort(list({'t': ts, 'e': event_id})))[greatest(1, count(*) - 31)].e AS oldest FROM events GROUP BY 1")
 def stateful_buffer(spark, d):
-    return S.run_to_table(S.bounded_buffer(events(spark, d), 32), "update")
+    return S.run_to_table(S.bounded_buffer(events(spark, d), 32), "update", ("user_id",))
 
 
 @book.query("jn19_as_of", "SELECT o_orderkey, (SELECT max(event_id) FROM events e WHERE e.user_id = o.u AND e.ts = (SELECT max(ts) FROM events f WHERE f.user_id = o.u AND f.ts <= o.t)) AS event_id FROM (SELECT o_orderkey, o_custkey % 20 + 1 AS u, o_orderdate + INTERVAL 30 years AS t FROM orders) o")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quern.session import scratch
+from quern.session import children, drop_path, scratch
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -15,18 +16,34 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Drain a stream into a parquet table through foreachBatch (so complete and update modes work too) and read
-    it. A batch that runs again overwrites its own folder: exactly once."""
+def run_to_table(stream: DataFrame, mode: str = "append", key: tuple[str, ...] = ()) -> DataFrame:
+    """Drain a stream into a parquet table through foreachBatch and read it. Each batch has a folder of its own, which a
+    batch that runs again overwrites: exactly once. In append mode the table is all folders; in complete mode it is the last
+    one, which holds the whole result, and older ones are removed; in update mode a row replaces the earlier one of its key
+    (the newest folder wins), and without a key every change is kept, with the number of its batch as `epoch`."""
     spark = stream.sparkSession
     out, state = scratch(spark, "stream-out"), scratch(spark, "stream-state")
 
     def sink(df: DataFrame, epoch: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        if mode == "complete" and epoch:
+            drop_path(df.sparkSession, f"{out}/epoch={epoch - 1}")
 
     q = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out).drop("epoch")
+    epochs = sorted(int(x[6:]) for x in children(spark, out) if x.startswith("epoch="))
+    if not epochs:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{out}/epoch={epochs[-1]}")
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("epoch", T.IntegerType())])).parquet(out)
+    if mode == "append":
+        return rows.drop("epoch")
+    if not key:
+        return rows
+    rest = [c for c in stream.columns if c not in key]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "epoch").alias("_r"))
+    return last.select(*(F.col(c) if c in key else F.col(f"_r.{c}").alias(c) for c in stream.columns))
 
 
 def tumbling(stream: DataFrame, width: str, late: str) -> DataFrame:
