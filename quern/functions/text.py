@@ -287,3 +287,25 @@ def canonical_json(*cols: str) -> Column:
 
 def item_hash(*cols: str) -> Column:
     return F.sha2(canonical_json(*cols), 256)
+
+
+#: What wrapping adds to the names of parameters.
+WRAPPERS = ("_fsdp_wrapped_module.", "_checkpoint_wrapped_module.", "_orig_mod.")
+
+
+def parameter_name(c: Column) -> Column:
+    """A parameter's name without what wrappers put into it."""
+    for x in WRAPPERS:
+        c = F.replace(c, F.lit(x), F.lit(""))
+    return c
+
+
+def parameter_group(c: Column) -> Column:
+    """embedding, lm_head, layer_N, final_norm or other."""
+    return (
+        F.when(F.contains(c, F.lit("embed_tokens")), "embedding")
+        .when(F.contains(c, F.lit("lm_head")), "lm_head")
+        .when(c.rlike(r"layers\.[0-9]+\."), F.concat(F.lit("layer_"), F.regexp_extract(c, r"layers\.([0-9]+)\.", 1)))
+        .when(F.contains(c, F.lit("norm")), "final_norm")
+        .otherwise("other")
+    )

@@ -90,6 +90,11 @@ def apply_delta(first: Column, delta: Column) -> Column:
     return F.when(F.map_contains_key(delta, F.lit("__replace__")), F.from_json(F.try_element_at(delta, F.lit("__replace__")), "map<string,string>")).otherwise(merged)
 
 
+def first_broken(rules: list[tuple[str, Column]], fine: str = "ok") -> Column:
+    """The name of the first rule whose condition holds; NULL conditions don't."""
+    return F.coalesce(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules), F.lit(fine))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, n: int, share: float) -> DataFrame:
     """Documents that hold less than `share` of the n-grams of every item."""
     bad = ngram_overlap(docs, items, doc_id, doc_text, item_id, item_text, n).filter(F.col("overlap") >= share * F.col("size")).select(doc_id).distinct()

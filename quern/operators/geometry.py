@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Side of a matrix that may come to the driver.
 MAX_SIDE = 384
@@ -126,3 +127,98 @@ def bootstrap_cosines(stats: DataFrame, draws: int, seed: int) -> DataFrame:
     sums = rows.withColumn("c", count).groupBy("draw").agg(*(F.sum(F.col("c") * F.col(x)).alias(x) for x in ("ab", "aa", "bb")))
     cos = sums.select((F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("cosine"))
     return cos.agg(*(F.percentile("cosine", q).alias(n) for n, q in (("lo", 0.025), ("mid", 0.5), ("hi", 0.975))))
+
+
+def clip_factor(norm: Column, most: float) -> Column:
+    """What a gradient of this norm is multiplied with so that it is no longer than `most`; 1 for a zero norm."""
+    return F.least(F.lit(1.0), F.lit(float(most)) / F.greatest(norm, F.lit(1e-24)))
+
+
+def participation(g: DataFrame) -> DataFrame:
+    """(participation, trace) of a Gram table (a, b, dot) with a <= b, from its traces."""
+    twice = F.when(F.col("a") == F.col("b"), 1.0).otherwise(2.0)
+    trace = F.sum(F.when(F.col("a") == F.col("b"), F.col("dot")))
+    return g.agg((trace * trace / F.nullif(F.sum(twice * F.col("dot") * F.col("dot")), F.lit(0.0))).alias("participation"), trace.alias("trace"))
+
+
+def select_prefix(df: DataFrame, sketch: str, prefix: str = "full", prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """df with the sketch as an array of seeds, each an array of numbers, whatever it came as: a bare vector (only of the full
+    response), vectors by seed, or those by prefix, of which the named one is taken."""
+    depth, kind = 0, df.schema[sketch].dataType
+    while isinstance(kind, T.ArrayType):
+        depth, kind = depth + 1, kind.elementType
+    if depth == 1:
+        if prefix != "full":
+            raise ValueError("a bare vector is of the full response alone")
+        return df.withColumn(sketch, F.array(sketch))
+    if depth == 2:
+        return df
+    if depth != 3:
+        raise ValueError(f"a sketch of depth {depth}")
+    if prefix not in prefixes:
+        raise ValueError(f"{prefix!r} is none of {prefixes}")
+    return df.withColumn(sketch, F.col(sketch)[prefixes.index(prefix)])
+
+
+def rectangular(df: DataFrame, group: str, member: str, vector: str) -> DataFrame:
+    """(group, members, dimension, rectangular): whether every group has as many distinct members, and vectors of one length,
+    as the largest group has."""
+    g = df.groupBy(group, member).agg(F.min(F.size(vector)).alias("lo"), F.max(F.size(vector)).alias("hi"), F.count(F.lit(1)).alias("n"))
+    g = g.groupBy(group).agg(F.count(F.lit(1)).alias("members"), F.min("lo").alias("lo"), F.max("hi").alias("dimension"), F.max("n").alias("n"))
+    most = g.agg(F.max("members").alias("_m"), F.max("dimension").alias("_d"))
+    same = (F.col("members") == F.col("_m")) & (F.col("lo") == F.col("_d")) & (F.col("n") == 1)
+    return g.crossJoin(F.broadcast(most)).select(group, "members", "dimension", same.alias("rectangular"))  # one row
+
+
+def quartet_gap(gram: np.ndarray, low: list[int], high: list[int], split: int, draws: int, seed: int) -> tuple[float, float, float]:
+    """5 %, mean and 95 % of how much more alike the prompts of high are to each other than those of low, when the responses of
+    every half are drawn anew. gram has 2 * split rows for each prompt, in order; two prompts are compared by the mean cosine
+    of one's first half with the other's second. Counts of a half are multinomial, so no draw touches the vectors."""
+    rng, prompts = np.random.Generator(np.random.PCG64(seed)), [*low, *high]
+    counts = rng.multinomial(split, np.full(split, 1 / split), size=(draws, len(prompts), 2)) / split
+    rows = np.array([[np.arange(split) + (2 * p + h) * split for h in (0, 1)] for p in prompts])
+    inner = lambda i, a, j, b: np.einsum("dx,xy,dy->d", counts[:, i, a], gram[np.ix_(rows[i, a], rows[j, b])], counts[:, j, b])
+    norm = {(i, h): np.sqrt(np.maximum(inner(i, h, i, h), 1e-24)) for i in range(len(prompts)) for h in (0, 1)}
+
+    def alike(members: range) -> np.ndarray:
+        pairs = [(i, j) for i in members for j in members if i < j]
+        return sum(inner(i, a, j, 1 - a) / norm[i, a] / norm[j, 1 - a] / 2 for i, j in pairs for a in (0, 1)) / len(pairs)
+
+    gap = alike(range(len(low), len(prompts))) - alike(range(len(low)))
+    return float(np.percentile(gap, 5)), float(gap.mean()), float(np.percentile(gap, 95))
+
+
+def subspace_overlaps(a: np.ndarray, b: np.ndarray, ranks: list[int]) -> list[tuple[int, float, float]]:
+    """(rank, overlap, least cosine) of the leading row spaces of two matrices: the mean squared and the least canonical cosine.
+    Ranks beyond what either matrix has are left out."""
+    u, v = (np.linalg.svd(x, full_matrices=False) for x in (a, b))
+    most = min(int((s[1] > 1e-12 * max(s[1][0], 1e-300)).sum()) for s in (u, v))
+    out = []
+    for r in (r for r in ranks if r <= most):
+        c = np.linalg.svd(u[2][:r] @ v[2][:r].T, compute_uv=False)
+        out.append((r, float((c**2).mean()), float(c.min())))
+    return out
+
+
+def frozen_audit(discovery: np.ndarray, confirmation: np.ndarray, chosen: list[int], draws: int, seed: int, ridge: float = 1.0) -> dict:
+    """A selection made on discovery rows, looked at on confirmation rows only: its log determinant there, where that stands
+    among random sets of its size, and how well the two halves' leading spaces agree. Nothing is selected anew."""
+    gram = confirmation @ confirmation.T / ridge
+    value = lambda s: float(np.linalg.slogdet(np.eye(len(s)) + gram[np.ix_(s, s)])[1])
+    rng = np.random.Generator(np.random.PCG64(seed))
+    ref = np.array([value(rng.choice(len(gram), len(chosen), replace=False)) for _ in range(draws)])
+    own, sd = value(chosen), float(ref.std(ddof=1))
+    (_, overlap, _), *_ = subspace_overlaps(discovery, confirmation, [len(chosen)]) or [(0, float("nan"), 0.0)]
+    return {"value": own, "mean": float(ref.mean()), "sd": sd, "z": (own - float(ref.mean())) / (sd or 1.0), "percentile": float((ref <= own).mean()), "overlap": overlap}
+
+
+def small_matrix(means: DataFrame, label: str) -> tuple[list, np.ndarray]:
+    """Labels and their mean vectors (label, pos, m) as a matrix; refuses over MAX_SIDE labels or 4096 coordinates."""
+    rows = means.select(label, "pos", "m").limit(MAX_SIDE * 4_096 + 1).collect()
+    labels, dims = sorted({r[label] for r in rows}), max((r.pos for r in rows), default=-1) + 1
+    if len(labels) > MAX_SIDE or dims > 4_096:
+        raise ValueError("matrix too large for the driver")
+    at, out = {x: i for i, x in enumerate(labels)}, np.zeros((len(labels), dims))
+    for r in rows:
+        out[at[r[label]], r.pos] = r.m
+    return labels, out

@@ -21,6 +21,21 @@ def range_join(left: DataFrame, right: DataFrame, left_value: str, right_value:
     return a.join(b, [*on, "_cell"]).filter(F.abs(F.col(left_value) - F.col(right_value)) <= width).drop("_cell")
 
 
+def matched_control(units: DataFrame, controls: DataFrame, unit: str, control: str, unit_value: str, control_value: str, tolerances: list[float], on: tuple[str, ...] = ()) -> DataFrame:
+    """(unit, tolerance, control, gap): for each unit that has a control within the widest tolerance, the narrowest one that
+    leaves it any, and the nearest control (of equal gaps the smallest id). Tolerances widen in rounds: only units without a
+    control go on to the next, so a wide one is joined for few."""
+    out, left = None, units.select(unit, unit_value, *on)
+    for t in sorted(tolerances):
+        pairs = range_join(left, controls.select(control, control_value, *on), unit_value, control_value, float(t), on)
+        gap = F.abs(F.col(unit_value) - F.col(control_value))
+        best = pairs.groupBy(unit).agg(F.min(F.struct(F.round(gap, 6).alias("r"), F.col(control).alias("c"), gap.alias("gap"))).alias("b"))
+        found = materialize(best.select(unit, F.lit(t).alias("tolerance"), F.col("b.c").alias(control), F.col("b.gap").alias("gap")), "matched")
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found.select(unit), unit, "left_anti")
+    return out
+
+
 def as_of_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, on: list[str]) -> DataFrame:
     """Each left row with the latest right row at or before it (NULLs if there is none), of several at one time the one
     whose other columns are largest. Both sides are range partitioned by key and time together, each row takes the last

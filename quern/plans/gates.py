@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
-from quern.operators import replay, schedule, score
+from quern.operators import geometry, replay, schedule, score
+from quern.operators.ranks import ranked
 from quern.plans.base import Book, table
 from quern.session import scratch
 from quern.sources.files import read_steps
@@ -146,10 +148,66 @@ def step_records(spark, d):
 
 @book.query(
     "af06_prefix_of_any_rank",
-    "SELECT vec_id, list_transform(list_slice(embedding, 1, 4), lambda x: round(x::DOUBLE, 6)) AS flat, list_transform(list_slice(embedding, 1, 8), lambda x: round(x::DOUBLE, 6)) AS rows FROM embeddings",
+    "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS bare, round(2 * list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS seeds, round(list_sum(list_transform(list_slice(embedding, 1, 8), lambda x: x::DOUBLE)), 5) AS prefixes FROM embeddings",
 )
 def prefix_of_any_rank(spark, d):
-    """The first part along the sample axis, whatever stands below it: of a vector its first numbers, of a matrix its first rows."""
-    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("v"))
-    m = F.transform(F.sequence(F.lit(0), F.floor((F.size("v") - 1) / 4).cast("int")), lambda i: F.slice("v", i * 4 + 1, 4))
-    return e.select("vec_id", F.slice("v", 1, 4).alias("flat"), F.flatten(F.slice(m, 1, 2)).alias("rows"))
+    """Sketches of three layouts brought to one (seeds of vectors), and summed."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    total = lambda c: F.round(F.aggregate(F.flatten(c), F.lit(0.0), lambda a, x: a + x), 5)
+    bare = geometry.select_prefix(e, "v").select("vec_id", total("v").alias("bare"))
+    seeds = geometry.select_prefix(e.withColumn("v", F.array("v", "v")), "v").select("vec_id", total("v").alias("seeds"))
+    by_prefix = e.withColumn("v", F.array(F.array("v"), F.array(F.slice("v", 1, 8))))
+    prefixes = geometry.select_prefix(by_prefix, "v", "head", ("full", "head")).select("vec_id", total("v").alias("prefixes"))
+    return bare.join(seeds, "vec_id").join(prefixes, "vec_id")
+
+
+@book.query(
+    "sc16_rectangular_cohort",
+    """WITH g AS (SELECT label, vec_id % 4 AS member, count(*) AS n, min(len(embedding)) AS lo, max(len(embedding)) AS hi FROM embeddings GROUP BY ALL),
+    s AS (SELECT label, count(*) AS members, min(lo) AS lo, max(hi) AS dimension, max(n) AS n FROM g GROUP BY 1)
+    SELECT label, members::BIGINT AS members, dimension::INTEGER AS dimension, (members = max(members) OVER () AND lo = max(dimension) OVER () AND n = 1) AS rectangular FROM s""",
+)
+def rectangular_cohort(spark, d):
+    e = table(spark, d, "embeddings").select("label", (F.col("vec_id") % 4).alias("member"), "embedding")
+    return geometry.rectangular(e, "label", "member", "embedding")
+
+
+def _labels(spark, d, half):
+    """Label means of half the vectors, a matrix that is checked to be small."""
+    m = geometry.mean_vectors(table(spark, d, "embeddings").filter(f"vec_id % 2 = {half}"), "label", "embedding")
+    return geometry.small_matrix(m, "label")[1]
+
+
+@book.query("an10_separation_bounds")
+def separation_bounds(spark, d):
+    """Bounds of how much more alike labels 4 to 7 are than 0 to 3, when their first eight vectors, two halves of four, are drawn anew."""
+    e = table(spark, d, "embeddings").filter("label < 8").select("label", "vec_id", "embedding")
+    rows = ranked(e, ["vec_id"], "r", ("label",)).filter("r <= 8").orderBy("label", "r").select("embedding").collect()  # 64 vectors
+    if len(rows) < 64:
+        return spark.createDataFrame([], "low double, mean double, high double")
+    v = np.array([r.embedding for r in rows], float)
+    return spark.createDataFrame([geometry.quartet_gap(v @ v.T, [0, 1, 2, 3], [4, 5, 6, 7], 4, 2_000, 42)], "low double, mean double, high double")
+
+
+@book.query("an20_rank_geometry")
+def rank_geometry(spark, d):
+    a, b = _labels(spark, d, 0), _labels(spark, d, 1)
+    n = min(len(a), len(b))
+    a, b = (x[:n] - x[:n].mean(0) for x in (a, b))
+    return spark.createDataFrame(geometry.subspace_overlaps(a, b, [1, 2, 4, 8]), "rank int, overlap double, least_cosine double")
+
+
+@book.query("an22_frozen_audit")
+def frozen_audit(spark, d):
+    """Four labels chosen by greedy D-optimality on one half of the vectors, looked at on the other."""
+    a, b = _labels(spark, d, 0), _labels(spark, d, 1)
+    n = min(len(a), len(b))
+    inv, chosen = np.eye(a.shape[1]), []
+    for _ in range(min(4, n)):
+        gain = np.round(np.einsum("ij,jk,ik->i", a[:n], inv, a[:n]), 9)
+        gain[chosen] = -1
+        chosen.append(int(np.argmax(gain)))
+        z = inv @ a[chosen[-1]]
+        inv -= np.outer(z, z) / (1 + a[chosen[-1]] @ z)
+    r = geometry.frozen_audit(a[:n], b[:n], chosen, 500, 42)
+    return spark.createDataFrame([tuple(r.values())], ", ".join(f"{k} double" for k in r))

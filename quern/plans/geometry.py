@@ -125,12 +125,12 @@ def restricted_kl(spark, d):
     return li.groupBy("l_orderkey").agg(F.round(F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))), 9).alias("kl"))
 
 
-@book.query("mf03_fisher_norm", "WITH s AS (SELECT l_orderkey, l_discount AS v, l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey) AS p FROM lineitem), m AS (SELECT *, sum(p * v) OVER (PARTITION BY l_orderkey) AS c FROM s) SELECT l_orderkey, round(sum(p * (v - c) * (v - c)), 6) AS fisher FROM m GROUP BY 1")
+@book.query("mf03_fisher_norm", "WITH s AS (SELECT l_orderkey, l_discount AS v, l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey) AS p FROM lineitem), m AS (SELECT *, sum(p * v) OVER (PARTITION BY l_orderkey) AS c FROM s) SELECT l_orderkey, round(sum(p * (v - c) * (v - c)), 15) AS fisher FROM m GROUP BY 1")
 def fisher_norm(spark, d):
     w = W.partitionBy("l_orderkey")  # the ids kept at one position are few
     s = table(spark, d, "lineitem").select("l_orderkey", F.col("l_discount").alias("v"), (F.col("l_quantity") / F.sum("l_quantity").over(w)).alias("p"))
     x = F.sqrt("p") * (F.col("v") - F.sum(F.col("p") * F.col("v")).over(w))
-    return s.withColumn("x", x).groupBy("l_orderkey").agg(F.round(F.sum(F.col("x") * F.col("x")), 6).alias("fisher"))
+    return s.withColumn("x", x).groupBy("l_orderkey").agg(F.round(F.sum(F.col("x") * F.col("x")), 15).alias("fisher"))
 
 
 @book.query("mf04_fit", "SELECT l_returnflag AS g, round(sum(x * y) / sum(x * x), 9) AS alpha, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 9) AS cosine, round(sqrt(sum(y * y) / sum(x * x)), 9) AS ratio FROM (SELECT l_returnflag, l_discount AS x, l_tax AS y FROM lineitem) GROUP BY 1")
@@ -214,10 +214,20 @@ def clipping(spark, d):
     return means(spark, d).groupBy("label").agg(F.round(F.least(F.lit(1.0), 0.5 / F.sqrt(F.sum(F.col("m") * F.col("m")))), 6).alias("factor"))
 
 
-@book.query("an17_policy_delta", "SELECT d, round(sum(x), 6) AS total, round(sum(x * x), 6) AS energy, count(*)::BIGINT AS n FROM (SELECT l_returnflag AS d, l_discount - l_tax AS x FROM lineitem) GROUP BY GROUPING SETS ((d), ())")
+@book.query(
+    "an17_policy_delta",
+    """WITH base AS (SELECT l_orderkey AS probe, l_linenumber AS pos, min(l_returnflag) AS d, min(l_discount) AS lp FROM lineitem GROUP BY ALL),
+    model AS (SELECT l_orderkey AS probe, l_linenumber AS pos, min(l_tax) AS lp FROM lineitem WHERE l_quantity >= 5 GROUP BY ALL),
+    j AS (SELECT d, m.lp - b.lp AS x FROM base b LEFT JOIN model m USING (probe, pos))
+    SELECT d, round(sum(x), 6) AS total, round(sum(x * x), 6) AS energy, count(x)::BIGINT AS n, count(*) FILTER (WHERE x IS NULL)::BIGINT AS missing FROM j GROUP BY GROUPING SETS ((d), ())""",
+)
 def policy_delta(spark, d):
-    li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("d"), (F.col("l_discount") - F.col("l_tax")).alias("x"))
-    return li.rollup("d").agg(F.round(F.sum("x"), 6).alias("total"), F.round(F.sum(F.col("x") * F.col("x")), 6).alias("energy"), F.count(F.lit(1)).alias("n"))
+    """Log-probability differences of two models on the chosen tokens, met by probe and position; positions only one has are counted."""
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("probe"), F.col("l_linenumber").alias("pos"), "l_returnflag", "l_discount", "l_tax", "l_quantity")
+    base = li.groupBy("probe", "pos").agg(F.min("l_returnflag").alias("d"), F.min("l_discount").alias("lp"))
+    model = li.filter("l_quantity >= 5").groupBy("probe", "pos").agg(F.min("l_tax").alias("lp2"))
+    j = base.join(model, ["probe", "pos"], "left").select("d", (F.col("lp2") - F.col("lp")).alias("x"))
+    return j.rollup("d").agg(F.round(F.sum("x"), 6).alias("total"), F.round(F.sum(F.col("x") * F.col("x")), 6).alias("energy"), F.count("x").alias("n"), F.count(F.when(F.col("x").isNull(), 1)).alias("missing"))
 
 
 @book.query("an19_reproducibility", "WITH v AS (SELECT label, vec_id % 2 AS half, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, pos, avg(x) FILTER (WHERE half = 0) AS a, avg(x) FILTER (WHERE half = 1) AS b FROM v GROUP BY ALL) SELECT label, round(sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 6) AS cosine FROM m WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1")

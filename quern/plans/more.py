@@ -260,12 +260,24 @@ def fisher_report(spark, d):
 
 @book.query(
     "an21_regimes",
-    "SELECT 'equal' AS regime, round(avg(c_acctbal), 4) AS value FROM customer UNION ALL SELECT 'token', round(sum(c_acctbal * length(c_name)) / sum(length(c_name)), 4) FROM customer UNION ALL SELECT 'position', round(sum(c_acctbal * (1 + c_custkey % 3)) / sum(1 + c_custkey % 3), 4) FROM customer",
+    """WITH e AS (SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x, 1 + vec_id % 7 AS tokens, 1 + vec_id % 3 AS places FROM embeddings),
+    m AS (SELECT 'equal' AS regime, label, pos, avg(x) AS g FROM e GROUP BY ALL UNION ALL SELECT 'token', label, pos, sum(x * tokens) / sum(tokens) FROM e GROUP BY label, pos UNION ALL SELECT 'position', label, pos, sum(x * places) / sum(places) FROM e GROUP BY label, pos),
+    c AS (SELECT regime, least(1, 0.25 / sqrt(sum(p * p))) AS clip FROM (SELECT regime, pos, avg(g) AS p FROM m GROUP BY ALL) GROUP BY regime),
+    q AS (SELECT regime, pos, avg(g * clip) AS common FROM m JOIN c USING (regime) GROUP BY ALL)
+    SELECT regime, any_value(round(clip, 6)) AS clip, round(sum(g * clip * g * clip), 6) AS energy, round(sum(g * clip * common), 6) AS along, round(sum((g * clip - common) * (g * clip - common)), 6) AS between FROM m JOIN c USING (regime) JOIN q USING (regime, pos) GROUP BY regime""",
 )
 def regimes(spark, d):
-    c = table(spark, d, "customer")
-    w = F.explode(F.array(*(F.struct(F.lit(n).alias("regime"), x.cast("double").alias("w")) for n, x in (("equal", F.lit(1.0)), ("token", F.length("c_name")), ("position", 1 + F.col("c_custkey") % 3))))).alias("k")
-    return c.select("c_acctbal", w).groupBy("k.regime").agg(F.round(F.sum(F.col("c_acctbal") * F.col("k.w")) / F.sum("k.w"), 4).alias("value"))
+    """Label means under three weightings of the same rows, each clipped once by the norm of its pooled mean, and the energy, the
+    part along the common mean and the part between labels that remain."""
+    e = table(spark, d, "embeddings").select("label", (1 + F.col("vec_id") % 7).cast("double").alias("tokens"), (1 + F.col("vec_id") % 3).cast("double").alias("places"), F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+    kinds = F.array(*(F.struct(F.lit(n).alias("regime"), w.alias("w")) for n, w in (("equal", F.lit(1.0)), ("token", F.col("tokens")), ("position", F.col("places")))))
+    m = e.withColumn("k", F.explode(kinds)).groupBy(F.col("k.regime").alias("regime"), "label", "pos").agg((F.sum(F.col("x") * F.col("k.w")) / F.sum("k.w")).alias("g"))
+    pooled = m.groupBy("regime", "pos").agg(F.avg("g").alias("p"))
+    clip = pooled.groupBy("regime").agg(geometry.clip_factor(F.sqrt(F.sum(F.col("p") * F.col("p"))), 0.25).alias("clip"))
+    c = m.join(F.broadcast(clip), "regime").join(pooled, ["regime", "pos"]).select("regime", "clip", (F.col("g") * F.col("clip")).alias("g"), (F.col("p") * F.col("clip")).alias("p"))  # three rows
+    total = lambda x, n: F.round(F.sum(x), 6).alias(n)
+    g, p = F.col("g"), F.col("p")
+    return c.groupBy("regime").agg(F.round(F.first("clip"), 6).alias("clip"), total(g * g, "energy"), total(g * p, "along"), total((g - p) * (g - p), "between"))
 
 
 @book.query("an22_confirmation", "WITH s AS (SELECT label, vec_id % 2 AS half, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, half, pos, avg(x) AS m FROM s GROUP BY ALL) SELECT label, half, round(sqrt(sum(m * m)), 6) AS norm FROM m GROUP BY ALL")
@@ -401,10 +413,16 @@ def eigenvalues(spark, d):
     return geometry.spectrum(geometry.gram(geometry.mean_vectors(table(spark, d, "embeddings"), "label", "embedding"), "label")).select("k", "value")
 
 
-@book.query("mf07_participation", "WITH e AS (SELECT p_brand, sum(p_size) AS v FROM part GROUP BY 1) SELECT round(sum(v) * sum(v) / sum(v * v), 6) AS participation, round(sum(v) / max(v), 6) AS stable_rank FROM e")
+@book.query(
+    "mf07_participation",
+    """WITH m AS (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL),
+    g AS (SELECT a.label AS a, b.label AS b, sum(a.m * b.m) AS dot FROM m a JOIN m b USING (pos) GROUP BY ALL)
+    SELECT round(sum(dot) FILTER (WHERE a = b) * sum(dot) FILTER (WHERE a = b) / sum(dot * dot), 6) AS participation, round(sum(dot) FILTER (WHERE a = b), 6) AS trace FROM g""",
+)
 def participation(spark, d):
-    e = table(spark, d, "part").groupBy("p_brand").agg(F.sum("p_size").cast("double").alias("v"))
-    return e.agg(F.round(F.sum("v") * F.sum("v") / F.sum(F.col("v") * F.col("v")), 6).alias("participation"), F.round(F.sum("v") / F.max("v"), 6).alias("stable_rank"))
+    """Of the spectrum of a Gram matrix, from its traces: (sum of eigenvalues)^2 over the sum of their squares, which needs no eigenvalue."""
+    g = geometry.gram(geometry.mean_vectors(table(spark, d, "embeddings"), "label", "embedding"), "label")
+    return geometry.participation(g).select(F.round("participation", 6).alias("participation"), F.round("trace", 6).alias("trace"))
 
 
 @book.query("mf12_splitmix")
@@ -430,15 +448,19 @@ def first_elements(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x.cast("double"), 5)).alias("head"))
 
 
-@book.query("an15_widened_control", "WITH p AS (SELECT abs(c_acctbal - s_acctbal) AS gap FROM customer JOIN supplier ON c_nationkey = s_nationkey) SELECT tau, count(*)::BIGINT AS pairs FROM p, (SELECT unnest([5, 10, 20]) AS tau) WHERE gap <= tau GROUP BY tau")
+@book.query(
+    "an15_widened_control",
+    """WITH p AS (SELECT c_custkey, s_suppkey, abs(c_acctbal - s_acctbal) AS gap FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE abs(c_acctbal - s_acctbal) <= 500),
+    b AS (SELECT c_custkey, arg_min(s_suppkey, (round(gap, 6), s_suppkey)) AS control, min(gap) AS gap FROM p GROUP BY 1)
+    SELECT c_custkey, CASE WHEN gap <= 5 THEN 5 WHEN gap <= 50 THEN 50 ELSE 500 END AS tolerance, control, round(gap, 6) AS gap FROM b""",
+)
 def widened_control(spark, d):
-    from quern.operators.joins import range_join
+    """For each unit the narrowest tolerance that leaves it a control, and the nearest control at it."""
+    from quern.operators.joins import matched_control
 
-    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_acctbal")
-    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), "s_acctbal")
-    p = range_join(c, s, "c_acctbal", "s_acctbal", 20.0, ("nation",)).select(F.abs(F.col("c_acctbal") - F.col("s_acctbal")).alias("gap"))
-    taus = F.explode(F.filter(F.array(*map(F.lit, (5, 10, 20))), lambda t: F.col("gap") <= t))
-    return p.select(taus.alias("tau")).groupBy("tau").agg(F.count(F.lit(1)).alias("pairs"))
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("control"), "s_acctbal")
+    return matched_control(c, s, "c_custkey", "control", "c_acctbal", "s_acctbal", [5, 50, 500], ("nation",)).select("c_custkey", "tolerance", "control", F.round("gap", 6).alias("gap"))
 
 
 @book.query("an20_crossfit_between")
@@ -449,12 +471,28 @@ def crossfit_between(spark, d):
     return spark.createDataFrame([(float(ev.sum()), float(ev[ev > 0].sum()), float(-ev[ev < 0].sum()))], "signed double, positive double, negative double")
 
 
-@book.query("ck11_identity", "SELECT count(DISTINCT source_revision)::BIGINT AS revisions, source FROM sft_candidate GROUP BY source")
+@book.query("ck11_identity", "SELECT source, count(DISTINCT source_revision)::BIGINT AS revisions, count(*) FILTER (WHERE source_revision IS NULL)::BIGINT AS unknown, (count(DISTINCT source_revision) = 1 AND count(*) FILTER (WHERE source_revision IS NULL) = 0) AS identical FROM sft_candidate GROUP BY source")
 def identity(spark, d):
     g = table(spark, d, "sft_candidate").groupBy("source", "source_revision").agg(F.count(F.lit(1)).alias("n"))
-    return g.groupBy("source").agg(F.count("source_revision").alias("revisions"))
+    out = g.groupBy("source").agg(F.count("source_revision").alias("revisions"), F.coalesce(F.sum(F.when(F.col("source_revision").isNull(), F.col("n"))), F.lit(0)).alias("unknown"))
+    return out.withColumn("identical", (F.col("revisions") == 1) & (F.col("unknown") == 0))
 
 
-@book.query("ck12_contract", "SELECT verification_level, count(*)::BIGINT AS n, bool_and(coalesce(rendered.n_tokens, 1) < 100000) AS bounded FROM sft_candidate GROUP BY 1")
+@book.query(
+    "ck12_contract",
+    """SELECT CASE WHEN rendered IS NULL OR rendered.n_tokens IS NULL THEN 'not_rendered' WHEN rendered.truncated THEN 'truncated' WHEN rendered.assistant_tokens > rendered.n_tokens THEN 'assistant_exceeds_total' WHEN rendered.n_tokens > 400 THEN 'too_long'
+    WHEN license IS NULL THEN 'no_license' WHEN coalesce(family_id, '') = '' THEN 'no_family' ELSE 'ok' END AS verdict, count(*)::BIGINT AS n, sum(coalesce(rendered.n_tokens, 0))::BIGINT AS tokens FROM sft_candidate GROUP BY 1""",
+)
 def contract(spark, d):
-    return table(spark, d, "sft_candidate").groupBy("verification_level").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce("rendered.n_tokens", F.lit(1)) < 100000).alias("bounded"))
+    """The first rule of a training row's contract that it breaks."""
+    r = F.col("rendered")
+    rules = [
+        ("not_rendered", r["n_tokens"].isNull()),
+        ("truncated", r["truncated"]),
+        ("assistant_exceeds_total", r["assistant_tokens"] > r["n_tokens"]),
+        ("too_long", r["n_tokens"] > 400),
+        ("no_license", F.col("license").isNull()),
+        ("no_family", F.coalesce("family_id", F.lit("")) == ""),
+    ]
+    rows = table(spark, d, "sft_candidate").select(curate.first_broken(rules).alias("verdict"), F.coalesce(r["n_tokens"], F.lit(0)).alias("t"))
+    return rows.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("tokens"))

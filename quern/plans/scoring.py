@@ -118,13 +118,18 @@ def text_hash(spark, d):
     return table(spark, d, "sft_candidate").filter("code IS NOT NULL").select("cand_id", F.sha2("code", 256).alias("h"))
 
 
+_NAME = "'_fsdp_wrapped_module.' || CASE WHEN p_size < 10 THEN 'model.embed_tokens.weight' WHEN p_size < 15 THEN 'model.norm._flat_param' WHEN p_size < 20 THEN 'lm_head.weight' ELSE 'model.layers.' || p_size || '._checkpoint_wrapped_module.mlp.weight' END"
+
+
 @book.query(
     "sf24_group_names",
-    "SELECT g, count(*)::BIGINT AS n FROM (SELECT CASE WHEN p_type LIKE 'SMALL%' THEN 'embedding' WHEN p_type LIKE 'PROMO%' THEN 'final_norm' WHEN regexp_matches(p_brand, '[0-9]') THEN 'layer_' || regexp_extract(p_brand, '([0-9]+)', 1) ELSE 'other' END AS g FROM part) GROUP BY g",
+    f"""WITH n AS (SELECT replace(replace({_NAME}, '_fsdp_wrapped_module.', ''), '_checkpoint_wrapped_module.', '') AS name FROM part)
+    SELECT name, CASE WHEN contains(name, 'embed_tokens') THEN 'embedding' WHEN contains(name, 'lm_head') THEN 'lm_head' WHEN regexp_matches(name, 'layers[.][0-9]+[.]') THEN 'layer_' || regexp_extract(name, 'layers[.]([0-9]+)[.]', 1) WHEN contains(name, 'norm') THEN 'final_norm' ELSE 'other' END AS g, count(*)::BIGINT AS n FROM n GROUP BY ALL""",
 )
 def group_names(spark, d):
-    g = F.when(F.startswith("p_type", F.lit("SMALL")), "embedding").when(F.startswith("p_type", F.lit("PROMO")), "final_norm").when(F.col("p_brand").rlike("[0-9]"), F.concat(F.lit("layer_"), F.regexp_extract("p_brand", "([0-9]+)", 1))).otherwise("other")
-    return table(spark, d, "part").groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    raw = F.expr(_NAME.replace("p_size ||", "cast(p_size as string) ||"))
+    name = X.parameter_name(raw)
+    return table(spark, d, "part").groupBy(name.alias("name"), X.parameter_group(name).alias("g")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @book.query("hx01_item_hash", "SELECT n_nationkey, sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}') AS h FROM nation")
