@@ -71,34 +71,41 @@ SORRY = re.compile(
 )
 #: Words in which somebody speaks of themselves.
 PERSON = re.compile(r"\b(?:i|i'm|i’m|we|my|je|j'|ich|mir|wir|me|yo|lo siento|no puedo|no voy)\b", re.I)
-#: Marks of programs in other languages; at least two different ones make a vote.
+#: A text without any of these holds no phrase of REFUSE: a cheap look before the search.
+REFUSE_HINTS = ("can't ", "can’t ", "cant ", "cannot ", "declin", "won't be", "won’t be", "wont be", "will not ", "able to", "not be appropriate", "outside ", "not something", "not a thing", "guidelines", "refus", "no code will", "against my", "pas", "impossible de", "dois d", "nicht", "ablehnen", "no puedo", "no debo", "no voy", "posible", "debo rechazar", "tengo que", "prefiero no")
+#: The words phrases of PLACEHOLDER are made of: a text with another word isn't made of them alone.
+PLACEHOLDER_WORDS = frozenset(
+    "to do todo fix me fixme pass none null n a na tbd empty placeholder your the my write add insert put some code solution answer implementation goes comes is will be follows below here added later soon python not yet implemented implement this raise notimplementederror error coming ellipsis".split()
+)
+#: Marks of programs in other languages, each with the texts one of which it can't do without; at least two different marks make a
+#: vote.
 FOREIGN = [
-    re.compile(x, re.M)
-    for x in (
-        r"#include\s*<",
-        r"using namespace",
-        r"\b(?:int|void)\s+main\s*\(",
-        r"\bstd::|\bcout\b|\bcin\b|\bendl\b",
-        r"\bpublic\s+(?:static|class)\b",
-        r"System\.out|String\[\]",
-        r"^\s*package\s+\w+",
-        r"\bfunc\s+\w+\s*\(",
-        r":=",
-        r"\bfmt\.\w+",
-        r"^\s*(?:pub\s+)?fn\s+\w+",
-        r"\blet\s+(?:mut\s+)?\w+",
-        r"println!|&?vec!|&Vec<|\bu64\b|\bi64\b",
-        r"^\s*(?:const|let|var)\s+[\w{\[]+.*=",
-        r"=>\s*[{(]?",
-        r"\bfunction\s+\w*\s*\(",
-        r"console\.log|require\(",
-        r"[;{}]\s*$",
-        r"\bend\s*$|\bputs\b|\bdo\s*\|",
-        r"<\?php|\$\w+\s*=",
-        r"\bSELECT\b.+\bFROM\b",
-        r"\bfun\s+main|\bval\s+\w+\s*=",
-        r"\bConsole\.Write|\bnamespace\s+\w+",
-        r"\blong\s+long\b|\bvector<",
+    (hints, re.compile(x, re.M))
+    for hints, x in (
+        (("#include",), r"#include\s*<"),
+        (("using namespace",), r"using namespace"),
+        (("main",), r"\b(?:int|void)\s+main\s*\("),
+        (("std::", "cout", "cin", "endl"), r"\bstd::|\bcout\b|\bcin\b|\bendl\b"),
+        (("public",), r"\bpublic\s+(?:static|class)\b"),
+        (("System.out", "String[]"), r"System\.out|String\[\]"),
+        (("package",), r"^\s*package\s+\w+"),
+        (("func",), r"\bfunc\s+\w+\s*\("),
+        ((":=",), r":="),
+        (("fmt.",), r"\bfmt\.\w+"),
+        (("fn",), r"^\s*(?:pub\s+)?fn\s+\w+"),
+        (("let",), r"\blet\s+(?:mut\s+)?\w+"),
+        (("println!", "vec!", "&Vec<", "u64", "i64"), r"println!|&?vec!|&Vec<|\bu64\b|\bi64\b"),
+        (("const", "let", "var"), r"^\s*(?:const|let|var)\s+[\w{\[]+.*="),
+        (("=>",), r"=>\s*[{(]?"),
+        (("function",), r"\bfunction\s+\w*\s*\("),
+        (("console.log", "require("), r"console\.log|require\("),
+        ((";", "{", "}"), r"[;{}]\s*$"),
+        (("end", "puts", "do"), r"\bend\s*$|\bputs\b|\bdo\s*\|"),
+        (("<?php", "$"), r"<\?php|\$\w+\s*="),
+        (("SELECT",), r"\bSELECT\b.+\bFROM\b"),
+        (("fun", "val"), r"\bfun\s+main|\bval\s+\w+\s*="),
+        (("Console.Write", "namespace"), r"\bConsole\.Write|\bnamespace\s+\w+"),
+        (("long", "vector<"), r"\blong\s+long\b|\bvector<"),
     )
 ]
 PYTHON = re.compile(r"^\s*(?:def \w+\s*\(|class \w+\s*[:(]|import \w+|from \w+ import|for \w.* in |while .+:|if .+:|elif .+:|else:|return\b|print\(|@\w+|\w[\w, ]*\s*[-+*/%&|^]?=\s*\S)", re.M)
@@ -111,6 +118,10 @@ STOP = {
 }
 STOP = {k: frozenset(v) for k, v in STOP.items()}
 WORD = re.compile(r"[^\W_]+")
+PRINTS = re.compile(r"\s*(?:print|sys\.stdout\.write)\(.*\)\s*", re.S)
+COMMENT_MARK = re.compile(r"^\s*(?:#+|//+|\*)\s?", re.M)
+PRINTED = re.compile(r'^\s*(?:print|sys\.stdout\.write)\s*\(\s*[frb]?(["\'])(.*)\1\s*\)\s*$', re.S)
+QUOTES = re.compile(r'"""|\'\'\'|/\*|\*/')
 
 
 def _vote(yes: bool) -> int:
@@ -131,9 +142,8 @@ def body_of(code: str) -> str:
 
 def _plain(text: str) -> str:
     """The text without comment marks, quotes and a print around it."""
-    t = re.sub(r"^\s*(?:#+|//+|\*)\s?", "", text, flags=re.M)
-    t = re.sub(r'^\s*(?:print|sys\.stdout\.write)\s*\(\s*[frb]?(["\'])(.*)\1\s*\)\s*$', r"\2", t, flags=re.S)
-    return re.sub(r'"""|\'\'\'|/\*|\*/', " ", t).strip()
+    t = COMMENT_MARK.sub("", text) if "#" in text or "//" in text or "*" in text else text
+    return QUOTES.sub(" ", PRINTED.sub(r"\2", t)).strip()
 
 
 def parse(body: str) -> tuple[ast.Module | None, bool]:
@@ -243,16 +253,17 @@ def code_votes(problem: str | None, code: str | None) -> list[list[int]]:
     plain = _plain(body)
     bare = TAG.sub(" ", plain)
     words = WORD.findall(lowered(bare))
-    left = PLACEHOLDER.sub(" ", bare)
+    only_stands_for = PLACEHOLDER_WORDS.issuperset(words) and not WORD.search(PLACEHOLDER.sub(" ", bare))
     only_prose = "```" in code and not body.strip() and len(WORD.findall(lowered(FENCE.sub(" ", code)))) >= 12
     trivial = tree is not None and not computes and all(
         isinstance(n, ast.Pass) or isinstance(n, ast.Expr) and (isinstance(n.value, ast.Constant) and not isinstance(n.value.value, str) or isinstance(n.value, ast.Name)) or ast.unparse(n).upper() in ("N / A", "''", '""') for n in tree.body
     )
-    has_python = len(PYTHON.findall(body)) > 0 and not re.fullmatch(r"\s*(?:print|sys\.stdout\.write)\(.*\)\s*", body, re.S)
-    empty = [_vote(not words and not only_prose), _vote(not WORD.search(left) and not only_prose), NONE if tree is None or words and not tree.body else _vote(trivial and len(words) <= 8), _vote(len(words) <= 5 and not has_python), works]
+    has_python = PYTHON.search(body) is not None and not PRINTS.fullmatch(body)
+    empty = [_vote(not words and not only_prose), _vote(only_stands_for and not only_prose), NONE if tree is None or words and not tree.body else _vote(trivial and len(words) <= 8), _vote(len(words) <= 5 and not has_python), works]
 
     talk = plain if "```" not in code else plain + "\n" + FENCE.sub(" ", code)
-    refuses, sorry = bool(REFUSE.search(talk)), bool(SORRY.search(plain))
+    low = talk.lower()
+    refuses, sorry = any(x in low for x in REFUSE_HINTS) and bool(REFUSE.search(talk)), bool(SORRY.search(plain))
     prose = not has_python and not re.search(r"[;{}]\s*$|^\s*(?:#include|package |fn |func )", body, re.M)
     refusal = [_vote(refuses), _vote(sorry), _vote(prose and len(words) <= 60), YES if PERSON.search(plain[:80]) else NONE, works]
 
@@ -260,18 +271,22 @@ def code_votes(problem: str | None, code: str | None) -> list[list[int]]:
         copied = [NONE if problem is None else NO, NONE if problem is None else NO, _vote(False) if len(words) < 5 else NONE, works]
     else:
         own = WORD.findall(lowered(problem))
-        there, said = " " + " ".join(own), " ".join(words)
-        labelled = any(" " + " ".join(words[k:]) in there for k in range(0, min(5, len(words) - 4)))
-        grams = set(zip(own, own[1:], own[2:]))
-        mine = list(zip(words, words[1:], words[2:]))
-        share = sum(g in grams for g in mine) / max(1, len(mine))
+        there, said, known = " " + " ".join(own), " ".join(words), set(own)
+        strange = sum(w not in known for w in words)
+        labelled = strange < 5 and any(" " + " ".join(words[k:]) in there for k in range(0, min(5, len(words) - 4)))
+        share = 0.0
+        if strange <= 0.2 * len(words) + 2:  # each other word is in a run of three of its own
+            grams = set(zip(own, own[1:], own[2:]))
+            mine = list(zip(words, words[1:], words[2:]))
+            share = sum(g in grams for g in mine) / max(1, len(mine))
         copied = [_vote(labelled), _vote(share >= 0.8), _vote(len(said) <= 1.2 * len(there) and not has_python), works]
 
     if stub and not refuses and not sorry and YES not in copied[:2]:
         empty = [_vote(not words), YES, YES, YES, NONE]  # what its docstrings say is no answer
 
-    marks = sum(bool(r.search(body)) for r in FOREIGN)
-    foreign = [_vote(marks >= 2), _vote(tree is None and not stops), _vote(len(re.findall(r"[;{}]", body)) >= 3 and ";" in body), _vote(not has_python and marks >= 1), works]
+    marks = sum(any(x in body for x in hints) and bool(r.search(body)) for hints, r in FOREIGN)
+    ends = body.count(";") + body.count("{") + body.count("}")
+    foreign = [_vote(marks >= 2), _vote(tree is None and not stops), _vote(ends >= 3 and ";" in body), _vote(not has_python and marks >= 1), works]
 
     speech = words if prose else []
     lang = language(speech) if len(speech) >= 5 else None
