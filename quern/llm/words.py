@@ -59,7 +59,11 @@ def consistent(text: str | None) -> str | None:
     """One consistent form for texts that look the same. NULL stays NULL; ASCII text is its own form."""
     if text is None or text.isascii():
         return text
-    return unicodedata.normalize("NFC", text.translate(form_table()))
+    table = form_table()
+    for ch in set(text):  # what a character becomes is itself in the form, so the order doesn't matter
+        if not ch.isascii() and (form := table.get(ord(ch))) is not None:
+            text = text.replace(ch, form)
+    return unicodedata.normalize("NFC", text)
 
 
 def lowered(text: str | None) -> str:

@@ -23,3 +23,8 @@ def test_consistent_form():
     for same in ("x²", "“q”", "a—b", "A\r\nb", "ß", "Straße"):
         assert words.consistent(same) == same
     assert words.consistent(None) is None
+
+
+def test_forms_are_their_own_forms():
+    table = words.form_table()
+    assert all(ord(c) not in table for f in table.values() for c in f)
