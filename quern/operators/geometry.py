@@ -222,3 +222,12 @@ def small_matrix(means: DataFrame, label: str) -> tuple[list, np.ndarray]:
     for r in rows:
         out[at[r[label]], r.pos] = r.m
     return labels, out
+
+
+def influence(df: DataFrame, loss: str, base: str, teacher: str) -> DataFrame:
+    """df with the gain of a model over the base and its share of the teacher's gap. A gap that isn't positive is an error, since no
+    share of it means anything; NULL losses give NULLs."""
+    gap = F.col(base) - F.col(teacher)
+    checked = F.when(gap <= 0, F.raise_error(F.lit("the teacher is no better than the base")).cast("double")).otherwise(gap)
+    gain = F.col(base) - F.col(loss)
+    return df.withColumn("gain", gain).withColumn("fraction", gain / checked)

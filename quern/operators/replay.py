@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from quern.functions.mixing import mix
 from quern.functions.text import stable_hash
-from quern.operators.ranks import running_sums
+from quern.operators.ranks import ranked, running_sums
 
 
 def uniform(*parts: Column | int | str) -> Column:
@@ -113,3 +113,18 @@ def cycle_draws(costs: DataFrame, batch: str, draw: str, cost: str, fraction: fl
     halted = F.max(F.coalesce(F.col(stop), F.lit(False)).cast("int") if stop else F.lit(0)).over(w.rowsBetween(W.unboundedPreceding, -1))
     runs = (F.col(draw) == 0) | ((spent <= fraction * fresh) & (F.col(draw) <= most) & (F.coalesce(halted, F.lit(0)) == 0))
     return costs.withColumn("_fresh", fresh).withColumn("spent", spent).withColumn("runs", runs).filter("_fresh IS NOT NULL").drop("_fresh")
+
+
+def fifo_buffer(rows: DataFrame, run: str, batch: str, capacity: int) -> DataFrame:
+    """(run, batch, rows_in, age): the batches a buffer of `capacity` holds for each run after all have been pushed in order; the
+    newest has age 0, older ones than the capacity were evicted. Rows are counted map-side, so only batches are ranked."""
+    held = rows.filter(F.col(batch).isNotNull()).groupBy(run, batch).agg(F.count(F.lit(1)).alias("rows_in"))
+    return ranked(held, [F.col(batch).desc()], "age", (run,)).withColumn("age", F.col("age") - 1).filter(F.col("age") < capacity)
+
+
+def cycle_schedule(steps: DataFrame, step: str, capacity: int, draws: int, every: int) -> DataFrame:
+    """(step, replays, refresh): with the buffer full, from the capacity-th fresh batch on, a step is followed by `draws` replays, and
+    every `every`-th such step refreshes; before that nothing is replayed."""
+    k = ranked(steps.select(step), [step], "_k")
+    full = F.col("_k") >= capacity
+    return k.select(step, F.when(full, draws).otherwise(0).alias("replays"), (full & ((F.col("_k") - capacity) % every == 0)).alias("refresh"))

@@ -172,6 +172,24 @@ def rectangular_cohort(spark, d):
     return geometry.rectangular(e, "label", "member", "embedding")
 
 
+@book.query(
+    "sk06_scatter",
+    """WITH m AS (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL),
+    p AS (SELECT a.label AS a, b.label AS b, a.pos % 2 AS part, sum(a.m * b.m) / (sqrt(sum(a.m * a.m)) * sqrt(sum(b.m * b.m))) AS c FROM m a JOIN m b USING (pos) WHERE a.label < b.label GROUP BY ALL)
+    SELECT a || '-' || b AS point_id, round(max(c) FILTER (WHERE part = 0), 6) AS x, round(max(c) FILTER (WHERE part = 1), 6) AS y, round(max(c) FILTER (WHERE part = 1) - max(c) FILTER (WHERE part = 0), 6) AS gap FROM p GROUP BY a, b""",
+)
+def scatter(spark, d):
+    """The table behind a scatter plot: for each pair of labels two cosines and their gap, through a CSV file with a header."""
+    from quern.sources.files import round_trip
+
+    m = geometry.mean_vectors(table(spark, d, "embeddings"), "label", "embedding").withColumn("part", F.col("pos") % 2)
+    g = geometry.gram(m, "label", domain="part").filter("part IS NOT NULL")
+    c = geometry.cosines(g, ["part"]).filter("a < b").groupBy("a", "b").pivot("part", [0, 1]).agg(F.max("cosine"))
+    x, y = F.col("0"), F.col("1")
+    rows = c.select(F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")).alias("point_id"), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(y - x, 6).alias("gap"))
+    return round_trip(rows, "csv", header="true")
+
+
 def _labels(spark, d, half):
     """Label means of half the vectors, a matrix that is checked to be small."""
     m = geometry.mean_vectors(table(spark, d, "embeddings").filter(f"vec_id % 2 = {half}"), "label", "embedding")

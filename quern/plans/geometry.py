@@ -163,13 +163,17 @@ def permutation_test(spark, d):
     return spark.createDataFrame([(G.permutation_p([float(r.n_regionkey) for r in rows], [r.y for r in rows]),)], "p double")
 
 
-@book.query("an01_influence_matrix", "WITH a AS (SELECT o_orderpriority AS i, o_orderstatus AS j, avg(o_totalprice) AS l FROM orders GROUP BY ALL), b AS (SELECT o_orderstatus AS j, avg(o_totalprice) AS base FROM orders GROUP BY 1) SELECT i, j, round(base - l, 4) AS gain, round((base - l) / base, 9) AS fraction FROM a JOIN b USING (j)")
+@book.query(
+    "an01_influence_matrix",
+    """WITH a AS (SELECT o_orderpriority AS i, o_orderstatus AS j, avg(o_totalprice) AS l FROM orders GROUP BY ALL), b AS (SELECT o_orderstatus AS j, avg(o_totalprice) AS base FROM orders GROUP BY 1), t AS (SELECT j, min(l) AS teacher FROM a GROUP BY 1)
+    SELECT i, j, round(base - l, 4) AS gain, round((base - l) / (base - teacher), 7) AS fraction FROM a JOIN b USING (j) JOIN t USING (j)""",
+)
 def influence_matrix(spark, d):
     o = table(spark, d, "orders")
     a = o.groupBy(F.col("o_orderpriority").alias("i"), F.col("o_orderstatus").alias("j")).agg(F.avg("o_totalprice").alias("l"))
     b = o.groupBy(F.col("o_orderstatus").alias("j")).agg(F.avg("o_totalprice").alias("base"))
-    gain = F.col("base") - F.col("l")
-    return a.join(b, "j").select("i", "j", F.round(gain, 4).alias("gain"), F.round(gain / F.col("base"), 9).alias("fraction"))
+    rows = a.join(b, "j").join(a.groupBy("j").agg(F.min("l").alias("teacher")), "j")
+    return G.influence(rows, "l", "base", "teacher").select("i", "j", F.round("gain", 4).alias("gain"), F.round("fraction", 7).alias("fraction"))
 
 
 @book.query("an02_spectrum")

@@ -338,18 +338,20 @@ def draw(spark, d):
 
 @book.query(
     "sx01_fifo_buffer",
-    "SELECT baseline_step, count(*)::BIGINT AS rows_in FROM rollout_metadata WHERE baseline_step IN (SELECT DISTINCT baseline_step FROM rollout_metadata WHERE baseline_step IS NOT NULL ORDER BY 1 DESC LIMIT 4) GROUP BY 1",
+    "SELECT schedule_id AS run, step AS batch, count(*)::BIGINT AS rows_in, dense_rank() OVER (PARTITION BY schedule_id ORDER BY step DESC) - 1 AS age FROM order_rows WHERE step IS NOT NULL GROUP BY schedule_id, step QUALIFY age < 4",
 )
 def fifo_buffer(spark, d):
-    r = table(spark, d, "rollout_metadata")
-    last = r.select("baseline_step").filter("baseline_step IS NOT NULL").distinct().orderBy(F.desc("baseline_step")).limit(4)
-    return r.join(last, "baseline_step", "left_semi").groupBy("baseline_step").agg(F.count(F.lit(1)).alias("rows_in"))
+    o = table(spark, d, "order_rows").select(F.col("schedule_id").alias("run"), F.col("step").alias("batch"))
+    return replay.fifo_buffer(o, "run", "batch", 4)
 
 
-@book.query("sx02_cycle_schedule", "SELECT step, CASE WHEN step >= 4 THEN 2 ELSE 0 END AS replays, (step >= 4 AND step % 3 = 0) AS refresh FROM (SELECT DISTINCT baseline_step AS step FROM rollout_metadata WHERE baseline_step IS NOT NULL)")
+@book.query(
+    "sx02_cycle_schedule",
+    "SELECT step, CASE WHEN k >= 6 THEN 2 ELSE 0 END AS replays, (k >= 6 AND (k - 6) % 3 = 0) AS refresh FROM (SELECT step, row_number() OVER (ORDER BY step) AS k FROM (SELECT DISTINCT baseline_step AS step FROM rollout_metadata WHERE baseline_step IS NOT NULL))",
+)
 def cycle_schedule(spark, d):
     s = table(spark, d, "rollout_metadata").filter("baseline_step IS NOT NULL").select(F.col("baseline_step").alias("step")).distinct()
-    return s.select("step", F.when(F.col("step") >= 4, 2).otherwise(0).alias("replays"), ((F.col("step") >= 4) & (F.col("step") % 3 == 0)).alias("refresh"))
+    return replay.cycle_schedule(s, "step", capacity=6, draws=2, every=3)
 
 
 @book.query(

@@ -138,11 +138,12 @@ def schedule_one_round(spark, d):
     return scheduled(spark, d, 64, 64).select("doc_id", "round", "schedule_index")
 
 
-@book.query("or17_schedule_extension", SCHEDULE.format(m=48, t=480) + ", j AS (SELECT * FROM i WHERE schedule_index < 240) SELECT count(*)::BIGINT AS rows, count(DISTINCT doc_id)::BIGINT AS items, max(schedule_index) AS last FROM j")
+@book.query("or17_schedule_extension", SCHEDULE.format(m=48, t=480) + " SELECT schedule_index, doc_id, schedule_index < 240 AS was_there FROM i")
 def schedule_extension(spark, d):
-    short, long = scheduled(spark, d, 48, 240), scheduled(spark, d, 48, 480)
-    same = short.select("schedule_index", "doc_id").join(long.select("schedule_index", "doc_id"), ["schedule_index", "doc_id"])
-    return same.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("items"), F.max("schedule_index").alias("last"))
+    """A longer schedule; was_there tells the places the shorter one filled with the same item."""
+    short = scheduled(spark, d, 48, 240).select("schedule_index", F.col("doc_id").alias("before"))
+    long = scheduled(spark, d, 48, 480).select("schedule_index", "doc_id")
+    return long.join(short, "schedule_index", "left").select("schedule_index", "doc_id", F.coalesce(F.col("before") == F.col("doc_id"), F.lit(False)).alias("was_there"))
 
 
 @book.query("or02_interleave")
