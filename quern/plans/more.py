@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as X
 from quern.operators import curate, geometry, ranks, schedule
 from quern.plans.base import Book, table
+from quern.plans.scoring import ANSWER, BOXED
 from quern.session import scratch
 
 book = Book()
@@ -207,7 +208,7 @@ def position_profile(spark, d):
     return b.groupBy("block").agg(F.round(v, 6).alias("variance"), F.round(m * m / F.nullif(v, F.lit(0.0)), 6).alias("reliability"))
 
 
-@book.query("an10_multinomial_patterns")
+@book.query("an10_multinomial_patterns", "SELECT a::INTEGER AS a, b::INTEGER AS b, c::INTEGER AS c, d::INTEGER AS d, 24.0 / (factorial(a::INTEGER) * factorial(b::INTEGER) * factorial(c::INTEGER) * factorial(d::INTEGER))::DOUBLE / 256 AS p FROM range(5) x(a), range(5) y(b), range(5) z(c), range(5) w(d) WHERE a + b + c + d = 4")
 def multinomial_patterns(spark, d):
     import itertools
     from math import factorial
@@ -384,7 +385,7 @@ def streamed_rows(spark, d):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@book.query("sf11_unboxed")
+@book.query("sf11_unboxed", f"SELECT doc_id, {ANSWER} AS answer FROM ({BOXED}) JOIN documents USING (doc_id) WHERE contains(text, 'boxed')")
 def unboxed(spark, d):
     docs = table(spark, d, "documents").filter(F.contains("text", F.lit("boxed"))).select("doc_id", X.last_boxed(F.col("text")).alias("b"))
     return docs.select("doc_id", X.unboxed(F.col("b")).alias("answer"))

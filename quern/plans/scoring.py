@@ -41,7 +41,16 @@ def simhash(spark, d):
     return t.select("cand_id", "h", *(X.band(F.col("h"), i).alias(f"band{i}") for i in range(4)))
 
 
-@book.query("sf10_boxed")
+#: The last boxed expression in SQL, braces nested four deep at most.
+_TAIL = "CASE WHEN contains(text, '\\boxed') THEN '\\boxed' || split_part(text, '\\boxed', -1) WHEN contains(text, '\\fbox') THEN '\\fbox' || split_part(text, '\\fbox', -1) END"
+_DEEP = r"\{[^{}]*\}"
+for _ in range(3):
+    _DEEP = r"\{(?:[^{}]|" + _DEEP + r")*\}"
+BOXED = f"SELECT doc_id, nullif(regexp_extract({_TAIL}, '^[^{{}}]*{_DEEP}'), '') AS boxed FROM documents"
+ANSWER = "CASE WHEN starts_with(boxed, '\\boxed{') THEN substr(boxed, 8, length(boxed) - 8) END"
+
+
+@book.query("sf10_boxed", f"SELECT doc_id, boxed, {ANSWER} AS answer FROM ({BOXED}) WHERE boxed IS NOT NULL")
 def boxed(spark, d):
     return table(spark, d, "documents").select("doc_id", X.last_boxed(F.col("text")).alias("boxed")).filter("boxed IS NOT NULL").select("doc_id", "boxed", X.unboxed(F.col("boxed")).alias("answer"))
 
