@@ -52,7 +52,9 @@ def code_tokens(c: Column) -> Column:
 
 def ngrams(words: Column, n: int, short_whole: bool = False, sep: str = " ") -> Column:
     """Distinct runs of n words. A shorter text gives its whole string (short_whole) or none."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), sep))
+    many = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    shifted = F.arrays_zip(*(F.slice(words, k + 1, many).alias(f"w{k}") for k in range(n)))  # words may hold a UDF, a lambda may not
+    runs = F.transform(shifted, lambda z: F.concat_ws(sep, *(z[f"w{k}"] for k in range(n))))
     none = F.expr("cast(array() as array<string>)")
     short = F.when(F.size(words) > 0, F.array(F.array_join(words, sep))).otherwise(none) if short_whole else none
     return F.array_distinct(F.when(F.size(words) >= n, runs).otherwise(short))
