@@ -19,11 +19,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import children, lasting, materialize
+from quern.session import children, lasting, materialize, touch
 
 SEED = "quern-sample-1"
 REGISTER = "item string, prn double, first_batch int"
-LEVELS = "batch int, level double"
 
 
 def item_of(c: Column) -> Column:
@@ -49,9 +48,8 @@ class Register:
         self.spark, self.root = spark, root or lasting(spark, "register")
         whole = [x for x in children(spark, self.root) if "_SUCCESS" in children(spark, f"{self.root}/{x}")]
         self.parts = [f"{self.root}/{x}" for x in whole if x.startswith("batch-")]
-        levels = [f"{self.root}/{x}" for x in whole if x.startswith("level-")]
-        #: The threshold of each batch, one number a delivery.
-        self.levels = dict(tuple(r) for r in spark.read.schema(LEVELS).parquet(*levels).collect()) if levels else {}
+        #: The threshold of each batch, one number a delivery, kept as marks named batch=threshold.
+        self.levels = {int(b): float(x) for b, x in (name.split("=") for name in children(spark, f"{self.root}/levels"))}
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(REGISTER).parquet(*self.parts) if self.parts else self.spark.createDataFrame([], REGISTER)
@@ -68,7 +66,7 @@ class Register:
         """The threshold as of a batch: the wanted one, or the highest so far. It is stored, and a batch that comes again keeps its own."""
         if batch not in self.levels:
             self.levels[batch] = max([wanted, *self.levels.values()])
-            self.spark.createDataFrame([(batch, float(self.levels[batch]))], LEVELS).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/level-{batch}")
+            touch(self.spark, f"{self.root}/levels/{batch}={float(self.levels[batch])!r}")
         return self.levels[batch]
 
 
