@@ -53,10 +53,12 @@ def ngram_overlap(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str,
 def containment(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, n: int, share: float) -> DataFrame:
     """(doc_id, item_id, containment): pairs whose shared runs of n code tokens are at least `share` of the smaller one's distinct
     runs. Texts under n tokens have none. The items' runs are broadcast while they are at most ITEM_GRAMS, as in ngram_overlap;
-    a run that very many documents hold is counted map-side before it meets an item."""
+    a run that very many documents hold is counted map-side before it meets an item. A plain explode would have Spark infer a filter
+    on the runs, push it to the scan and so cut the text into tokens once for each run; an outer one has no such filter."""
     def grams(df: DataFrame, i: str, t: str) -> DataFrame:
         tokens = df.filter(F.col(t).isNotNull()).select(i, X.code_tokens(F.col(t)).alias("_t")).select(i, X.ngram_hashes(F.col("_t"), n).alias("_g"))
-        return tokens.select(i, F.size("_g").alias(f"_n_{i}"), F.explode("_g").alias("gram"))
+        sized = tokens.select(i, F.size("_g").alias(f"_n_{i}"), "_g")  # before the explosion, which else copies the array into each row
+        return sized.select(i, f"_n_{i}", F.explode_outer("_g").alias("gram")).filter("gram IS NOT NULL")
 
     right = materialize(grams(items, item_id, item_text), "item-runs")
     left = grams(docs, doc_id, doc_text)

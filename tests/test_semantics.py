@@ -94,6 +94,13 @@ def test_containment(spark):
     assert curate.containment(docs, items, "d", "t", "i", "u", 5, 1.1).count() == 0
 
 
+def test_containment_cuts_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g")], "d long, t string")
+    items = spark.createDataFrame([(1, "b c d e f g h")], "i long, u string")
+    df = curate.containment(docs, items, "d", "t", "i", "u", 5, 0.0)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1  # the items' runs are written
+
+
 def test_deltas_give_the_map_back(spark):
     maps = [None, {}, {"a": "1"}, {"a": "2", "b": None}, {"b": "x"}, {"a": "1", "c": "é\"q"}]
     rows = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in maps for b in maps)]
