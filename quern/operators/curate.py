@@ -223,10 +223,11 @@ def block_keys(h: Column, radius: int, blocks: int) -> Column:
 
 
 def hamming_pairs(nodes: DataFrame, row_id: str, h: str, radius: int, blocks: int) -> DataFrame:
-    """(a, b), a < b: all pairs of rows whose hashes differ in at most `radius` bits. Hashes should be distinct."""
+    """(a, b), a < b: all pairs of rows whose hashes differ in at most `radius` bits. Hashes should be distinct. The join is
+    merged whatever size Spark sees: its estimate leaves out that each row becomes one for each key, so it would broadcast them."""
     keyed = nodes.select(F.col(row_id).alias("a"), F.col(h).alias("ha"), F.explode(block_keys(F.col(h), radius, blocks)).alias("k"))
     other = keyed.toDF("b", "hb", "k")
-    return keyed.join(other, "k").filter((F.col("a") < F.col("b")) & (X.hamming(F.col("ha"), F.col("hb")) <= radius)).select("a", "b").distinct()
+    return keyed.join(other.hint("merge"), "k").filter((F.col("a") < F.col("b")) & (X.hamming(F.col("ha"), F.col("hb")) <= radius)).select("a", "b").distinct()
 
 
 def greedy_near_dedup(df: DataFrame, row_id: str, source: str, family: str, tokens: str, radius: int = 3, blocks: int | None = None) -> DataFrame:
@@ -236,7 +237,8 @@ def greedy_near_dedup(df: DataFrame, row_id: str, source: str, family: str, toke
     That is the lexicographically first maximal independent set of the conflict graph: in each round a row all
     of whose earlier neighbours are rejected is kept, and its neighbours are rejected. Rows are collapsed by
     fingerprint, and families linked to all members only through a first undecided one, so neither copies nor
-    a family with a tenth of the rows make pairs; fingerprint links come from keys of untouched blocks."""
+    a family with a tenth of the rows make pairs; fingerprint links come from keys of untouched blocks. All tables grow with
+    the rows but are small as files, by which Spark would choose to broadcast them, so every join is merged."""
     rows = df.select(row_id, source, family, X.simhash64(F.col(tokens)).alias("h"))
     rows = materialize(rows, "dedup-rows")
     first = rows.groupBy("h").agg(F.min(F.struct(row_id, source, family)).alias("r"))
@@ -248,16 +250,16 @@ def greedy_near_dedup(df: DataFrame, row_id: str, source: str, family: str, toke
         open_ = state.filter("kept IS NULL")
         # A row waits for an earlier open neighbour and for the first open row of its family.
         heads = open_.filter("family IS NOT NULL").groupBy("source", "family").agg(F.min("id").alias("head"))
-        waits = near.join(open_.select("id"), "id", "left_semi").select(F.col("id2").alias("id")).distinct().withColumn("w", F.lit(True))
-        ready = open_.join(waits, "id", "left").join(heads, ["source", "family"], "left")
+        waits = near.join(open_.select("id").hint("merge"), "id", "left_semi").select(F.col("id2").alias("id")).distinct().withColumn("w", F.lit(True))
+        ready = open_.join(waits.hint("merge"), "id", "left").join(heads.hint("merge"), ["source", "family"], "left")
         new = materialize(ready.filter("w IS NULL AND (head IS NULL OR head = id)").select("id", "source", "family"), "dedup-new")
         if not new.take(1):
             break
-        hit = near.join(new.select("id"), "id", "left_semi").select(F.col("id2").alias("id")).distinct().withColumn("hit", F.lit(True))
+        hit = near.join(new.select("id").hint("merge"), "id", "left_semi").select(F.col("id2").alias("id")).distinct().withColumn("hit", F.lit(True))
         taken = new.filter("family IS NOT NULL").select("source", "family").distinct().withColumn("taken", F.lit(True))
         mark = new.select("id", F.lit(True).alias("new"))
-        out = state.join(mark, "id", "left").join(hit, "id", "left").join(taken, ["source", "family"], "left")
+        out = state.join(mark.hint("merge"), "id", "left").join(hit.hint("merge"), "id", "left").join(taken.hint("merge"), ["source", "family"], "left")
         kept = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("new"), True).when(F.col("hit") | F.col("taken"), False)
         state = materialize(out.select("id", "source", "family", kept.alias("kept")), "dedup-state")
     decided = state.select(F.col("id").alias(row_id), "kept")
-    return rows.select(row_id).join(decided, row_id, "left").select(row_id, F.coalesce("kept", F.lit(False)).alias("kept"))
+    return rows.select(row_id).join(decided.hint("merge"), row_id, "left").select(row_id, F.coalesce("kept", F.lit(False)).alias("kept"))

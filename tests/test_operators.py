@@ -93,6 +93,22 @@ def test_greedy_near_dedup_equals_the_pass(spark):
         assert got[i] == ok, i
 
 
+def test_greedy_near_dedup_broadcasts_nothing(spark, monkeypatch):
+    plans, written = [], curate.materialize
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(curate, "materialize", watched)
+    rows = [(i, "a", "f" if i % 2 else None, [f"w{i % 5}", "x"]) for i in range(20)]
+    out = curate.greedy_near_dedup(spark.createDataFrame(rows, "id long, source string, family string, tokens array<string>"), "id", "source", "family", "tokens")
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    pairs = curate.hamming_pairs(spark.range(9).select("id", F.xxhash64("id").alias("h")), "id", "h", 3, 5)
+    plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_interleave_keeps_shares(spark):
     df = spark.createDataFrame([(i, "abc"[min(2, i % 7 // 3)]) for i in range(210)], "i long, s string")
     got = schedule.stratified_interleave(df, "i", "s", F.sha2(F.col("i").cast("string"), 256), 60).orderBy("rank").collect()
